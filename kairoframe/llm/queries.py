@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoframe.llm import block_search, chat_repair, url_filter
+from kairoframe.llm import block_search, chat_repair, line_dedup, packing, url_filter
 from kairoframe.llm.tables import read
 
 URL_RULES = [
@@ -18,6 +18,17 @@ URL_RULES = [
 ]
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.digests(documents, line_dedup.keep_bitmaps(documents, threshold=10, least_chars=1))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), "page_id", "url", URL_RULES)
 
@@ -43,6 +54,8 @@ def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
+    "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
     "op5_block_search": op5_block_search,
     "op6_chat_repair": op6_chat_repair,

@@ -33,7 +33,23 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP2_LINE_DEDUP = f"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+keyed AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs),
+keys AS (
+  SELECT doc_id, line, pos,
+         translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS k
+  FROM keyed),
+hot AS (SELECT k FROM keys WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT doc_id, line, pos, k IN (SELECT k FROM hot) AS gone FROM keys)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": OP2_LINE_DEDUP,
     "op4_url_filter": OP4_URL_FILTER,
     "op5_block_search": OP5_BLOCK_SEARCH,
 }
