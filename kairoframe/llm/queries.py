@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoframe.llm import block_search, chat_repair, line_dedup, packing, url_filter
+from kairoframe.llm import block_search, chat_repair, language_crf, line_dedup, packing, toxicity, url_filter
+from kairoframe.llm.sampling import held_out
 from kairoframe.llm.tables import read
 
 URL_RULES = [
@@ -18,6 +19,17 @@ URL_RULES = [
 ]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic IS NOT NULL")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.train(documents.where(~out).join(labels, "doc_id"))
+    scored = toxicity.score(documents.withColumn("held_out", out), model)
+    return scored.select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_sentence", F.size("offending").alias("n_offending")
+    )
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.digests(documents, line_dedup.keep_bitmaps(documents, threshold=10, least_chars=1))
@@ -53,10 +65,19 @@ def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 4, 2)
+    crf = language_crf.train(documents.where(~out))
+    return language_crf.predict(documents.select("doc_id", "text", out.alias("held_out")), crf).select("doc_id", "held_out", "lang_pred", "score", "n_switches")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
     "op5_block_search": op5_block_search,
     "op6_chat_repair": op6_chat_repair,
+    "op8_language_crf": op8_language_crf,
 }
