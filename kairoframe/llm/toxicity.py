@@ -4,9 +4,11 @@ Only documents carry labels. A document is a bag of sentences; a sentence's scor
 document is toxic unless all its sentences are clean: P = 1 - prod(1 - p_s), the noisy-or. Maximising the documents' likelihood
 distributes the blame among the sentences, so that the model also says where the offence is.
 
-The model is fitted on at most ``most`` labelled documents (a parameter), by proximal Adam with an L1 penalty: words that tell nothing
-get no weight, and what is sent to the executors is a short sorted list of word hashes. Scoring reads whole texts, in slices of Arrow
-batches, without a shuffle.
+A sentence's features are its words and their first 4, 5 and 6 bytes, so that inflected forms share weights. The model is fitted on at
+most ``most`` labelled documents (a parameter). The executors count in how many documents of either label each feature is; only features
+whose counts differ by label (chi-squared of ``least_chi`` or more) come to the driver, where proximal Adam with an L1 penalty fits the
+likelihood. What is sent to the executors is a short sorted list of hashes. Scoring reads whole texts, in slices of Arrow batches,
+without a shuffle.
 
 Words are runs of letters, digits and bytes above 127, A-Z lower-cased; a sentence ends at . ! ? or a line break.
 A null or empty text is one empty sentence. A document with several labels is toxic if one says so; null labels are not learnt from.
@@ -23,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairoframe.llm.bytetext import LOWER, RangeHash, slices, text_bytes
+from kairoframe.llm.bytetext import LOWER, RangeHash, mix, slices, text_bytes
 from kairoframe.llm.sampling import bounded_sample
+from kairoframe.llm.storage import write_shared
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -32,12 +35,13 @@ STOP = np.zeros(256, bool)
 STOP[[33, 46, 63, 10]] = True
 SLICE = 8 << 20
 SLOTS = 22
+PREFIXES = (4, 5, 6)
 
 
 class Bags(NamedTuple):
-    """Words of many documents: a hash and a sentence for each; a document for each sentence."""
+    """Features of many documents: a hash and a sentence for each, in no order; a document for each sentence."""
 
-    word: np.ndarray
+    feature: np.ndarray
     sentence: np.ndarray
     document: np.ndarray
     begin: np.ndarray  # of each sentence, in its document's bytes
@@ -64,9 +68,14 @@ def bags(raw: np.ndarray, offsets: np.ndarray) -> Bags:
         starts[1:] &= ~solid[:-1] | border[1:]
         stops[:-1] &= ~solid[1:] | border[1:]
     at, to = np.flatnonzero(starts), np.flatnonzero(stops) + 1
-    word = RangeHash(LOWER[raw])(at, to) if len(raw) else np.zeros(0, np.uint64)
     sentence = np.searchsorted(begin, at, side="right") - 1
-    return Bags(word, sentence, document, begin - offsets[document], end - offsets[document])
+    hashed = RangeHash(LOWER[raw])
+    values, owners = [hashed(at, to)], [sentence]
+    for k in PREFIXES:
+        longer = np.flatnonzero(to - at > k)
+        values.append(hashed(at[longer], at[longer] + k) ^ mix(np.array([k], np.uint64)))
+        owners.append(sentence[longer])
+    return Bags(np.concatenate(values), np.concatenate(owners), document, begin - offsets[document], end - offsets[document])
 
 
 class Model(NamedTuple):
@@ -82,9 +91,9 @@ class Model(NamedTuple):
 
     def sentence_scores(self, b: Bags, slots: np.ndarray) -> np.ndarray:
         z = np.full(len(b.document), self.bias)
-        maybe = np.flatnonzero(slots[b.word >> np.uint64(64 - SLOTS)]) if len(self.words) else np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.words, b.word[maybe]), max(len(self.words) - 1, 0))
-        known = self.words[at] == b.word[maybe] if len(maybe) else np.zeros(0, bool)
+        maybe = np.flatnonzero(slots[b.feature >> np.uint64(64 - SLOTS)]) if len(self.words) else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.words, b.feature[maybe]), max(len(self.words) - 1, 0))
+        known = self.words[at] == b.feature[maybe] if len(maybe) else np.zeros(0, bool)
         z += np.bincount(b.sentence[maybe[known]], self.weights[at[known]], minlength=len(z))
         return z
 
@@ -93,35 +102,22 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray, steps: int = 120, rate: float = 0.15, penalty: float = 2e-5, least_documents: int = 4) -> Model:
-    """documents: of each, its word hashes, their sentences (from 0) and its number of sentences."""
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), -6.0)
-    if not len(documents) or toxic.min() == toxic.max():
-        return none
-    owner = np.concatenate([np.full(len(w), i) for i, (w, _, _) in enumerate(documents)])
-    first = np.concatenate([[0], np.cumsum([n for _, _, n in documents])])
-    word = np.concatenate([w for w, _, _ in documents])
-    sentence = np.concatenate([s + first[i] for i, (_, s, _) in enumerate(documents)])
-    words, at = np.unique(word, return_inverse=True)
-    pairs = np.unique(at.astype(np.int64) * len(documents) + owner)
-    spread = np.bincount(pairs // len(documents), minlength=len(words))
-    keep = spread >= least_documents
-    if not keep.any():
-        return none
-    index = np.cumsum(keep) - 1
-    used = keep[at]
-    words, at, sentence = words[keep], index[at[used]], sentence[used]
-    document = np.repeat(np.arange(len(documents)), [n for _, _, n in documents])
-    n, y = len(documents), toxic.astype(float)
-    theta, bias = np.zeros(len(words)), -5.0
-    m, v, mb, vb = np.zeros(len(words)), np.zeros(len(words)), 0.0, 0.0
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * np.tanh(0.5 * z)
+
+
+def fit(features: np.ndarray, at: np.ndarray, sentence: np.ndarray, document: np.ndarray, toxic: np.ndarray, steps: int = 150, rate: float = 0.15, penalty: float = 1e-4) -> Model:
+    """features: sorted hashes; at, sentence: of each occurrence, its feature's place and its sentence; document: of each sentence; toxic:
+    of each document."""
+    n, y = len(toxic), toxic.astype(float)
+    theta, bias = np.zeros(len(features)), -5.0
+    m, v, mb, vb = np.zeros(len(features)), np.zeros(len(features)), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = bias + np.bincount(sentence, theta[at], minlength=first[-1])
-        p = 1 / (1 + np.exp(-z))
+        z = bias + np.bincount(sentence, theta[at], minlength=len(document))
         clean = -np.bincount(document, softplus(z), minlength=n)  # log of prod(1 - p)
         odds = np.where(y > 0, np.exp(clean) / np.maximum(-np.expm1(clean), 1e-9), 0.0)
-        slope = p * np.where(y > 0, -odds, 1.0)[document] / n
-        g = np.bincount(at, slope[sentence], minlength=len(words))
+        slope = logistic(z) * np.where(y > 0, -odds, 1.0)[document] / n
+        g = np.bincount(at, slope[sentence], minlength=len(features))
         gb = slope.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -130,26 +126,52 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray,
         theta = np.sign(theta) * np.maximum(np.abs(theta) - own * penalty, 0)
         bias -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
     left = np.flatnonzero(np.abs(theta) > 1e-3)
-    return Model(words[left], theta[left], float(bias))
+    return Model(features[left], theta[left], float(bias))
 
 
-def train(labelled: DataFrame, most: int = 12_000) -> Model:
-    """labelled: doc_id, text, toxic (0 or 1). The words of at most ``most`` documents come to the driver, as hashes."""
+def train(labelled: DataFrame, most: int = 12_000, least_documents: int = 4, least_chi: float = 6.0) -> Model:
+    """labelled: doc_id, text, toxic (0 or 1), of which at most ``most`` documents are used."""
+    sample = bounded_sample(labelled.where("toxic IS NOT NULL"), "doc_id", most).groupBy("doc_id").agg(F.first("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    sample = write_shared(sample, "labelled")
+    n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < n_toxic < n:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -6.0)
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in slices(b, "text", SLICE)):
+            b = bags(*text_bytes(batch.column(0)))
+            owner = b.document[b.sentence]
+            order = np.lexsort((owner, b.feature))
+            feature, owner = b.feature[order], owner[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (feature[1:] != feature[:-1]) | (owner[1:] != owner[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(feature[new].view(np.int64)), batch.column(1).take(pa.array(owner[new]))], names=["feature", "toxic"])
+
+    counts = sample.select("text", "toxic").mapInArrow(distinct, "feature long, toxic int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
+    expected = F.col("n") * (n_toxic / n)
+    chi = (F.col("k") - expected) ** 2 / (expected * (1 - n_toxic / n))
+    kept = counts.where((F.col("n") >= least_documents) & (chi >= least_chi)).select("feature").toArrow()["feature"].to_numpy()
+    features = np.sort(kept.view(np.uint64))
+    sent = sample.sparkSession.sparkContext.broadcast(features)
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = sent.value
         for batch in (part for b in batches for part in slices(b, "text", SLICE)):
             b = bags(*text_bytes(batch.column(0)))
+            place = np.minimum(np.searchsorted(features, b.feature), max(len(features) - 1, 0))
+            known = np.flatnonzero(features[place] == b.feature) if len(features) else np.zeros(0, np.int64)
+            known = known[np.argsort(b.sentence[known], kind="stable")]
             first = np.searchsorted(b.document, np.arange(batch.num_rows + 1))
-            cuts = np.searchsorted(b.sentence, first)
-            rows = [(b.word[i:j].tobytes(), (b.sentence[i:j] - s).astype(np.int32).tobytes(), int(t - s)) for i, j, s, t in zip(cuts[:-1], cuts[1:], first[:-1], first[1:])]
-            w, s, n = zip(*rows)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(w, pa.binary()), pa.array(s, pa.binary()), pa.array(n, pa.int32())], names=["toxic", "words", "sentences", "n"])
+            cuts = np.searchsorted(b.sentence[known], first)
+            rows = [(place[known[i:j]].astype(np.int32).tobytes(), (b.sentence[known[i:j]] - s).astype(np.int32).tobytes(), int(t - s)) for i, j, s, t in zip(cuts[:-1], cuts[1:], first[:-1], first[1:])]
+            at, sentence, size = zip(*rows)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.binary()), pa.array(sentence, pa.binary()), pa.array(size, pa.int32())], names=["toxic", "at", "sentences", "n"])
 
-    sample = bounded_sample(labelled, "doc_id", most).groupBy("doc_id").agg(F.first("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
-    got = sample.orderBy("doc_id").select("text", "toxic").mapInArrow(hashes, "toxic int, words binary, sentences binary, n int").toArrow()
-    columns = [got[c].to_pylist() for c in ("words", "sentences", "n")]
-    documents = [(np.frombuffer(w, np.uint64), np.frombuffer(s, np.int32), n) for w, s, n in zip(*columns)]
-    return fit(documents, np.array(got["toxic"].to_pylist(), int))
+    got = sample.orderBy("doc_id").select("text", "toxic").mapInArrow(occurrences, "toxic int, at binary, sentences binary, n int").toArrow()
+    at, sentence = ([np.frombuffer(x, np.int32) for x in got[c].to_pylist()] for c in ("at", "sentences"))
+    size = got["n"].to_numpy()
+    first = np.cumsum(size) - size
+    return fit(features, np.concatenate(at), np.concatenate([s + f for s, f in zip(sentence, first)]), np.repeat(np.arange(len(size)), size), got["toxic"].to_numpy())
 
 
 SCORES = "score double, n_sentences int, worst_sentence int, worst_score double, offending array<struct<begin: int, end: int, score: double>>"
@@ -168,7 +190,7 @@ def score(documents: DataFrame, model: Model, offending_from: float = 0.5) -> Da
         for batch in (part for b in batches for part in slices(b, "text", SLICE)):
             b = bags(*text_bytes(batch.column("text")))
             z = model.sentence_scores(b, slots)
-            p = 1 / (1 + np.exp(-z))
+            p = logistic(z)
             n = np.bincount(b.document, minlength=batch.num_rows)
             whole = -np.expm1(-np.bincount(b.document, softplus(z), minlength=batch.num_rows))
             first = np.concatenate([[0], np.cumsum(n)])
