@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoframe.llm import block_search, chat_repair, decontamination, language_crf, line_dedup, packing, toxicity, url_filter
+from kairoframe.llm import block_search, chat_repair, decontamination, language_crf, line_dedup, near_dedup, packing, toxicity, url_filter
 from kairoframe.llm.sampling import held_out
 from kairoframe.llm.tables import read
 
@@ -72,6 +72,10 @@ def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.predict(documents.select("doc_id", "text", out.alias("held_out")), crf).select("doc_id", "held_out", "lang_pred", "score", "n_switches")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per contaminated document."""
     found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -88,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_block_search": op5_block_search,
     "op6_chat_repair": op6_chat_repair,
     "op8_language_crf": op8_language_crf,
+    "op9_near_dedup": op9_near_dedup,
     "op10_decontamination": op10_decontamination,
 }
