@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoframe.llm import block_search, chat_repair, decontamination, language_crf, line_dedup, near_dedup, packing, toxicity, url_filter
+from kairoframe.llm import block_search, chat_repair, decontamination, language_crf, line_dedup, near_dedup, packing, suffix_index, toxicity, url_filter
 from kairoframe.llm.sampling import held_out
 from kairoframe.llm.tables import read
 
@@ -65,6 +65,11 @@ def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_index.removals(documents, suffix_index.repeats(documents, length=400)).drop("spans")
+
+
 def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = held_out(F.col("doc_id"), 4, 2)
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_block_search": op5_block_search,
     "op6_chat_repair": op6_chat_repair,
+    "op7_suffix_index": op7_suffix_index,
     "op8_language_crf": op8_language_crf,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontamination": op10_decontamination,
