@@ -21,9 +21,9 @@ URL_RULES = [
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic IS NOT NULL")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
     out = held_out(F.col("doc_id"), 5, 0)
-    model = toxicity.train(documents.where(~out).join(labels, "doc_id"))
+    model = toxicity.train(documents, labels.where(~out))
     scored = toxicity.score(documents.withColumn("held_out", out), model)
     return scored.select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_sentence", F.size("offending").alias("n_offending")

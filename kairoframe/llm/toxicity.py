@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairoframe.llm.bytetext import LOWER, RangeHash, mix, slices, text_bytes
-from kairoframe.llm.sampling import bounded_sample
 from kairoframe.llm.storage import write_shared
 
 WORD = np.zeros(256, bool)
@@ -129,9 +128,12 @@ def fit(features: np.ndarray, at: np.ndarray, sentence: np.ndarray, document: np
     return Model(features[left], theta[left], float(bias))
 
 
-def train(labelled: DataFrame, most: int = 12_000, least_documents: int = 4, least_chi: float = 6.0) -> Model:
-    """labelled: doc_id, text, toxic (0 or 1), of which at most ``most`` documents are used."""
-    sample = bounded_sample(labelled.where("toxic IS NOT NULL"), "doc_id", most).groupBy("doc_id").agg(F.first("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+def train(documents: DataFrame, labels: DataFrame, most: int = 12_000, least_documents: int = 4, least_chi: float = 6.0) -> Model:
+    """documents: doc_id, text; labels: doc_id, toxic (0 or 1), of which at most ``most`` are used. They are chosen by their ids' hashes and
+    sent to the documents, so that no text is shuffled for the choice."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
+    sample = documents.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
     sample = write_shared(sample, "labelled")
     n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n_toxic < n:
