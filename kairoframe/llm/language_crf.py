@@ -31,7 +31,7 @@ LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 BITS = 18
 LENGTH = 64
-SLICE = 4 << 20
+SLICE = 2 << 20
 UNKNOWN = "und"
 KINDS = {name: np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i, name in enumerate(["word", "p1", "p2", "p3", "s1", "s2", "s3", "g2", "g3"])}
 

@@ -28,7 +28,7 @@ from kairoframe.llm.bytetext import LOWER, RangeHash, slices, text_bytes, words
 from kairoframe.llm.storage import write_shared
 
 LINES = "doc_id long, version int, hash long, n_lines int, at binary"
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def version(text: Column) -> Column:

@@ -34,7 +34,7 @@ SKETCH = 64
 NEED = 32  # of SKETCH values; for smaller sets a third of the values
 SHORT = 64  # documents in a list that is expanded into pairs
 BLOCK = 256
-SLICE = 8 << 20
+SLICE = 2 << 20
 SIGNATURES = "doc_id long, n int, one long, two long, sketch binary"
 
 

@@ -34,7 +34,7 @@ from kairoframe.llm.bytetext import RangeHash, mix, slices, text_bytes
 from kairoframe.llm.prefilter import filter_of, passing
 from kairoframe.llm.storage import drop_shared, write_shared
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 HOT = 1024  # contexts of one prefix that are compared in one task
 NO_ID = -(2**63)
 ENTRY = "key long, context long, doc_id long, at long"

@@ -32,7 +32,7 @@ WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 STOP = np.zeros(256, bool)
 STOP[[33, 46, 63, 10]] = True
-SLICE = 4 << 20
+SLICE = 2 << 20
 SLOTS = 22
 PREFIXES = (4, 5, 6)
 
