@@ -258,7 +258,10 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     docs = documents.select(document_key(F.col(doc_id)).alias("doc_id"), version(F.col(text)).alias("version"), F.col(text).alias("text"))
     family = Family(documents.sparkSession)
     for i in range(batches):
-        family.insert(entries(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), length, choice))
+        # Written first: dealing rows out by range reads them twice, and a second reading of the table costs less than one of the texts.
+        batch = write_shared(entries(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), length, choice), "entries")
+        family.insert(batch)
+        drop_shared(batch)
     found = write_shared(family.matches(), "matches")
     family.drop()
     partial = found.where("NOT whole")
