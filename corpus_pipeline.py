@@ -24,8 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that have no known language: no letter, or no language with half of the words' marginals. The field is fitted on
     the documents' own labels, the same folds left out as in op8."""
     crf = language_crf.train(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"), 4, 2)))
-    judged = language_crf.predict(docs, crf)
-    return judged.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+    return language_crf.known(docs, crf, least=0.5)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,6 +219,12 @@ def predict(documents: DataFrame, crf: Crf | None) -> DataFrame:
     return lettered.mapInArrow(label, f"{schema}, lang_pred string, score double, n_switches int")
 
 
+def known(documents: DataFrame, crf: Crf | None, least: float = 0.5) -> DataFrame:
+    """documents, all columns, of those with a known language whose share is at least ``least``."""
+    judged = predict(documents.select("text", F.struct(*documents.columns).alias("__row")), crf)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__row.*")
+
+
 def _marginals_of_words(crf: Crf, lowered: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of every word, and the number of switches in every text. Each distinct word's features are looked up once."""
     hashed = RangeHash(lowered)

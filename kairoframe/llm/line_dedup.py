@@ -177,8 +177,8 @@ def keep_bitmaps(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def with_bitmaps(documents: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of documents, and their ``keep`` bitmap (null: every line stays)."""
-    right = bitmaps.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "keep")
+    """All rows and columns of documents, and their bitmap as ``__keep`` (null: every line stays)."""
+    right = bitmaps.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("keep").alias("__keep"))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (version(F.col(text)) == F.col("__version"))
     return documents.join(right, same, "left").drop("__id", "__version")
 
@@ -224,9 +224,9 @@ def without_repeated_lines(documents: DataFrame, threshold: int = 10, least_char
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if k is None else "\n".join(kept_lines(t, k)[0]) for t, k in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist())]
+            texts = [t if k is None else "\n".join(kept_lines(t, k)[0]) for t, k in zip(batch.column("text").to_pylist(), batch.column("__keep").to_pylist())]
             i = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == i else batch.column(j) for j in range(len(columns))], names=columns)
 
-    kept = joined.select(*columns, "keep").mapInArrow(apply, documents.schema)
+    kept = joined.select(*columns, "__keep").mapInArrow(apply, documents.schema)
     return kept.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in columns else kept
