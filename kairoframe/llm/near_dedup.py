@@ -3,13 +3,13 @@
 1. A document's set is its distinct word shingles, as 64-bit hashes; its sketch the ``SKETCH`` smallest of them. Documents with equal sets
    form a class; from here on only one representative of each class is handled.
 2. Inverted lists: representatives by retained value. Two sets of similarity t share a binomial number of sketch values, SKETCH x t
-   expected; at t = 0.8 fewer than NEED of them with a chance below 1e-6. Hence, with values in order of rarity, the first SKETCH - NEED + 1 of both sketches
-   share one (a pigeonhole argument), and a value that occurs once needs no list. An ordinary document's rarest values are all its own, so it
+   expected, and fewer than needed(t) with a chance below 1e-7. Hence, with values in order of rarity, the first SKETCH - needed(t) + 1 of both
+   sketches share one (a pigeonhole argument), and a value that occurs once needs no list. An ordinary document's rarest values are all its own, so it
    enters no list at all.
 3. Short lists yield all their pairs; every pair passes a union-sketch estimate, then the exact Jaccard of the full sets.
    Long lists, of values in many copies of something, yield no pairs. Their documents are put into blocks, copies of one thing into the same
    blocks, and each two blocks that share a long list's value are compared once, in one task: sketch overlaps, then
-   exact intersections, as matrix products. A task returns a spanning forest of the links it finds, at most one row a document.
+   exact intersections, as matrix products; a block travels as one row. A task returns a spanning forest of the links it finds, at most one row a document.
 4. Links make components (components.py). The graph's nodes are class representatives, and a class's members follow theirs.
 
 No list, block or partner is capped. Cases: documents without words (null text too) have an empty set and are linked with nothing; a text with
@@ -20,6 +20,7 @@ null component_id and kept, and links nothing. An empty table gives an empty res
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,28 @@ from pyspark.sql import functions as F
 
 from kairoframe.llm.bytetext import mix, shingles, slices, text_bytes
 from kairoframe.llm.components import connected_components
+from kairoframe.llm.prefilter import filter_of, passing
 from kairoframe.llm.storage import write_shared
 
 SKETCH = 64
-NEED = 32  # of SKETCH values; for smaller sets a third of the values
 SHORT = 64  # documents in a list that is expanded into pairs
-BLOCK = 256
+BLOCK = 256  # documents, or BLOCK_MB of their sets
+BLOCK_MB = 8
 SLICE = 2 << 20
 SIGNATURES = "doc_id long, n int, one long, two long, sketch binary"
 
 
+def needed(percent: int) -> int:
+    """The most sketch values that two sets of this similarity share fewer of with a chance below 1e-7. Sketches of smaller sets are whole
+    sets, or nearly so, and share far more than the third that is asked of them."""
+    t, below = percent / 100, 0.0
+    for k in range(SKETCH + 1):
+        below += comb(SKETCH, k) * t**k * (1 - t) ** (SKETCH - k)
+        if below >= 1e-7:
+            return k
+    return SKETCH
+
+
 def distinct_shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Every text's distinct shingle hashes in ascending order, and their n + 1 offsets."""
     value, out = shingles(raw, offsets, size)
@@ -85,26 +98,27 @@ def full_sets(documents: DataFrame, size: int) -> DataFrame:
 
 
 def exploded(sketches: DataFrame) -> DataFrame:
-    """doc_id, kept (values in the sketch), value."""
+    """doc_id, value of every sketch value."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(1).to_pylist()
-            n = np.array([len(x) // 8 for x in raw], np.int64)
-            owner = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["doc_id", "kept", "value"])
+            owner = pa.array(np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["doc_id", "value"])
 
-    return sketches.select("doc_id", "sketch").mapInArrow(spread, "doc_id long, kept int, value long")
+    return sketches.select("doc_id", "sketch").mapInArrow(spread, "doc_id long, value long")
 
 
-def list_entries(sketches: DataFrame) -> DataFrame:
+def list_entries(sketches: DataFrame, percent: int) -> DataFrame:
     """doc_id, value, df of the values under which a document is listed: the rarest, without those that it alone has."""
     entries = exploded(sketches).repartition("value")
     shared = entries.join(entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value")
-    per_doc = shared.groupBy("doc_id").agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
-    need = F.when(F.col("kept") >= SKETCH, F.lit(NEED)).otherwise(F.greatest(F.lit(1), F.floor(F.col("kept") / 3).cast("int")))
+    per_doc = shared.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("df", "value"))).alias("values"))
+    kept = sketches.select("doc_id", (F.octet_length("sketch") / 8).cast("int").alias("kept")).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    need = F.when(F.col("kept") >= SKETCH, F.lit(needed(percent))).otherwise(F.greatest(F.lit(1), F.floor(F.col("kept") / 3).cast("int")))
     first = F.col("kept") - need + 1 - (F.col("kept") - F.size("values"))
-    return per_doc.withColumn("first", first).where("first > 0").select("doc_id", F.explode(F.slice("values", F.lit(1), F.col("first"))).alias("e")).select("doc_id", "e.df", "e.value")
+    listed = per_doc.join(kept, "doc_id").withColumn("first", first).where("first > 0")
+    return listed.select("doc_id", F.explode(F.slice("values", F.lit(1), F.col("first"))).alias("e")).select("doc_id", "e.df", "e.value")
 
 
 def cold_pairs(entries: DataFrame) -> DataFrame:
@@ -159,16 +173,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(judge, "a long, b long")
 
 
-def hot_blocks(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def hot_blocks(entries: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, block) of the documents in long lists, and (left, right), left <= right, of the blocks that share such a list's value.
+    sizes: doc_id, n (of its set).
 
     A document's home is the most frequent value that it is listed under; copies of one thing have few homes. A home's documents are dealt
-    out to blocks of about BLOCK by a hash."""
+    out to blocks of about BLOCK documents or BLOCK_MB by a hash."""
     hot = entries.where(F.col("df") > SHORT)
     homes = hot.groupBy("doc_id").agg(F.max(F.struct("df", "value")).alias("top")).select("doc_id", F.col("top.value").alias("home"))
-    sizes = homes.groupBy("home").agg(F.count("*").alias("n"))
-    cell = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    placed = write_shared(homes.join(sizes, "home").select("doc_id", F.xxhash64("home", cell).alias("block")), "blocks")
+    filled = homes.join(sizes, "doc_id").groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / (BLOCK_MB << 20))).alias("cells"))
+    cell = F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int")
+    placed = write_shared(homes.join(filled, "home").select("doc_id", F.xxhash64("home", cell).alias("block")), "blocks")
     lists = hot.join(placed, "doc_id").select("value", "block").distinct()
     meet = lists.groupBy("value").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
     first = meet.select("blocks", F.posexplode("blocks").alias("i", "left"))
@@ -216,69 +231,53 @@ def forest(left: np.ndarray, right: np.ndarray) -> list[int]:
 
 
 def hot_links(placed: DataFrame, meets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: spanning forests of the links between the documents of blocks that meet. Both blocks' sets come to one task, at most about
-    2 x BLOCK of them."""
-    filled = sets.join(placed, "doc_id")
-    sides = meets.select("left", "right", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("block")), F.struct(F.lit(1).alias("side"), F.col("right").alias("block")))).alias("s"))
-    rows = sides.select("left", "right", "s.side", "s.block").join(filled, "block").where((F.col("left") != F.col("right")) | (F.col("side") == 0)).select("left", "right", "side", "doc_id", "values")
-    dealt = rows.repartition("left", "right").sortWithinPartitions("left", "right", "side", "doc_id")
+    """a, b: spanning forests of the links between the documents of blocks that meet. A block is one row, its documents and their sets."""
+    blocks = sets.join(placed, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "values")).alias("rows"))
+    blocks = write_shared(blocks, "filled-blocks")
+    one, two = (blocks.select(F.col("block").alias(side), F.col("rows").alias(f"{side}_rows")) for side in ("left", "right"))
+    need = needed(percent)
+
+    def unpacked(rows: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        ids, values = rows.field(0).to_numpy(), rows.field(1)
+        return ids, [np.frombuffer(values[i].as_buffer(), np.uint64) for i in range(len(ids))]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, values = None, ([], []), ([], [])
-
-        def found() -> pa.RecordBatch:
-            same = not ids[1]
-            x, y = values[0], values[0] if same else values[1]
-            i, j = np.array(ids[0], np.int64), np.array(ids[0] if same else ids[1], np.int64)
-            a = b = np.zeros(0, np.int64)
-            if len(i) and len(j):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (i, x), (j, y) = (unpacked(batch.column(c)[row].values) for c in (0, 1))
                 sketched = _overlap([v[:SKETCH] for v in x], [v[:SKETCH] for v in y])
                 n, m = np.array([len(v) for v in x]), np.array([len(v) for v in y])
                 kept = np.minimum(np.minimum(n[:, None], m[None, :]), SKETCH)
-                maybe = sketched >= np.where(kept >= SKETCH, NEED, np.maximum(1, kept // 3))
+                maybe = sketched >= np.where(kept >= SKETCH, need, np.maximum(1, kept // 3))
                 rows_, columns_ = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
-                if len(rows_):
-                    common = _overlap([x[r] for r in rows_], [y[c] for c in columns_])
-                    good = similar(common, n[rows_][:, None], m[columns_][None, :], percent)
-                    r, c = np.nonzero(good)
-                    a, b = i[rows_[r]], j[columns_[c]]
-                    a, b = a[a != b], b[a != b]
-                    needed = forest(a, b)
-                    a, b = a[needed], b[needed]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            pairs = zip(*(batch.column(c).to_pylist() for c in range(4)))
-            for row, (left, right, side, doc) in enumerate(pairs):
-                if (left, right) != key:
-                    if key is not None:
-                        yield found()
-                    key, ids, values = (left, right), ([], []), ([], [])
-                ids[side].append(doc)
-                values[side].append(np.frombuffer(batch.column(4)[row].as_py(), np.uint64))
-        if key is not None:
-            yield found()
+                if not len(rows_):
+                    continue
+                common = _overlap([x[r] for r in rows_], [y[c] for c in columns_])
+                r, c = np.nonzero(similar(common, n[rows_][:, None], m[columns_][None, :], percent))
+                a, b = i[rows_[r]], j[columns_[c]]
+                kept_edges = forest(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a[kept_edges]), pa.array(b[kept_edges])], names=["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return meets.join(one, "left").join(two, "right").select("left_rows", "right_rows").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row. percent: the least Jaccard similarity of a link, in hundredths (80 or more)."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = write_shared(signatures(docs, size), "signatures")
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"))
-    classes = write_shared(classes, "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), "n", "one", "two")
-    sketches = write_shared(signed.join(reps, ["doc_id", "n", "one", "two"], "left_semi").select("doc_id", "sketch").distinct(), "sketches")
-    entries = write_shared(list_entries(sketches), "list-entries")
-    least = NEED / SKETCH
-    pairs = write_shared(estimated(cold_pairs(entries), sketches, least), "pairs")
-    placed, meets = hot_blocks(entries)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(placed.select("doc_id")).distinct()
-    sets = write_shared(full_sets(docs.join(wanted, "doc_id", "left_semi"), size).distinct(), "sets")
+    # The representative of a class is its smallest id, with the sketch that comes along.
+    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min(F.struct("doc_id", "sketch")).alias("rep"))
+    classes = write_shared(classes.select("n", "one", "two", F.col("rep.doc_id").alias("rep"), F.col("rep.sketch").alias("sketch")), "classes")
+    sketches = classes.select(F.col("rep").alias("doc_id"), "sketch")
+    entries = write_shared(list_entries(sketches, percent), "list-entries")
+    pairs = write_shared(estimated(cold_pairs(entries), sketches, needed(percent) / SKETCH), "pairs")
+    placed, meets = hot_blocks(entries, classes.select(F.col("rep").alias("doc_id"), "n"))
+    wanted = write_shared(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(placed.select("doc_id")).distinct(), "wanted")
+    texts = passing(docs.where("doc_id IS NOT NULL"), filter_of(wanted)).join(wanted, "doc_id", "left_semi")
+    sets = write_shared(full_sets(texts, size).distinct(), "sets")
     links = verified(pairs, sets, percent).unionByName(hot_links(placed, meets, sets, percent))
     roots = connected_components(links, "a", "b")
-    rooted = classes.join(roots, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("root", "rep").alias("root"))
+    rooted = classes.drop("sketch").join(roots, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("root", "rep").alias("root"))
     named = signed.select("doc_id", "n", "one", "two").join(rooted, ["n", "one", "two"], "left")
     component: Column = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
