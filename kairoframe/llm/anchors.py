@@ -30,7 +30,7 @@ def anchors(hashed: RangeHash, offsets: np.ndarray, length: int, choice: int) ->
     gram = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     gram[:last] = hashed(np.arange(last), np.arange(GRAM, n + 1))
     # The minimum over [i, i + choice) by doubling; the leftmost of equal ones, so places are carried along.
-    best = np.arange(n, dtype=np.int64)
+    best = np.arange(n, dtype=np.int32 if n < 2**31 else np.int64)
     width = 1
     while width < choice:
         step = min(width, choice - width)
@@ -43,7 +43,7 @@ def anchors(hashed: RangeHash, offsets: np.ndarray, length: int, choice: int) ->
     windows = np.maximum(sizes - length + 1, 0)
     text = np.repeat(np.arange(len(sizes)), windows)
     start = offsets[text] + np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
-    place = best[start]
+    place = best[start].astype(np.int64)
     new = np.ones(len(start), bool)
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)

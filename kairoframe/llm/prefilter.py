@@ -42,7 +42,7 @@ def passing(rows: DataFrame, bloom: Bloom | None, inside: bool = True) -> DataFr
     sent = rows.sparkSession.sparkContext.broadcast(bloom)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):  # only so many texts are copied at a time
             if batch.num_rows:
                 yield batch.filter(pa.array(sent.value.has(_keys(batch.column(0).to_numpy(zero_copy_only=False))) == inside))
 

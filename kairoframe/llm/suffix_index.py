@@ -34,7 +34,7 @@ from kairoframe.llm.bytetext import RangeHash, mix, slices, text_bytes
 from kairoframe.llm.prefilter import filter_of, passing
 from kairoframe.llm.storage import drop_shared, write_shared
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 HOT = 1024  # contexts of one prefix that are compared in one task
 NO_ID = -(2**63)
 ENTRY = "key long, context long, doc_id long, at long"
@@ -227,7 +227,7 @@ def _cold_repeats(rows: DataFrame) -> DataFrame:
             cut = int(np.searchsorted(key, key[-1], side="left"))
             if cut:
                 yield found(table.slice(0, cut))
-            held = table.slice(cut)
+            held = table.slice(cut).combine_chunks()
         if held is not None:
             yield found(held)
 
@@ -238,7 +238,7 @@ def _hot_repeats(rows: DataFrame) -> DataFrame:
     """The same for prefixes of very many contexts: string by string, as neighbours in one order over all partitions."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             if batch.num_rows:
                 row, number, value = _spread(batch.column(0).to_numpy(), batch.column(4).to_pylist())
                 starts = _starts(batch.column(1), batch.column(2).to_numpy(), row, number)
@@ -303,7 +303,7 @@ def removals(documents: DataFrame, found: DataFrame, length: int = 400) -> DataF
     span_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             out = []
             for text, at in zip(batch.column(1), batch.column(2)):
                 raw = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
