@@ -48,8 +48,60 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM marked GROUP BY doc_id
 """
 
+OP9_NEAR_DEDUP = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
+def _marked(text: str) -> str:
+    """decontamination.marked_words without looking around: rewritten with groups, twice where matches may touch."""
+    from kairoframe.llm.decontamination import UNITS
+
+    named = f"regexp_replace({text}, '([\\p{{L}}\\p{{N}},;:] )(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g')"
+    named = f"regexp_replace({named}, '([\\p{{L}}\\p{{N}},;:] )(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g')"
+    numbers = f"regexp_replace(regexp_replace({named}, '(\\d)[.,](\\d)', '\\1\\2', 'g'), '(\\d)[.,](\\d)', '\\1\\2', 'g')"
+    apart = f"regexp_replace({numbers}, '(\\d)(\\p{{L}})', '\\1 \\2', 'g')"
+    units = f"regexp_replace({apart}, '(\\d )((?i:{UNITS}))([^\\p{{L}}\\p{{N}}]|$)', '\\1' || chr(2) || '\\2\\3', 'g')"
+    return f"regexp_split_to_array(lower({units}), '[^\\p{{L}}\\p{{N}}\\x01\\x02]+')"
+
+
+_SLOT = "regexp_matches({w}, '^[0-9\\x01\\x02]')"
+_TEMPLATE = "array_to_string(list_transform({ws}, lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN '0' WHEN " + _SLOT.format(w="t") + " THEN t[1] ELSE t END), ' ')"
+
+OP10_DECONTAMINATION = f"""
+WITH iw AS (SELECT item_id, list_filter({_marked("text")}, lambda t: t <> '') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+ip AS (SELECT item_id, least(len(w), 8) AS size, w, unnest(range(0, len(w) - least(len(w), 8) + 1)) AS at_i FROM iw WHERE len(w) > 0),
+win AS (SELECT item_id, size, at_i, list_slice(w, at_i + 1, at_i + size) AS words FROM ip),
+good AS (SELECT *, {_TEMPLATE.format(ws="words")} AS tpl FROM win WHERE len(list_filter(words, lambda t: NOT {_SLOT.format(w="t")})) >= 5),
+cnt AS (SELECT item_id, count(DISTINCT at_i) AS n_windows FROM good GROUP BY 1),
+dw AS (SELECT doc_id, {_marked("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+dp AS (SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS start FROM dw, (SELECT DISTINCT size FROM good)),
+dn AS (SELECT doc_id, size, start, list_slice(w, start + 1, start + size) AS there FROM dp),
+dt AS (SELECT *, {_TEMPLATE.format(ws="there")} AS tpl FROM dn),
+hit AS (SELECT DISTINCT doc_id, item_id, at_i, start - at_i AS shift, words, there FROM dt JOIN good USING (size, tpl)),
+slot AS (SELECT DISTINCT doc_id, item_id, shift, p.a AS a, p.b AS b FROM (SELECT *, unnest(list_transform(range(1, len(words) + 1), lambda i: {{'a': words[i], 'b': there[i]}})) AS p FROM hit) WHERE {_SLOT.format(w="p.a")}),
+bad AS (SELECT doc_id, item_id, shift FROM slot GROUP BY 1, 2, 3, a HAVING count(*) > 1),
+ok AS (SELECT h.* FROM hit h ANTI JOIN bad USING (doc_id, item_id, shift)),
+per AS (SELECT doc_id, item_id, count(DISTINCT at_i) AS n_found, coalesce(bool_or(changed), false) AS reparameterised FROM ok
+  LEFT JOIN (SELECT DISTINCT doc_id, item_id, shift, true AS changed FROM slot WHERE a <> b) USING (doc_id, item_id, shift) GROUP BY 1, 2)
+SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, CAST(sum(n_found) AS BIGINT) AS n_found, bool_or(reparameterised) AS reparameterised
+FROM per JOIN cnt USING (item_id) WHERE n_found >= least(4, n_windows) GROUP BY 1
+"""
+
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_LINE_DEDUP,
     "op4_url_filter": OP4_URL_FILTER,
     "op5_block_search": OP5_BLOCK_SEARCH,
+    "op9_near_dedup": OP9_NEAR_DEDUP,
+    "op10_decontamination": OP10_DECONTAMINATION,
 }
