@@ -17,8 +17,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+from functools import lru_cache, partial
+from itertools import compress
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,15 @@ from kairoframe.llm.storage import write_shared
 #: White space as the tokenizer's pattern has it.
 _W = r"\t-\r \x85\xa0  -     　"
 #: Parts of a text that a byte-level BPE encodes apart from each other: its own pattern never joins two of them.
-PARTS = re.compile(rf"[{_W}]+(?![^{_W}])|[ \n]?[^{_W}]+|[{_W}]+")
+PARTS = re.compile(rf"[{_W}]+(?![^{_W}])|[ \n]?[^\W\d_]+|[ \n]?[^{_W}]+|[{_W}]+")
+none = partial(is_, None)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
     """Encodes texts part by part and remembers the parts: words repeat, so that the tokenizer only sees new ones."""
 
-    def __init__(self, path: str, remembered: int = 1_000_000) -> None:
+    def __init__(self, path: str, remembered: int = 400_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,9 +74,13 @@ class Encoder:
         if len(self.known) > self.remembered:
             self.known.clear()
         parts = [PARTS.findall(t) if t else [] for t in texts]
-        known = self.known
-        self.learn(list(set(chain.from_iterable(parts)) - known.keys()))
-        return [b"".join(map(known.__getitem__, ps)) for ps in parts]
+        get = self.known.get
+        found = [list(map(get, ps)) for ps in parts]
+        new = [i for i, f in enumerate(found) if None in f]
+        self.learn(list({p for i in new for p in compress(parts[i], map(none, found[i]))}))
+        for i in new:
+            found[i] = map(get, parts[i])
+        return [b"".join(f) for f in found]
 
 
 @lru_cache(maxsize=2)
@@ -97,6 +103,7 @@ def encoded(documents: DataFrame, tokenizer: str, end_id: int, doc_id: str = "do
                 n = np.array([len(x) // own.kind.itemsize for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(first + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "first", "n_tokens", "ids"])
                 first += int(n.sum())
+        own.known.clear()  # the worker goes on to other work
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, part int, first long, n_tokens long, ids binary")
 

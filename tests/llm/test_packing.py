@@ -19,7 +19,7 @@ def plain():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r'.,ab1é\x1c\u00a0\u3000"), st.characters()), max_size=60), max_size=4))
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r'.,ab1é\x1c\u00a0\u3000"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=4))
 def test_parts_encode_like_whole_texts(texts):
     t = packing.encoder(PATH).tokenizer
     got = [np.frombuffer(x, packing.encoder(PATH).kind).tolist() for x in packing.encoder(PATH)(texts)]
