@@ -31,7 +31,7 @@ LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 BITS = 18
 LENGTH = 64
-SLICE = 2 << 20
+SLICE = 1 << 20
 UNKNOWN = "und"
 KINDS = {name: np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i, name in enumerate(["word", "p1", "p2", "p3", "s1", "s2", "s3", "g2", "g3"])}
 
@@ -221,8 +221,10 @@ def predict(documents: DataFrame, crf: Crf | None) -> DataFrame:
 
 def known(documents: DataFrame, crf: Crf | None, least: float = 0.5) -> DataFrame:
     """documents, all columns, of those with a known language whose share is at least ``least``."""
-    judged = predict(documents.select("text", F.struct(*documents.columns).alias("__row")), crf)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__row.*")
+    others = [c for c in documents.columns if c != "text"]
+    renamed = documents.select("text", *(F.col(c).alias(f"__{i}") for i, c in enumerate(others)))  # names may clash with those of predict()
+    judged = predict(renamed, crf).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return judged.select("text", *(F.col(f"__{i}").alias(c) for i, c in enumerate(others))).select(*documents.columns)
 
 
 def _marginals_of_words(crf: Crf, lowered: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
