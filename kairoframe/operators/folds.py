@@ -150,3 +150,57 @@ def possession(quiet: int) -> tuple[Step, Finish]:
         return (owner, start, last, n, who, clock), emitted
 
     return step, close
+
+
+def greedy_match(width: int) -> Step:
+    """Rows (clock, id, team, opens 0/1): a closing row takes the latest open row of another team not more than ``width`` before it; each is used
+    once. Emits (opening id, closing id). State: open rows, the oldest first, pruned to the width."""
+
+    def step(waiting, row):
+        clock, id_, team, opens = row[:4]
+        waiting = [w for w in waiting if clock - w[0] <= width]
+        if opens:
+            return [*waiting, (clock, id_, team)], []
+        taken = next((w for w in reversed(waiting) if w[2] != team), None)
+        return [w for w in waiting if w is not taken], [(taken[1], id_)] if taken else []
+
+    return step
+
+
+def in_flight(longest: int) -> tuple[Step, Finish]:
+    """Rows (clock, id, what), what: arm, confirm, reset or any other: an armed candidate is confirmed, is dropped by a reset, is replaced by arming
+    again, or expires after ``longest``. Emits (armed id, ended at, outcome). State: the candidate (clock, id) or None."""
+
+    def step(candidate, row):
+        clock, id_, what = row[:3]
+        out = []
+        if candidate and clock - candidate[0] > longest:
+            out, candidate = [(candidate[1], candidate[0] + longest, "expired")], None
+        if candidate and what in ("arm", "confirm", "reset"):
+            out, candidate = [*out, (candidate[1], clock, {"arm": "replaced", "confirm": "confirmed", "reset": "dropped"}[what])], None
+        return ((clock, id_) if what == "arm" else candidate), out
+
+    def finish(candidate):
+        return [(candidate[1], candidate[0], "open")] if candidate else []
+
+    return step, finish
+
+
+def role_debounce(dwell: int, margin: int) -> Step:
+    """Rows (clock, id, leader, lead): the leader of a group holds until another has led by more than ``margin`` for ``dwell`` without interruption. Emits
+    (clock, id, leader that holds). State: (holding, challenger, since)."""
+
+    def step(s, row):
+        clock, id_, leader, lead = row[:4]
+        holding, challenger, since = s
+        if holding is None:
+            s = (leader, None, None)
+        elif leader == holding or lead <= margin:
+            s = (holding, None, None)
+        elif leader != challenger:
+            s = (holding, leader, clock)
+        elif clock - since >= dwell:
+            s = (leader, None, None)
+        return s, [(clock, id_, s[0])]
+
+    return step

@@ -120,3 +120,35 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     got = spark.table("kept").where("p <> 'z'")
     assert tuples(got, "p", "t", "id") == tuples(batch, "p", "t", "id")
+
+
+def fold(spark, rows, columns, start, step, finish, schema):
+    df = spark.createDataFrame([("a", *r) for r in rows], f"p string, t long, id long, {columns}")
+    names = [c.split()[0] for c in columns.split(", ")]
+    return [tuple(r)[1:] for r in folds.ordered_fold(df, KEYS, ORDER, names, start, step, finish, f"p string, {schema}").collect()]
+
+
+def test_greedy_match_uses_each_row_once(spark):
+    rows = [(0, 1, 0, 1), (1, 2, 0, 1), (2, 3, 1, 0), (2, 4, 1, 0), (2, 5, 1, 0), (9, 6, 0, 1), (13, 7, 1, 0), (14, 8, 0, 1), (15, 9, 0, 0)]
+    assert fold(spark, rows, "team int, opens int", list, folds.greedy_match(3), folds.nothing, "a long, b long") == [(2, 3), (1, 4)]
+
+
+def test_in_flight_outcomes(spark):
+    step, finish = folds.in_flight(5)
+    rows = [(0, 1, "arm"), (2, 2, "confirm"), (3, 3, "arm"), (4, 4, "arm"), (5, 5, "reset"), (6, 6, "arm"), (20, 7, "other"), (21, 8, "arm")]
+    assert fold(spark, rows, "what string", lambda: None, step, finish, "id long, at long, outcome string") == [(1, 2, "confirmed"), (3, 4, "replaced"), (4, 5, "dropped"), (6, 11, "expired"), (8, 21, "open")]
+
+
+def test_role_debounce(spark):
+    rows = [(0, 0, "x", 9), (1, 1, "y", 9), (2, 2, "y", 1), (3, 3, "y", 9), (4, 4, "y", 9), (5, 5, "y", 9), (6, 6, "x", 0)]
+    assert [r[2] for r in fold(spark, rows, "who string, lead int", lambda: (None, None, None), folds.role_debounce(2, 5), folds.nothing, "t long, id long, who string")] == ["x"] * 5 + ["y"] * 2
+
+
+def test_clips(spark, samples):
+    from kairoframe.sources import clips
+
+    got = clips.clip(samples.where("p = 'a'"), "t", 5, 20, 5)
+    assert tuples(got, "id", "in_clip") == [(0, False), (1, True), (2, True), (3, True)]
+    assert tuples(clips.snapshot(samples, KEYS, ORDER, "t", "s", 20).where("p = 'a'"), "s", "t") == [("y", 20)]
+    events = samples.where("id = 2").select("p", "t")
+    assert tuples(clips.around(events, samples, KEYS, "t", 5, 15), "id", "event_t") == [(0, 5), (1, 5), (2, 5), (3, 5)]
