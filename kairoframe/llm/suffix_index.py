@@ -35,7 +35,7 @@ from kairoframe.llm.prefilter import filter_of, passing
 from kairoframe.llm.storage import drop_shared, write_shared
 
 SLICE = 1 << 20
-HOT = 1024  # contexts of one prefix that are compared in one task
+HOT_BYTES = 16 << 20  # string hashes of one prefix that are compared in one task
 NO_ID = -(2**63)
 ENTRY = "key long, context long, doc_id long, at long"
 
@@ -265,12 +265,15 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     found = write_shared(family.matches(), "matches")
     family.drop()
     partial = found.where("NOT whole")
-    contested = partial.groupBy("key").agg(F.count("*").alias("n"))
-    others = found.where("whole").join(contested.select("key"), "key", "left_semi").groupBy("key", "context").agg(F.min(F.struct("doc_id", "at")).alias("one"))
+    contested = partial.select("key").distinct()
+    # Copies are reduced to one of each context before they are shuffled.
+    kinds = write_shared(found.where("whole").groupBy("key", "context").agg(F.min(F.struct("doc_id", "at")).alias("one")), "whole-contexts")
+    others = kinds.join(contested, "key", "left_semi")
     wanted = partial.select("key", "doc_id", "at", F.lit(True).alias("asked")).unionByName(others.select("key", "one.doc_id", "one.at", F.lit(False).alias("asked")))
     wanted = write_shared(wanted, "partial-matches")
     hashed = write_shared(_string_hashes(docs, wanted, length), "strings")
-    hot = write_shared(wanted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "hot-prefixes")
+    strings = F.shiftright("at", 16).bitwiseAND(F.lit(0xFF))
+    hot = write_shared(wanted.groupBy("key").agg(F.sum(strings * 6).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("key"), "hot-prefixes")
     cold_rows, hot_rows = hashed.join(hot, "key", "left_anti"), hashed.join(hot, "key", "left_semi")
     names = ["key", "doc_id", "at", "asked", "hashes"]
     starts = found.where("whole").select("doc_id", "at").unionByName(_cold_repeats(cold_rows.select(*names))).unionByName(_hot_repeats(hot_rows.select(*names)))

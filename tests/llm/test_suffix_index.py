@@ -28,10 +28,10 @@ def found(documents, rows, length=40, choice=20, batches=3):
     return sorted((tuple(r)[:5] for r in suffix_index.removals(df.select("doc_id", "text"), repeats, length).collect()), key=repr)
 
 
-@pytest.mark.parametrize("hot", [1024, 2])
+@pytest.mark.parametrize("hot", [16 << 20, 60])
 @pytest.mark.parametrize("batches", [1, 4, 5])
 def test_against_brute_force(documents, prose, hot, batches, monkeypatch):
-    monkeypatch.setattr(suffix_index, "HOT", hot)
+    monkeypatch.setattr(suffix_index, "HOT_BYTES", hot)
     r = random.Random(batches)
     passages = [prose(i, 12) for i in range(4)]
     rows = []
