@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from kairoframe.llm.bytetext import LOWER, RangeHash, mix, slices, text_bytes
 from kairoframe.llm.sampling import bounded_sample
+from kairoframe.llm.storage import bounded_batches
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -189,6 +190,7 @@ def train(labelled: DataFrame, most: int = 3000, windows: int = 2) -> Crf | None
 def predict(documents: DataFrame, crf: Crf | None) -> DataFrame:
     """documents (columns doc_id, text, then any), all columns, with lang_pred, score and n_switches (changes of the likeliest language
     between neighbouring words)."""
+    bounded_batches(documents.sparkSession)
     names = documents.columns
     sent = documents.sparkSession.sparkContext.broadcast(crf)
     lettered = documents.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))

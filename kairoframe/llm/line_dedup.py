@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairoframe.llm.bytetext import LOWER, RangeHash, slices, text_bytes, words
-from kairoframe.llm.storage import write_shared
+from kairoframe.llm.storage import bounded_batches, write_shared
 
 LINES = "doc_id long, version int, hash long, n_lines int, at binary"
 SLICE = 2 << 20
@@ -153,6 +153,7 @@ def _runs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Reco
 
 def keep_bitmaps(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 10, least_chars: int = 1) -> DataFrame:
     """doc_id, version, n_lines, n_dropped, keep (bitmap, zlib) of the documents that lose a line; all others keep every line."""
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), version(F.col(text)).alias("version"), F.col(text).alias("text"))
     lines = docs.mapInArrow(lambda batches: _line_rows(batches, least_chars), LINES)
     dealt = lines.repartitionByRange("hash", "doc_id", "version").sortWithinPartitions("hash", "doc_id", "version")

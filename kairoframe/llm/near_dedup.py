@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from kairoframe.llm.bytetext import mix, shingles, slices, text_bytes
 from kairoframe.llm.components import connected_components
 from kairoframe.llm.prefilter import filter_of, passing
-from kairoframe.llm.storage import write_shared
+from kairoframe.llm.storage import bounded_batches, write_shared
 
 SKETCH = 64
 SHORT = 64  # documents in a list that is expanded into pairs
@@ -263,6 +263,7 @@ def hot_links(placed: DataFrame, meets: DataFrame, sets: DataFrame, percent: int
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row. percent: the least Jaccard similarity of a link, in hundredths (80 or more)."""
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = write_shared(signatures(docs, size), "signatures")
     # The representative of a class is its smallest id, with the sketch that comes along.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairoframe.llm.storage import write_shared
+from kairoframe.llm.storage import bounded_batches, write_shared
 
 #: White space as the tokenizer's pattern has it.
 _W = r"\t-\r \x85\xa0  -     　"
@@ -111,6 +111,7 @@ def encoded(documents: DataFrame, tokenizer: str, end_id: int, doc_id: str = "do
 def pack(documents: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     table = write_shared(encoded(documents, tokenizer, end_id), "encoded")
     totals = table.groupBy("part").agg(F.max(F.col("first") + F.col("n_tokens")).alias("total")).orderBy("part").collect()  # a row a partition
     begins = np.zeros(1 + max((r["part"] for r in totals), default=0), np.int64)

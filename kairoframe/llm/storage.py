@@ -20,6 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return str(jvm_dir.get()).rstrip("/")
 
 
+ROWS_PER_BATCH = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python in Arrow batches, which exist on both sides at once. Spark counts their rows, 10,000 by default; operators
+    on texts lower that for the session, unless it is lower already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_PER_BATCH:
+        spark.conf.set(name, str(ROWS_PER_BATCH))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kairoframe/{name}-{uuid.uuid4().hex}"
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from kairoframe.llm.anchors import anchors, keys
 from kairoframe.llm.bytetext import RangeHash, mix, slices, text_bytes
 from kairoframe.llm.prefilter import filter_of, passing
-from kairoframe.llm.storage import drop_shared, write_shared
+from kairoframe.llm.storage import bounded_batches, drop_shared, write_shared
 
 SLICE = 1 << 20
 HOT_BYTES = 16 << 20  # string hashes of one prefix that are compared in one task
@@ -255,6 +255,7 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     ``length`` bytes. The documents come to the index in ``batches`` batches."""
     if not 0 < choice < min(256, length):
         raise ValueError("choice has to be below 256 and below length")
+    bounded_batches(documents.sparkSession)
     docs = documents.select(document_key(F.col(doc_id)).alias("doc_id"), version(F.col(text)).alias("version"), F.col(text).alias("text"))
     family = Family(documents.sparkSession)
     for i in range(batches):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairoframe.llm.bytetext import LOWER, RangeHash, mix, slices, text_bytes
-from kairoframe.llm.storage import write_shared
+from kairoframe.llm.storage import bounded_batches, write_shared
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -181,6 +181,7 @@ SCORES = "score double, n_sentences int, worst_sentence int, worst_score double,
 
 def score(documents: DataFrame, model: Model, offending_from: float = 0.5) -> DataFrame:
     """documents (columns doc_id, text, then any) without text, with the document's score, its worst sentence and the byte ranges of the offending ones."""
+    bounded_batches(documents.sparkSession)
     names = [c for c in documents.columns if c != "text"]
     sent = documents.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
