@@ -2,8 +2,10 @@
 
 Numbers, names and units become typed placeholders: a number is a run of digits (separators inside it dropped), a unit one of UNITS right
 after a number, a name a capitalised word inside a sentence (after a letter, digit or one of , ; : and a space). All other
-words, lower-cased, are literals. A benchmark item is cut into windows of ``window`` template words (an item that is shorter: one window of
-all), each with at least ``literals`` literals. A document holds a window if its template words are equal there; so a
+words, lower-cased, are literals. What is a slot is decided by the item alone: a word of a document fits if it is the same but for capitals, or if
+the item has a slot there and the word is of its type, where every capitalised word of a document may be a name. So what stands before a copy,
+its full stops and its capitals do not matter. A benchmark item is cut into windows of ``window`` template words (an item that is shorter: one window of
+all), each with at least ``literals`` literals. A document holds a window if its words fit there; so a
 question whose numbers or names were exchanged is found as well. The exchange has to be consistent: along one alignment of item and
 document, each value of the item stands for one value of the document.
 
@@ -28,40 +30,48 @@ from kairoframe.llm.storage import write_shared
 
 #: Words that are units right after a number.
 UNITS = "km|m|cm|mm|miles?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|ml|litres?|liters?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|usd|eur|dollars?|euros?|cents?|percent|kwh|w|kw|v|hz|mph|kmh|degrees?"
-NAME, UNIT = "\u0001", "\u0002"
+NAME, UNIT, CAPITAL = "\u0001", "\u0002", "\u0003"
 
 
-def marked_words(text: Column) -> Column:
-    """The words of a text, lower-cased; names begin with NAME, units with UNIT, numbers with a digit."""
+def marked_words(text: Column, capitals: bool = False) -> Column:
+    """The words of a text, lower-cased; names begin with NAME, units with UNIT, numbers with a digit, and with ``capitals`` all other
+    capitalised words with CAPITAL."""
     named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu})", NAME)
+    if capitals:
+        named = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}])(?=\p{{Lu}})", CAPITAL)
     numbers = F.regexp_replace(named, r"(?<=\d)[.,](?=\d)", "")
     apart = F.regexp_replace(numbers, r"(?<=\d)(?=\p{L})", " ")
-    units = F.regexp_replace(apart, rf"(?<=\d )(?=(?i:{UNITS})(?![\p{{L}}\p{{N}}]))", UNIT)
-    return F.split(F.lower(F.when(text.rlike(r"\d"), units).otherwise(named)), rf"[^\p{{L}}\p{{N}}{NAME}{UNIT}]+")
+    units = F.regexp_replace(apart, rf"(?<=\d ){NAME}?(?=(?i:{UNITS})(?![\p{{L}}\p{{N}}]))", UNIT)
+    return F.split(F.lower(F.when(text.rlike(r"\d"), units).otherwise(named)), rf"[^\p{{L}}\p{{N}}{NAME}{UNIT}{CAPITAL}]+")
 
 
 def is_slot(word: Column) -> Column:
     return word.rlike(rf"^[\d{NAME}{UNIT}]")
 
 
-def template(word: Column) -> Column:
-    return F.when(word.rlike(r"^\d"), "0").when(is_slot(word), F.substring(word, 1, 1)).otherwise(word)
+def plain(word: Column) -> Column:
+    """The word without its mark."""
+    return F.when(word < "\u0004", F.substring(word, 2, 1 << 30)).otherwise(word)
+
+
+def kind(word: Column) -> Column:
+    """The type of a slot; null for a literal."""
+    return F.when(word.rlike(r"^\d"), "0").when(is_slot(word), F.substring(word, 1, 1))
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, window: int, literals: int) -> DataFrame:
-    """anchor, offset (of the anchor in the window), item_id, at (of the window), n_windows (of the item), size, template, words."""
+    """anchor, offset (of the anchor in the window), item_id, at (of the window), n_windows (of the item), size, kinds, plain, words."""
     words = F.filter(marked_words(F.col(text)), lambda w: w != "")
     rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item_id"), words.alias("w")).distinct().where(F.size("w") > 0)
     rows = rows.withColumn("size", F.least(F.size("w"), F.lit(window)))
     rows = rows.select("item_id", "size", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))).alias("at"))
     rows = rows.select("item_id", "size", "at", F.slice("w", F.col("at") + 1, F.col("size")).alias("words"))
-    plain = F.filter("words", lambda w: ~is_slot(w))
-    rows = rows.withColumn("plain", plain).where(F.size("plain") >= literals)
+    rows = rows.withColumn("literals", F.filter("words", lambda w: ~is_slot(w))).where(F.size("literals") >= literals)
     # The first of the longest literals.
-    longest = F.aggregate("plain", F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    longest = F.aggregate("literals", F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
     rows = rows.withColumn("anchor", longest).withColumn("offset", F.array_position("words", F.col("anchor")).cast("int") - 1)
     counts = rows.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
-    return rows.join(counts, "item_id").select("anchor", "offset", "item_id", "at", "n_windows", "size", F.transform("words", template).alias("template"), "words")
+    return rows.join(counts, "item_id").select("anchor", "offset", "item_id", "at", "n_windows", "size", F.transform("words", kind).alias("kinds"), F.transform("words", plain).alias("plain"), "words")
 
 
 def contamination(
@@ -76,32 +86,38 @@ def contamination(
     least: int = 4,
     most_broadcast: int = 200_000,
 ) -> DataFrame:
-    """One row per document and item found in it: doc_id, item_id, n_found (windows), n_windows (of the item), reparameterised."""
+    """One row per document and item found in it: doc_id, item_id, n_fitting (windows), n_windows (of the item), reparameterised, n_found
+    (those of the fitting windows whose words are typed alike in both texts). The SQL counts and decides by n_found; here n_fitting decides."""
     windows = write_shared(item_windows(items, item_id, item_text, window, literals), "item-windows")
-    docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), marked_words(F.col(text)).alias("w"))
+    docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), marked_words(F.col(text), capitals=True).alias("w"))
     # The outer form, since of the other one Spark would derive a filter that splits every text again.
-    spread = docs.select("doc_id", "w", F.posexplode_outer("w").alias("pos", "anchor"))
+    spread = docs.select("doc_id", "w", F.posexplode_outer("w").alias("pos", "anchor")).withColumn("anchor", plain(F.col("anchor")))
     if windows.count() <= most_broadcast:
         windows = F.broadcast(windows)
     # Word by word, without array functions of higher order: so words, join and comparison are one generated loop that copies no array.
     start = F.col("pos") - F.col("offset")
     there = [F.get("w", start + i) for i in range(window)]
-    same = [(F.lit(i) >= F.col("size")) | (template(word) == F.get("template", F.lit(i))) for i, word in enumerate(there)]
-    found = spread.join(windows, "anchor").where((start >= 0) & reduce(and_, same))
-    pairs = F.arrays_zip(F.col("words").alias("item"), F.slice(F.array(*there), F.lit(1), F.col("size")).alias("document"))
-    hits = found.select("doc_id", "item_id", "at", "n_windows", (start - F.col("at")).alias("shift"), pairs.alias("slots"))
+    slot = [F.get("kinds", F.lit(i)) for i in range(window)]
+    beyond = [F.lit(i) >= F.col("size") for i in range(window)]
+    fits = [b | (plain(w) == F.get("plain", F.lit(i))) | (kind(w) == k) | ((k == NAME) & w.startswith(CAPITAL)) for i, (w, k, b) in enumerate(zip(there, slot, beyond))]
+    typed = reduce(and_, [b | kind(w).eqNullSafe(k) for w, k, b in zip(there, slot, beyond)])
+    found = spread.join(windows, "anchor").where((start >= 0) & reduce(and_, fits))
+    pairs = F.arrays_zip(F.col("words").alias("item"), F.slice(F.array(*map(plain, there)), F.lit(1), F.col("size")).alias("document"))
+    hits = found.select("doc_id", "item_id", "at", "n_windows", (start - F.col("at")).alias("shift"), F.when(typed, F.col("at")).alias("typed"), pairs.alias("slots"))
     # One row per window and alignment, then one per alignment: its values have to be a mapping.
     aligned = hits.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("at").alias("found"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.collect_set("at").alias("found"), F.collect_set("typed").alias("typed"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     aligned = aligned.withColumn("slots", F.filter("slots", lambda p: is_slot(p["item"])))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == F.size("slots")
-    changed = F.exists("slots", lambda p: p["item"] != p["document"])
+    changed = F.exists("slots", lambda p: plain(p["item"]) != p["document"])
     per_item = aligned.where(consistent).groupBy("doc_id", "item_id").agg(
-        F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"), F.max("n_windows").alias("n_windows"), F.max(changed).alias("reparameterised")
+        *(F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long").alias(n) for c, n in (("found", "n_fitting"), ("typed", "n_found"))),
+        F.max("n_windows").alias("n_windows"),
+        F.max(changed).alias("reparameterised"),
     )
-    per_item = per_item.withColumn("n_found", F.size("found").cast("long")).where(F.col("n_found") >= F.least(F.lit(least), F.col("n_windows")))
-    return per_item.select("doc_id", "item_id", "n_found", "n_windows", "reparameterised")
+    per_item = per_item.where(F.col("n_fitting") >= F.least(F.lit(least), F.col("n_windows")))
+    return per_item.select("doc_id", "item_id", "n_found", "n_windows", "reparameterised", "n_fitting")
 
 
 def decontaminated(documents: DataFrame, items: DataFrame, **options) -> DataFrame:

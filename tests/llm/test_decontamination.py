@@ -71,3 +71,26 @@ def test_clean_documents_stay_with_all_columns(spark, documents, prose):
     df = documents([(1, QUESTION), (2, prose(1, 50)), (3, None), (None, QUESTION)])
     kept = D.decontaminated(df, bench)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3]
+
+
+@pytest.mark.parametrize(
+    "copy",
+    [
+        "Question: What is the tallest mountain of the northern island chain? Yes",
+        "they answer What is the tallest mountain of the northern island chain",
+        "so it says what is the tallest mountain of the northern island chain and more",
+        "WHAT IS THE TALLEST MOUNTAIN OF THE NORTHERN ISLAND CHAIN",
+    ],
+)
+def test_what_stands_before_a_copy_and_its_capitals_do_not_matter(spark, documents, copy):
+    item = "What is the tallest mountain of the northern island chain?"
+    assert set(find(spark, documents, [(1, copy), (2, "What is the tallest building of the northern island chain?")], [(7, item)])) == {(1, 7)}
+
+
+def test_capitals_of_names_and_units_and_lost_full_stops(spark, documents):
+    sentences = "Trains leave at noon. Buses leave an hour later. Ships wait for both. Planes never wait for them"
+    docs = [(1, QUESTION.upper()), (2, QUESTION.lower()), (3, "so " + sentences.replace(".", "")), (4, "so. " + sentences.replace(". ", ", "))]
+    bench = spark.createDataFrame([(7, QUESTION), (8, sentences)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in D.contamination(documents(docs), bench).collect()}
+    assert {k: r.reparameterised for k, r in got.items()} == {(1, 7): False, (2, 7): False, (3, 8): False, (4, 8): False}
+    assert all(r.n_fitting == r.n_windows for r in got.values())
