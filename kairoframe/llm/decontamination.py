@@ -5,7 +5,7 @@ after a number, a name a capitalised word inside a sentence (after a letter, dig
 words, lower-cased, are literals. What is a slot is decided by the item alone: a word of a document fits if it is the same but for capitals, or if
 the item has a slot there and the word is of its type, where every capitalised word of a document may be a name. So what stands before a copy,
 its full stops and its capitals do not matter. A benchmark item is cut into windows of ``window`` template words (an item that is shorter: one window of
-all), each with at least ``literals`` literals. A document holds a window if its words fit there; so a
+all). In one with fewer than ``literals`` literals (numbers, tables, lists of names) nothing may be exchanged: it has no slots. A document holds a window if its words fit there; so a
 question whose numbers or names were exchanged is found as well. The exchange has to be consistent: along one alignment of item and
 document, each value of the item stands for one value of the document.
 
@@ -13,8 +13,9 @@ The join: a window's anchor is its longest literal. The documents' words meet th
 only there the whole window is compared. The anchors are broadcast if their counted number is below ``most_broadcast``, else Spark
 joins by shuffle, and splits skewed words. Documents' texts are never shuffled in the first case.
 
-An item counts as found with at least ``least`` windows (all, if it has fewer) on consistent alignments. Cases: null or empty texts and items
-hold nothing; an item with fewer literals than ``literals`` is never found; items or documents given twice count once; documents or items with
+An item counts as found with at least ``least`` windows on consistent alignments: all, if it has fewer, or all with slots allowed, if it has fewer of
+those (its other windows are lost where its numbers were exchanged). Cases: null or empty texts and items
+hold nothing; an item of fewer words than ``shortest`` is never found; items or documents given twice count once; documents or items with
 a null id are left out of the result. Empty tables give an empty result. Further columns are ignored.
 """
 
@@ -59,19 +60,23 @@ def kind(word: Column) -> Column:
     return F.when(word.rlike(r"^\d"), "0").when(is_slot(word), F.substring(word, 1, 1))
 
 
-def item_windows(items: DataFrame, item_id: str, text: str, window: int, literals: int) -> DataFrame:
-    """anchor, offset (of the anchor in the window), item_id, at (of the window), n_windows (of the item), size, kinds, plain, words."""
+def item_windows(items: DataFrame, item_id: str, text: str, window: int, literals: int, shortest: int) -> DataFrame:
+    """anchor, offset (of the anchor in the window), item_id, at (of the window), n_windows (of the item), n_open (of them), open (it may have
+    slots), size, kinds, plain, words."""
     words = F.filter(marked_words(F.col(text)), lambda w: w != "")
-    rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item_id"), words.alias("w")).distinct().where(F.size("w") > 0)
+    rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item_id"), words.alias("w")).distinct().where(F.size("w") >= shortest)
     rows = rows.withColumn("size", F.least(F.size("w"), F.lit(window)))
     rows = rows.select("item_id", "size", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))).alias("at"))
     rows = rows.select("item_id", "size", "at", F.slice("w", F.col("at") + 1, F.col("size")).alias("words"))
-    rows = rows.withColumn("literals", F.filter("words", lambda w: ~is_slot(w))).where(F.size("literals") >= literals)
-    # The first of the longest literals.
-    longest = F.aggregate("literals", F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
-    rows = rows.withColumn("anchor", longest).withColumn("offset", F.array_position("words", F.col("anchor")).cast("int") - 1)
-    counts = rows.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
-    return rows.join(counts, "item_id").select("anchor", "offset", "item_id", "at", "n_windows", "size", F.transform("words", kind).alias("kinds"), F.transform("words", plain).alias("plain"), "words")
+    plain_words = F.transform("words", plain)
+    rows = rows.withColumn("literals", F.filter("words", lambda w: ~is_slot(w))).withColumn("open", F.size("literals") >= literals).withColumn("plain", plain_words)
+    # The first of the longest words that have to be equal.
+    longest = F.aggregate(F.when(F.col("open"), F.col("literals")).otherwise(F.col("plain")), F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    rows = rows.withColumn("anchor", longest).withColumn("offset", F.array_position(F.when(F.col("open"), F.col("words")).otherwise(F.col("plain")), F.col("anchor")).cast("int") - 1)
+    counts = rows.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"), F.countDistinct(F.when(F.col("open"), F.col("at"))).alias("n_open"))
+    kinds = F.transform("words", lambda w: F.when(F.col("open"), kind(w)))
+    words = F.when(F.col("open"), F.col("words")).otherwise(F.transform("plain", lambda w: F.lit("")))
+    return rows.join(counts, "item_id").select("anchor", "offset", "item_id", "at", "n_windows", "n_open", "open", "size", kinds.alias("kinds"), "plain", words.alias("words"))
 
 
 def contamination(
@@ -84,11 +89,12 @@ def contamination(
     window: int = 8,
     literals: int = 5,
     least: int = 4,
+    shortest: int = 3,
     most_broadcast: int = 200_000,
 ) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, n_fitting (windows), n_windows (of the item), reparameterised, n_found
     (those of the fitting windows whose words are typed alike in both texts). The SQL counts and decides by n_found; here n_fitting decides."""
-    windows = write_shared(item_windows(items, item_id, item_text, window, literals), "item-windows")
+    windows = write_shared(item_windows(items, item_id, item_text, window, literals, shortest), "item-windows")
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), marked_words(F.col(text), capitals=True).alias("w"))
     # The outer form, since of the other one Spark would derive a filter that splits every text again.
     spread = docs.select("doc_id", "w", F.posexplode_outer("w").alias("pos", "anchor")).withColumn("anchor", plain(F.col("anchor")))
@@ -100,23 +106,24 @@ def contamination(
     slot = [F.get("kinds", F.lit(i)) for i in range(window)]
     beyond = [F.lit(i) >= F.col("size") for i in range(window)]
     fits = [b | (plain(w) == F.get("plain", F.lit(i))) | (kind(w) == k) | ((k == NAME) & w.startswith(CAPITAL)) for i, (w, k, b) in enumerate(zip(there, slot, beyond))]
-    typed = reduce(and_, [b | kind(w).eqNullSafe(k) for w, k, b in zip(there, slot, beyond)])
+    typed = ~F.col("open") | reduce(and_, [b | kind(w).eqNullSafe(k) for w, k, b in zip(there, slot, beyond)])
     found = spread.join(windows, "anchor").where((start >= 0) & reduce(and_, fits))
     pairs = F.arrays_zip(F.col("words").alias("item"), F.slice(F.array(*map(plain, there)), F.lit(1), F.col("size")).alias("document"))
-    hits = found.select("doc_id", "item_id", "at", "n_windows", (start - F.col("at")).alias("shift"), F.when(typed, F.col("at")).alias("typed"), pairs.alias("slots"))
+    hits = found.select("doc_id", "item_id", "at", "n_windows", "n_open", (start - F.col("at")).alias("shift"), F.when(typed, F.col("at")).alias("typed"), F.when(F.col("open"), F.col("at")).alias("open"), pairs.alias("slots"))
     # One row per window and alignment, then one per alignment: its values have to be a mapping.
     aligned = hits.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("at").alias("found"), F.collect_set("typed").alias("typed"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.collect_set("at").alias("found"), F.collect_set("typed").alias("typed"), F.collect_set("open").alias("open"), *(F.max(c).alias(c) for c in ("n_windows", "n_open")), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     aligned = aligned.withColumn("slots", F.filter("slots", lambda p: is_slot(p["item"])))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == F.size("slots")
     changed = F.exists("slots", lambda p: plain(p["item"]) != p["document"])
     per_item = aligned.where(consistent).groupBy("doc_id", "item_id").agg(
-        *(F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long").alias(n) for c, n in (("found", "n_fitting"), ("typed", "n_found"))),
-        F.max("n_windows").alias("n_windows"),
+        *(F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long").alias(n) for c, n in (("found", "n_fitting"), ("typed", "n_found"), ("open", "n_open_found"))),
+        *(F.max(c).alias(c) for c in ("n_windows", "n_open")),
         F.max(changed).alias("reparameterised"),
     )
-    per_item = per_item.where(F.col("n_fitting") >= F.least(F.lit(least), F.col("n_windows")))
+    all_open = (F.col("n_open") > 0) & (F.col("n_open_found") >= F.least(F.lit(least), F.col("n_open")))
+    per_item = per_item.where((F.col("n_fitting") >= F.least(F.lit(least), F.col("n_windows"))) | all_open)
     return per_item.select("doc_id", "item_id", "n_found", "n_windows", "reparameterised", "n_fitting")
 
 

@@ -94,3 +94,16 @@ def test_capitals_of_names_and_units_and_lost_full_stops(spark, documents):
     got = {(r.doc_id, r.item_id): r for r in D.contamination(documents(docs), bench).collect()}
     assert {k: r.reparameterised for k, r in got.items()} == {(1, 7): False, (2, 7): False, (3, 8): False, (4, 8): False}
     assert all(r.n_fitting == r.n_windows for r in got.values())
+
+
+def test_items_of_few_literals_are_found_as_they_are(spark, documents):
+    items = [(1, "What is 17 times 23 plus 4?"), (2, "name the largest ocean"), (3, "1 4 9 16 25 36 49 64 81 100 121"), (4, "the cast was Anna Berg, Karl Ode, Ines Roy, Paul Tan, Mia Fox, Leo Kern")]
+    docs = [(i, f"So. The text: {t} And more.") for i, t in items] + [(5, "What is 17 times 24 plus 4?"), (6, "1 4 9 16 25 35 49 64 81"), (7, "name the largest river")]
+    assert set(find(spark, documents, docs, items)) == {(i, i) for i, _ in items}
+    assert set(find(spark, documents, docs, items, most_broadcast=0)) == {(i, i) for i, _ in items}
+
+
+def test_numbers_beside_few_wordy_windows_may_still_be_exchanged(spark, documents):
+    item = "add 3 and 5 and 7 and 9 then 2 and 8 and tell the sum of them all"
+    docs = [(1, item), (2, "add 4 and 6 and 1 and 8 then 9 and 5 and tell the sum of them all"), (3, "tell 4 and 6 the sum")]
+    assert set(find(spark, documents, docs, [(7, item)])) == {(1, 7), (2, 7)}
