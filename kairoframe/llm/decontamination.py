@@ -7,7 +7,9 @@ the item has a slot there and the word is of its type, where every capitalised w
 its full stops and its capitals do not matter. A benchmark item is cut into windows of ``window`` template words (an item that is shorter: one window of
 all). In one with fewer than ``literals`` literals (numbers, tables, lists of names) nothing may be exchanged: it has no slots. A document holds a window if its words fit there; so a
 question whose numbers or names were exchanged is found as well. The exchange has to be consistent: along one alignment of item and
-document, each value of the item stands for one value of the document.
+document, each value of the item stands for one value of the document. Windows in which nothing was exchanged count in any case. Of the others,
+those are dropped that hold a number or unit which stands for several (it may have been the same by chance), and all of them if a name does
+(then the persons are others).
 
 The join: a window's anchor is its longest literal. The documents' words meet the anchors (few, and mostly rare words) in a hash join;
 only there the whole window is compared. The anchors are broadcast if their counted number is below ``most_broadcast``, else Spark
@@ -109,18 +111,22 @@ def contamination(
     typed = ~F.col("open") | reduce(and_, [b | kind(w).eqNullSafe(k) for w, k, b in zip(there, slot, beyond)])
     found = spread.join(windows, "anchor").where((start >= 0) & reduce(and_, fits))
     pairs = F.arrays_zip(F.col("words").alias("item"), F.slice(F.array(*map(plain, there)), F.lit(1), F.col("size")).alias("document"))
-    hits = found.select("doc_id", "item_id", "at", "n_windows", "n_open", (start - F.col("at")).alias("shift"), F.when(typed, F.col("at")).alias("typed"), F.when(F.col("open"), F.col("at")).alias("open"), pairs.alias("slots"))
+    slots = F.filter(pairs, lambda p: is_slot(p["item"]))
+    hits = found.select("doc_id", "item_id", "n_windows", "n_open", (start - F.col("at")).alias("shift"), F.struct("at", "open", typed.alias("typed"), slots.alias("slots")).alias("hit"))
     # One row per window and alignment, then one per alignment: its values have to be a mapping.
-    aligned = hits.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("at").alias("found"), F.collect_set("typed").alias("typed"), F.collect_set("open").alias("open"), *(F.max(c).alias(c) for c in ("n_windows", "n_open")), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
-    )
-    aligned = aligned.withColumn("slots", F.filter("slots", lambda p: is_slot(p["item"])))
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == F.size("slots")
-    changed = F.exists("slots", lambda p: plain(p["item"]) != p["document"])
-    per_item = aligned.where(consistent).groupBy("doc_id", "item_id").agg(
-        *(F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long").alias(n) for c, n in (("found", "n_fitting"), ("typed", "n_found"), ("open", "n_open_found"))),
+    aligned = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("hit").alias("hits"), *(F.max(c).alias(c) for c in ("n_windows", "n_open")))
+    values = F.array_sort(F.transform(F.array_distinct(F.flatten("hits.slots")), lambda p: p["item"]))
+    aligned = aligned.withColumn("values", values)
+    aligned = aligned.withColumn("several", F.array_distinct(F.filter("values", lambda v, i: v == F.get("values", i - 1))))
+    aligned = aligned.withColumn("persons", F.exists("several", lambda v: v.startswith(NAME)))
+    changed = lambda h: F.exists(h["slots"], lambda p: plain(p["item"]) != p["document"])
+    clash = lambda h: F.col("persons") | F.exists(h["slots"], lambda p: F.array_contains(F.col("several"), p["item"]))
+    aligned = aligned.withColumn("hits", F.filter("hits", lambda h: ~(changed(h) & clash(h)))).where(F.size("hits") > 0)
+    found_at = {"n_fitting": F.col("hits.at"), "n_found": F.filter("hits", lambda h: h["typed"])["at"], "n_open_found": F.filter("hits", lambda h: h["open"])["at"]}
+    per_item = aligned.groupBy("doc_id", "item_id").agg(
+        *(F.size(F.array_distinct(F.flatten(F.collect_set(at)))).cast("long").alias(n) for n, at in found_at.items()),
         *(F.max(c).alias(c) for c in ("n_windows", "n_open")),
-        F.max(changed).alias("reparameterised"),
+        F.max(F.exists("hits", changed)).alias("reparameterised"),
     )
     all_open = (F.col("n_open") > 0) & (F.col("n_open_found") >= F.least(F.lit(least), F.col("n_open")))
     per_item = per_item.where((F.col("n_fitting") >= F.least(F.lit(least), F.col("n_windows"))) | all_open)

@@ -107,3 +107,15 @@ def test_numbers_beside_few_wordy_windows_may_still_be_exchanged(spark, document
     item = "add 3 and 5 and 7 and 9 then 2 and 8 and tell the sum of them all"
     docs = [(1, item), (2, "add 4 and 6 and 1 and 8 then 9 and 5 and tell the sum of them all"), (3, "tell 4 and 6 the sum")]
     assert set(find(spark, documents, docs, [(7, item)])) == {(1, 7), (2, 7)}
+
+
+def test_one_inconsistent_value_does_not_lose_the_windows_without_it(spark, documents, prose):
+    long = f"it weighs 5 kg {prose(1, 40)} and the other 5 kg belong to us where Mary met {prose(2, 10)} with Mary today"
+    fruits = "Tom put 3 apples and 3 pears into the basket then walked home and told everyone about the fruits inside it"
+    docs = [
+        (1, long.replace("other 5", "other 6")),
+        (2, long.replace("other 5 kg", "other 5 lbs")),
+        (3, long.replace("with Mary", "with Anna")),
+        (4, fruits.replace("3 apples", "4 apples").replace("3 pears", "7 pears")),
+    ]
+    assert set(find(spark, documents, docs, [(7, long), (8, fruits)])) == {(1, 7), (2, 7), (3, 7), (4, 8)}
