@@ -36,16 +36,16 @@ from kairoframe.llm.storage import bounded_batches, drop_shared, write_shared
 
 SLICE = 1 << 20
 HOT_BYTES = 16 << 20  # string hashes of one prefix that are compared in one task
-NO_ID = -(2**63)
 ENTRY = "key long, context long, doc_id long, at long"
 
 
-def document_key(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+def document_key(doc_id: Column, text: Column) -> Column:
+    """64 bits of id and text: texts of one id, and all texts without an id, are told apart; rows equal in both share a key."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
 
 
 def version(text: Column) -> Column:
-    """16 bits that tell apart the texts of one id."""
+    """16 bits of the text, besides the document key."""
     return F.coalesce(F.hash(text), F.lit(0)).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
 
@@ -256,7 +256,7 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     if not 0 < choice < min(256, length):
         raise ValueError("choice has to be below 256 and below length")
     bounded_batches(documents.sparkSession)
-    docs = documents.select(document_key(F.col(doc_id)).alias("doc_id"), version(F.col(text)).alias("version"), F.col(text).alias("text"))
+    docs = documents.select(document_key(F.col(doc_id), F.col(text)).alias("doc_id"), version(F.col(text)).alias("version"), F.col(text).alias("text"))
     family = Family(documents.sparkSession)
     for i in range(batches):
         # Written first: dealing rows out by range reads them twice, and a second reading of the table costs less than one of the texts.
@@ -298,7 +298,7 @@ def removals(documents: DataFrame, found: DataFrame, length: int = 400) -> DataF
 
     Only texts that may hold repeated strings are shuffled to meet them."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    docs = documents.select(document_key(F.col("doc_id")).alias("key"), version(F.col("text")).alias("version"), F.col("doc_id"), F.col("text"))
+    docs = documents.select(document_key(F.col("doc_id"), F.col("text")).alias("key"), version(F.col("text")).alias("version"), F.col("doc_id"), F.col("text"))
     found = write_shared(found, "repeats")
     bloom = filter_of(found.select("doc_id").distinct())
     right = found.select(F.col("doc_id").alias("key"), "version", "at")

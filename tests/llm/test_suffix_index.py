@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from kairoframe.llm import suffix_index
 
@@ -69,3 +70,10 @@ def test_levels_merge_geometrically(spark, documents):
         family.insert(suffix_index.entries(docs, 40, 20))
         sizes.append(sorted(family.levels))
     assert sizes == [[0], [1], [0, 1], [2], [0, 2], [1, 2]]
+
+
+def test_many_texts_without_an_id_are_documents_of_their_own(spark, documents, prose):
+    rows = [(None, prose(i, 15 + i % 7) + (prose(9000 + i % 40, 12) if i % 3 else "")) for i in range(700)]
+    assert found(documents, rows, batches=2) == brute(rows, 40)
+    keys = documents(rows).select(suffix_index.document_key(F.col("doc_id"), F.col("text")), suffix_index.version(F.col("text")))
+    assert keys.distinct().count() == len({t for _, t in rows})
