@@ -5,9 +5,10 @@ ending with assistant. Each turn is given a role (another than its own costs REL
 before it if that has the same role (costs MERGE); empty turns are inserted where the automaton needs them (INSERT each).
 Dynamic programming finds the cheapest choice; of equally cheap ones the first of: keep, merge, relabel, insert.
 
-A conversation may be of any length: it is cut by turn number into stretches; each stretch yields a matrix of least costs from every
+A conversation may be of any length: it is cut into stretches of ``stretch`` rows; each stretch yields a matrix of least costs from every
 entry state to every exit state, the few matrices of a conversation are chained (min-plus), which fixes the states at the stretch's
-ends, and every stretch is then repaired on its own. Only stretches are ever gathered in one task.
+ends, and every stretch is then repaired on its own. Only stretches are ever gathered in one task: rows are numbered in an order that is range-partitioned, so that
+a conversation of very many rows (as those without an id may be) spreads over partitions.
 
 Cases: rows given twice count once; turns that share a number are ordered by role and text; a null turn number comes first; null
 text is empty; a role that is null or unknown has to be relabelled; turns without a conversation id form one conversation, with null
@@ -20,7 +21,8 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoframe.llm.storage import write_shared
@@ -113,20 +115,45 @@ def repair_stretch(own: list[int], entry: int, exit_: int, last: bool) -> Iterat
             yield -1, filler, "insert", INSERT
 
 
+def numbered(turns: DataFrame, kind: str) -> DataFrame:
+    """The turns in order of conversation, turn, role and text, with ``part``, the range they fell into, and ``number``, counted from 0 in
+    each conversation's rows of a part."""
+    names = ["conv_id", "turn", "role", "text"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        n, conv = -1, None
+        for batch in batches:
+            numbers = []
+            for own in batch.column(0).to_pylist():
+                n, conv = (n + 1 if own == conv else 0), own
+                numbers.append(n)
+            columns = [*batch.columns, pa.array([part] * len(numbers), pa.int32()), pa.array(numbers, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "part", "number"])
+
+    ordered = turns.select(*names).repartitionByRange(*names).sortWithinPartitions(*names)
+    return ordered.mapInArrow(count, f"conv_id {kind}, turn long, role string, text string, part int, number long")
+
+
 def repair(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", stretch: int = 4096) -> DataFrame:
     """The repaired turns: conv_id, stretch, position (in the stretch), role, action, cost, text. Merged turns stay rows of their own, marked
     by their action; render() joins them."""
     kind = conversations.schema[conv_id].dataType.simpleString()
     turns = conversations.select(
         F.col(conv_id).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn) / stretch), F.lit(-1)).cast("long").alias("stretch"),
         F.col(turn).cast("long").alias("turn"),
         F.col(role).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     ).distinct()
-    turns = write_shared(turns.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "turn", "role", "text"), "turns")
-    # The order within a file is not relied on: what is written is dealt and sorted again, by the same keys, where it is needed.
-    dealt = turns.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "turn", "role", "text")
+    turns = write_shared(numbered(turns, kind), "turns")
+    # The parts that go on with a conversation of the part before: one a part at most.
+    counts = turns.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = counts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), before.alias("before")).where("before > 0")
+    turns = turns.join(F.broadcast(carried), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    turns = turns.withColumn("number", F.col("number") + F.coalesce("before", F.lit(0))).withColumn("stretch", F.floor(F.col("number") / stretch).cast("long"))
+    turns = turns.select("conv_id", "stretch", "number", "role", "text")
+    dealt = turns.select("conv_id", "stretch", "number", "role").repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "number")
 
     def stretches(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]):
         rows = (r for b in batches for r in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns)))
@@ -137,12 +164,12 @@ def repair(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
         for (conv, part), rows in stretches(batches, ("conv_id", "stretch", "role")):
             out.append((conv, part, matrix([NUMBER.get(r[2], 0) for r in rows])))
             if len(out) == 4096:
-                yield table(out, ("conv_id", "stretch", "costs"), matrix_schema)
+                yield table(out, matrix_schema)
                 out = []
-        yield table(out, ("conv_id", "stretch", "costs"), matrix_schema)
+        yield table(out, matrix_schema)
 
-    def table(rows: list[tuple], names: tuple[str, ...], schema: pa.Schema) -> pa.RecordBatch:
-        columns = zip(*rows) if rows else [[] for _ in names]
+    def table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[] for _ in schema]
         return pa.RecordBatch.from_arrays([pa.array(list(c), schema.field(i).type) for i, c in enumerate(columns)], schema=schema)
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -157,7 +184,7 @@ def repair(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
         for conv, group in groupby(rows, key=lambda r: r[0]):
             group = list(group)
             ends = chain([r[2] for r in group])
-            yield table([(conv, r[1], *e, i == len(group) - 1) for i, (r, e) in enumerate(zip(group, ends))], (), ends_schema)
+            yield table([(conv, r[1], *e, i == len(group) - 1) for i, (r, e) in enumerate(zip(group, ends))], ends_schema)
 
     matrices = dealt.select("conv_id", "stretch", "role").mapInArrow(costs, f"conv_id {kind}, stretch long, costs array<long>")
     ends = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "stretch").mapInArrow(chained, f"conv_id {kind}, stretch long, entry int, exit int, last boolean")
@@ -173,11 +200,11 @@ def repair(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
             for position, (i, role_, action, cost) in enumerate(repair_stretch([NUMBER.get(r[2], 0) for r in rows], entry, exit_, last)):
                 out.append((conv, part, position, ROLES[role_ - 1], action, cost, rows[i][3] if i >= 0 else ""))
             if len(out) >= 4096:
-                yield table(out, (), out_schema)
+                yield table(out, out_schema)
                 out = []
-        yield table(out, (), out_schema)
+        yield table(out, out_schema)
 
-    again = joined.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "turn", "role", "text")
+    again = joined.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "number")
     return again.mapInArrow(repaired, f"conv_id {kind}, stretch long, position long, role string, action string, cost long, text string")
 
 

@@ -81,3 +81,32 @@ def test_rendered_text(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "user", "there"), (1, 2, "assistant", "ok")], "conv_id long, turn long, role string, text string")
     pieces = C.rendered(C.repair(df)).orderBy("stretch", "position").collect()
     assert "".join(p.piece for p in pieces) == "<|user|>\nhi\nthere<|assistant|>\nok"
+
+
+def test_stretches_are_bounded_by_rows_whatever_the_turn_numbers(spark):
+    r = random.Random(5)
+    rows = [(conv, turn, r.choice([*C.ROLES, None]), f"{i:05}") for i, (conv, turn) in enumerate([(None, 3)] * 700 + [(None, None)] * 500 + [(8, 0)] * 300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    # Small ranges, so that a conversation goes over many parts.
+    before = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = C.repair(df, stretch=64).where("action <> 'insert'").collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    sizes = {}
+    for x in out:
+        sizes[x.conv_id, x.stretch] = sizes.get((x.conv_id, x.stretch), 0) + 1
+    assert max(sizes.values()) == 64 and len(sizes) == -(-1200 // 64) + -(-300 // 64)
+    role_key = lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3])
+    for conv in (None, 8):
+        got = [x.text for x in sorted((x for x in out if x.conv_id == conv), key=lambda x: (x.stretch, x.position))]
+        assert got == [x[3] for x in sorted((x for x in rows if x[0] == conv), key=role_key)]
+
+
+def test_partitions_without_rows(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    assert C.repair(df.repartition(3)).where("conv_id = 2").collect() == []
+    assert [x.action for x in C.repair(df.repartition(3)).orderBy("position").collect()] == ["keep", "insert"]
