@@ -162,7 +162,7 @@ class Family:
 
 def _string_hashes(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """wanted: key, doc_id, at, asked. The hashes of each row's strings: key, doc_id, at, asked, place (of the first string before the anchor's end),
-    hashes (48 bits each)."""
+    hashes (64 bits each)."""
     per_doc = wanted.withColumn("version", F.col("at").bitwiseAND(F.lit(0xFFFF)).cast("int")).groupBy("doc_id", "version").agg(F.collect_list(F.struct("key", "at", "asked")).alias("rows"))
     docs = passing(documents, filter_of(wanted.select("doc_id").distinct()))
     joined = docs.join(per_doc, ["doc_id", "version"]).select("doc_id", "text", "rows")
@@ -180,9 +180,9 @@ def _string_hashes(documents: DataFrame, wanted: DataFrame, length: int) -> Data
             row = np.repeat(np.arange(len(at)), n)
             cuts = np.concatenate([[0], np.cumsum(n)])
             first = (offsets[text] + start)[row] + np.arange(len(row)) - cuts[row]
-            raw6 = (hashed(first, first + length) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            raw8 = hashed(first, first + length).astype("<u8").tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), batch.column(0).take(pa.array(text)), pa.array(at), pa.array(asked), pa.array([raw6[6 * a : 6 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())],
+                [pa.array(key), batch.column(0).take(pa.array(text)), pa.array(at), pa.array(asked), pa.array([raw8[8 * a : 8 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())],
                 names=["key", "doc_id", "at", "asked", "hashes"],
             )
 
@@ -191,11 +191,9 @@ def _string_hashes(documents: DataFrame, wanted: DataFrame, length: int) -> Data
 
 def _spread(keys_: np.ndarray, hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, number in the row and a 64-bit hash, with the row's key, of every string."""
-    n = np.array([len(h) // 6 for h in hashes], np.int64)
+    n = np.array([len(h) // 8 for h in hashes], np.int64)
     row = np.repeat(np.arange(len(n)), n)
-    wide = np.zeros((len(row), 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 6)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), mix(wide.view("<u8")[:, 0] ^ mix(keys_.view(np.uint64))[row])
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), mix(np.frombuffer(b"".join(hashes), "<u8") ^ mix(keys_.view(np.uint64))[row])
 
 
 def _starts(doc: pa.Array, at: np.ndarray, row: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
@@ -274,7 +272,7 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     wanted = write_shared(wanted, "partial-matches")
     hashed = write_shared(_string_hashes(docs, wanted, length), "strings")
     strings = F.shiftright("at", 16).bitwiseAND(F.lit(0xFF))
-    hot = write_shared(wanted.groupBy("key").agg(F.sum(strings * 6).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("key"), "hot-prefixes")
+    hot = write_shared(wanted.groupBy("key").agg(F.sum(strings * 8).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("key"), "hot-prefixes")
     cold_rows, hot_rows = hashed.join(hot, "key", "left_anti"), hashed.join(hot, "key", "left_semi")
     names = ["key", "doc_id", "at", "asked", "hashes"]
     starts = found.where("whole").select("doc_id", "at").unionByName(_cold_repeats(cold_rows.select(*names))).unionByName(_hot_repeats(hot_rows.select(*names)))

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,10 @@ def test_many_texts_without_an_id_are_documents_of_their_own(spark, documents, p
     assert found(documents, rows, batches=2) == brute(rows, 40)
     keys = documents(rows).select(suffix_index.document_key(F.col("doc_id"), F.col("text")), suffix_index.version(F.col("text")))
     assert keys.distinct().count() == len({t for _, t in rows})
+
+
+def test_string_hashes_keep_all_their_bits():
+    hashes = [np.array([1, 1 + (5 << 50), 7], "<u8").tobytes(), np.array([1 << 63 | 1, 1], "<u8").tobytes()]
+    row, number, value = suffix_index._spread(np.array([3, 3], np.int64), hashes)
+    assert row.tolist() == [0, 0, 0, 1, 1] and number.tolist() == [0, 1, 2, 0, 1]
+    assert len(set(value.tolist())) == 4 and value[0] == value[4]
