@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from kairoframe.llm.bytetext import RangeHash, mix
+from kairoframe.llm.bytetext import RangeHash, gram_hashes, mix
 
 GRAM = 12
 
@@ -20,7 +20,7 @@ class Anchors(NamedTuple):
     high: np.ndarray
 
 
-def anchors(hashed: RangeHash, offsets: np.ndarray, length: int, choice: int) -> Anchors:
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, choice: int) -> Anchors:
     """Every string of ``length`` bytes inside a text is a window; its anchor is the leftmost of the smallest k-gram hashes among its first
     ``choice`` places. So two equal windows have their anchors at the same place in them."""
     n = int(offsets[-1])
@@ -28,7 +28,7 @@ def anchors(hashed: RangeHash, offsets: np.ndarray, length: int, choice: int) ->
         return Anchors(*(np.zeros(0, np.int64),) * 4)
     last = n - GRAM + 1
     gram = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    gram[:last] = hashed(np.arange(last), np.arange(GRAM, n + 1))
+    gram[:last] = gram_hashes(raw[:n], GRAM)
     # The minimum over [i, i + choice) by doubling; the leftmost of equal ones, so places are carried along.
     best = np.arange(n, dtype=np.int32 if n < 2**31 else np.int64)
     width = 1

@@ -65,7 +65,7 @@ def entries(documents: DataFrame, length: int, choice: int) -> DataFrame:
         for batch in (part for b in batches for part in slices(b, "text", SLICE)):
             raw, offsets = text_bytes(batch.column(2))
             hashed = RangeHash(raw)
-            a = anchors(hashed, offsets, length, choice)
+            a = anchors(raw, offsets, length, choice)
             key, context = keys(hashed, a, length, choice)
             of = pa.array(a.text)
             at = pack(a.low - offsets[a.text], a.high - a.low + 1, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[a.text])
