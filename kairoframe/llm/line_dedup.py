@@ -3,13 +3,14 @@
 Every document gives one row per distinct line key: its hash and the key's positions. The rows are range-partitioned by (hash, document) and
 sorted, so that a partition streams runs of one hash: the documents of a run are counted as they pass, a run that reaches the threshold
 goes out as dropped positions, any other is forgotten. A hash with very many documents spreads over many partitions; what its fragments
-lack is settled by boundary records: each partition reports its first and last run with their counts, and at most
-threshold - 1 rows of each. The result is a compressed bitmap of kept lines per document, not text.
-
-A document is a row's (doc_id, text): a row given twice counts once and is treated alike. Lines are split at \\n; null or empty text is
-one empty line. Keys are taken whole: stripped of [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased, then hashed to 64 bits. Keys shorter than
-least_chars code points are always kept. Documents with a null id are documents too. Further columns are ignored.
-An empty table gives an empty result.
+lack is settled by boundary records: each partition reports its first and last run with their counts, and the rows of at most
+threshold - 1 documents of each. The result is a compressed bitmap of kept lines per document, not text.
+
+A document is what has one id: rows that share an id count once, whatever their texts, and each is treated by its own lines. A row with a null id is a
+document known by its text. Ids may be of any type. Lines are split at \\n; null or empty text is one empty line. Keys are taken whole: stripped of
+[\\x20\\x09-\\x0D] at both ends, A-Z lower-cased, then hashed to 64 bits; texts and lines may be of any length below 2 GB. Keys shorter than least_chars
+code points are always kept. Nothing depends on how ties are broken: a key's documents all lose it. Further columns, whatever their names, are ignored,
+and kept where a function returns all columns. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ from pyspark.sql import functions as F
 
 from kairoframe.llm.bytetext import LOWER, RangeHash, slices, text_bytes, words
 from kairoframe.llm.storage import bounded_batches, write_shared
+from kairoframe.llm.tables import number, unused
 
-LINES = "doc_id long, version int, hash long, n_lines int, at binary"
+LINES = "doc_id long, version long, hash long, n_lines int, at binary"
 SLICE = 2 << 20
 
 
 def version(text: Column) -> Column:
-    """Tells apart the texts of one id."""
-    return F.hash(text)
+    """Tells apart the texts of one id, and all texts without one."""
+    return F.xxhash64(text.isNull(), text)
 
 
 def line_keys(raw: np.ndarray, offsets: np.ndarray, least_chars: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,8 +88,9 @@ RUNS = LINES + ", boundary boolean, n_docs long"
 
 def _runs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Streams sorted line rows. Rows out: those to be dropped (boundary false); of a partition's first and last run, its count
-    (boundary true, n_docs, no document) and, below the threshold, its rows (boundary true, n_docs 0)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("hash", pa.int64()), ("n_lines", pa.int32()), ("at", pa.binary()), ("boundary", pa.bool_()), ("n_docs", pa.int64())])
+    (boundary true, n_docs, no document) and, below the threshold, its rows (boundary true, n_docs 0). All rows of a hash and a document are in
+    one partition."""
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("hash", pa.int64()), ("n_lines", pa.int32()), ("at", pa.binary()), ("boundary", pa.bool_()), ("n_docs", pa.int64())])
 
     def out(rows: pa.Table, boundary: bool) -> list[pa.RecordBatch]:
         n = len(rows)
@@ -103,25 +106,25 @@ def _runs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Reco
         if not batch.num_rows:
             continue
         h = batch.column(2).to_numpy(zero_copy_only=False)
-        docs = pc.fill_null(batch.column(0), -(2**63)).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        here = (h, *docs)
-        new = np.ones(len(h), bool)
-        new[1:] = np.logical_or.reduce([a[1:] != a[:-1] for a in here])
-        if last is not None:
-            new[0] = any(a[0] != b for a, b in zip(here, last))
-        last = tuple(a[-1] for a in here)
+        nameless, doc = batch.column(0).is_null().to_numpy(zero_copy_only=False), pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)
+        here = (h, nameless, doc, batch.column(1).to_numpy(zero_copy_only=False))
+        changed = [np.concatenate([[last is None or c[0] != last[i]], c[1:] != c[:-1]]) for i, c in enumerate(here)]
+        last = tuple(c[-1] for c in here)
+        fresh = changed[0] | changed[1] | changed[2] | (nameless & changed[3])  # another document
+        new = fresh | changed[3]
         rows = pa.Table.from_batches([batch]).filter(pa.array(new))
-        h = h[new]
+        h, fresh = h[new], fresh[new]
         if not len(h):
             continue
         starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
         ends = np.append(starts[1:], len(h))
-        big = ends - starts >= threshold
+        n_docs = np.add.reduceat(fresh.astype(np.int64), starts)
+        big = n_docs >= threshold
         # The first run here continues the open one, or is the partition's first.
         rest = int(open_hash is None or h[0] == open_hash)
         if rest:
             reached = n_open >= threshold
-            open_hash, n_open, mine = int(h[0]), n_open + int(ends[0]), rows.slice(0, ends[0])
+            open_hash, n_open, mine = int(h[0]), n_open + int(n_docs[0]), rows.slice(0, ends[0])
             if reached:
                 yield from out(mine, False)
             else:
@@ -141,7 +144,7 @@ def _runs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Reco
             if closed.any():
                 yield from out(rows.filter(pa.array(closed)), False)
             s, e = int(starts[-1]), int(ends[-1])
-            open_hash, n_open, open_rows = int(h[s]), e - s, rows.slice(s, e - s)
+            open_hash, n_open, open_rows = int(h[s]), int(n_docs[-1]), rows.slice(s, e - s)
             if n_open >= threshold:
                 yield from out(open_rows, False)
                 open_rows = None
@@ -154,12 +157,12 @@ def _runs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Reco
 def keep_bitmaps(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 10, least_chars: int = 1) -> DataFrame:
     """doc_id, version, n_lines, n_dropped, keep (bitmap, zlib) of the documents that lose a line; all others keep every line."""
     bounded_batches(documents.sparkSession)
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), version(F.col(text)).alias("version"), F.col(text).alias("text"))
+    docs = documents.select(number(documents, doc_id).alias("doc_id"), version(F.col(text)).alias("version"), F.col(text).alias("text"))
     lines = docs.mapInArrow(lambda batches: _line_rows(batches, least_chars), LINES)
-    dealt = lines.repartitionByRange("hash", "doc_id", "version").sortWithinPartitions("hash", "doc_id", "version")
+    dealt = lines.repartitionByRange("hash", "doc_id", F.when(F.col("doc_id").isNull(), F.col("version"))).sortWithinPartitions("hash", "doc_id", "version")
     runs = write_shared(dealt.mapInArrow(lambda batches: _runs(batches, threshold), RUNS), "line-runs")
     settled = runs.where("NOT boundary").select("doc_id", "version", "n_lines", "at")
-    edges = runs.where("boundary")  # at most 2 x threshold rows a partition
+    edges = runs.where("boundary")  # those of at most 2 x threshold documents a partition
     hot = edges.where("n_docs > 0").groupBy("hash").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= threshold).select("hash")
     late = edges.where("n_docs = 0").join(hot, "hash", "left_semi").select("doc_id", "version", "n_lines", "at")
     dropped = settled.unionByName(late).groupBy("doc_id", "version").agg(F.max("n_lines").alias("n_lines"), F.collect_list("at").alias("at"))
@@ -174,14 +177,15 @@ def keep_bitmaps(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
                 n.append(n_lines - int(keep.sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int32()), pa.array(kept, pa.binary())], names=["doc_id", "version", "n_lines", "n_dropped", "keep"])
 
-    return dropped.mapInArrow(bitmaps, "doc_id long, version int, n_lines int, n_dropped int, keep binary")
+    return dropped.mapInArrow(bitmaps, "doc_id long, version long, n_lines int, n_dropped int, keep binary")
 
 
-def with_bitmaps(documents: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of documents, and their bitmap as ``__keep`` (null: every line stays)."""
-    right = bitmaps.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("keep").alias("__keep"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (version(F.col(text)) == F.col("__version"))
-    return documents.join(right, same, "left").drop("__id", "__version")
+def with_bitmaps(documents: DataFrame, bitmaps: DataFrame, keep: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All rows and columns of documents, and their bitmap in the column ``keep`` (null: every line stays)."""
+    id_, version_ = (unused(documents.columns, c) for c in ("__id", "__version"))
+    right = bitmaps.select(F.col("doc_id").alias(id_), F.col("version").alias(version_), F.col("keep").alias(keep))
+    same = number(documents, doc_id).eqNullSafe(F.col(id_)) & (version(F.col(text)) == F.col(version_))
+    return documents.join(right, same, "left").drop(id_, version_)
 
 
 def kept_lines(text: str | None, keep: bytes | None) -> tuple[list[str], int]:
@@ -195,7 +199,7 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[list[str], int]:
 
 def digests(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every row of documents (doc_id, text)."""
-    joined = with_bitmaps(documents.select("doc_id", "text"), bitmaps)
+    joined = with_bitmaps(documents.select("doc_id", "text"), bitmaps, "keep")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,13 +225,14 @@ def digests(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
 def without_repeated_lines(documents: DataFrame, threshold: int = 10, least_chars: int = 1) -> DataFrame:
     """documents, all columns, with their repeated lines taken out of text (and n_chars, where there is one, counted again)."""
     columns = documents.columns
-    joined = with_bitmaps(documents, keep_bitmaps(documents, threshold=threshold, least_chars=least_chars))
+    keep = unused(columns, "__keep")
+    joined = with_bitmaps(documents, keep_bitmaps(documents, threshold=threshold, least_chars=least_chars), keep)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if k is None else "\n".join(kept_lines(t, k)[0]) for t, k in zip(batch.column("text").to_pylist(), batch.column("__keep").to_pylist())]
+            texts = [t if k is None else "\n".join(kept_lines(t, k)[0]) for t, k in zip(batch.column("text").to_pylist(), batch.column(keep).to_pylist())]
             i = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == i else batch.column(j) for j in range(len(columns))], names=columns)
 
-    kept = joined.select(*columns, "__keep").mapInArrow(apply, documents.schema)
+    kept = joined.select(*columns, keep).mapInArrow(apply, documents.schema)
     return kept.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in columns else kept

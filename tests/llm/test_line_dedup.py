@@ -11,7 +11,7 @@ def brute(rows, threshold, least_chars):
     where = defaultdict(set)
     for row in set(rows):
         for line in (row[1] or "").split("\n"):
-            where[line.strip(STRIP).translate(LOWER)].add(row)
+            where[line.strip(STRIP).translate(LOWER)].add(row if row[0] is None else row[0])
     out = []
     for doc_id, text in rows:
         lines = (text or "").split("\n")
@@ -60,3 +60,27 @@ def test_applied_to_texts(documents):
     df = line_dedup.without_repeated_lines(documents(rows), threshold=5)
     assert df.columns == documents(rows).columns
     assert sorted((r.doc_id, r.text) for r in df.collect()) == [(i, f"own {i}") for i in range(5)]
+
+
+def test_rows_of_one_id_count_once_whatever_their_texts(documents, spark):
+    rows = [(i, f"one {i} {v}\ncommon") for i in range(5) for v in "ab"] + [(None, f"{i}\nnameless") for i in range(6)]
+    for threshold in (5, 6, 7, 10):
+        assert key(result(documents, rows, threshold)) == key(brute(rows, threshold, 1))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert key(result(documents, rows * 2, 6)) == key(brute(rows * 2, 6, 1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_lines_that_collide_modulo_powers_of_two(documents):
+    line = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(i, line if i < 5 else line.translate(str.maketrans("ab", "ba"))) for i in range(10)]
+    assert key(result(documents, rows, 10)) == key(brute(rows, 10, 1))
+
+
+def test_ids_of_another_type_and_clashing_columns(spark):
+    df = spark.createDataFrame([(str(i), f"own {i}\nSame", "k", "v") for i in range(5)], "doc_id string, text string, __keep string, __version string")
+    kept = line_dedup.without_repeated_lines(df, threshold=5)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(str(i), f"own {i}", "k", "v") for i in range(5)]
