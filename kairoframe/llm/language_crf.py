@@ -5,9 +5,10 @@ bytes and its byte 2- and 3-grams, hashed into one weight table with a column pe
 neighbouring words are learnt too. Forward-backward gives each word's marginals; a document's language is that with the
 largest share of its words' marginals, and the share is its score.
 
-The field is fitted on at most ``most`` labelled documents and ``windows`` windows of each (parameters), cut from the whole text; half
-the training sequences splice two documents' windows, so that switches of language are learnt. Prediction reads whole texts:
-a chain is a window of ``LENGTH`` words, so that memory is bounded and long documents cost no more a word than short ones.
+The field is fitted on at most ``most`` labelled documents of ``most_mb`` together (parameters), chosen by their ids' hashes: their whole texts, in sequences of
+``LENGTH`` words; half the sequences splice two documents', so that switches of language are learnt. Prediction reads whole texts. A text is one
+chain, worked on in blocks of ``LENGTH`` words side by side: a block is first reduced to the matrix that carries a forward message through it, then messages pass
+from block to block, and each block fills in its own words. So memory is bounded, and long documents cost no more a word than short ones.
 
 Words are runs of ASCII letters and bytes above 127, A-Z lower-cased. The language is ``und`` with score 0 if text is null or has no
 letter, or if nothing could be learnt. Rows given twice are predicted alike. Equal shares go to the language that sorts first.
@@ -80,26 +81,65 @@ class Crf(NamedTuple):
         place, owner = features(hashed, start, end)
         return np.stack([np.bincount(owner, self.weights[place, j], minlength=len(start)) for j in range(len(self.languages))], axis=1)
 
-    def messages(self, scores: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """scores: chains x length x languages; mask: the words that there are. Forward and backward messages, scaled at each step, local
-        factors and transition factors."""
+    def messages(self, scores: np.ndarray, mask: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """scores: chains x length x languages; mask: the words that there are, from the left; before: what a chain's first word is met with (by default
+        that a text begins), after: the backward message at its last word. Forward and backward messages, scaled at each step, local factors
+        and transition factors."""
         length = scores.shape[1]
-        local = np.exp(scores - scores.max(axis=2, keepdims=True))
-        local[~mask] = 1.0
-        step = np.exp(self.transitions - self.transitions.max()).astype(local.dtype)
+        local, step = self.factors(scores, mask)
         forward, backward = np.empty_like(local), np.ones_like(local)
-        forward[:, 0] = np.exp(self.first - self.first.max()) * local[:, 0]
+        if after is not None:
+            backward[:] = after[:, None]
+        forward[:, 0] = (self.start() if before is None else before) * local[:, 0]
         forward[:, 0] /= forward[:, 0].sum(axis=1, keepdims=True)
         for t in range(1, length):
             a = (forward[:, t - 1] @ step) * local[:, t]
             forward[:, t] = np.where(mask[:, t, None], a / a.sum(axis=1, keepdims=True), forward[:, t - 1])
         for t in range(length - 2, -1, -1):
             b = (backward[:, t + 1] * local[:, t + 1]) @ step.T
-            backward[:, t] = np.where(mask[:, t + 1, None], b / b.sum(axis=1, keepdims=True), 1.0)
+            backward[:, t] = np.where(mask[:, t + 1, None], b / b.sum(axis=1, keepdims=True), backward[:, t])
         return forward, backward, local, step
 
-    def marginals(self, scores: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        forward, backward, _, _ = self.messages(scores, mask)
+    def factors(self, scores: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        local = np.exp(scores - scores.max(axis=2, keepdims=True))
+        local[~mask] = 1.0
+        return local, np.exp(self.transitions - self.transitions.max()).astype(local.dtype)
+
+    def start(self) -> np.ndarray:
+        return np.exp(self.first - self.first.max())
+
+    def carried(self, scores: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Of each chain the matrix, up to a factor, that takes what its first word is met with to the forward message at its last word."""
+        local, step = self.factors(scores, mask)
+        k = local.shape[2]
+        out = np.eye(k, dtype=local.dtype)[None] * local[:, 0, None, :]
+        for t in range(1, local.shape[1]):
+            more = (out @ step) * local[:, t, None, :]
+            more /= more.sum(axis=(1, 2), keepdims=True)
+            out = np.where(mask[:, t, None, None], more, out)
+        return out
+
+    def marginals(self, scores: np.ndarray, mask: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """number: of each chain, which block of its text it is; a text's blocks follow each other."""
+        before = np.tile(self.start(), (len(scores), 1))
+        after = np.ones_like(before)
+        joined = np.flatnonzero(number > 0)
+        if len(joined):
+            parts = np.unique(np.concatenate([joined - 1, joined]))
+            through = np.zeros((len(scores), *[scores.shape[2]] * 2))
+            for some in np.array_split(parts, -(-len(parts) // 4096)):
+                through[some] = self.carried(scores[some], mask[some])
+            step = np.exp(self.transitions - self.transitions.max())
+            joined = joined[np.argsort(number[joined], kind="stable")]
+            turns = np.split(joined, np.flatnonzero(np.diff(number[joined])) + 1)
+            for here in turns:  # from block to block, over all texts at once
+                a = np.einsum("ni,nij->nj", before[here - 1], through[here - 1]) @ step
+                before[here] = a / a.sum(axis=1, keepdims=True)
+            for here in reversed(turns):
+                b = np.einsum("nij,nj->ni", through[here], after[here]) @ step.T
+                after[here - 1] = b / b.sum(axis=1, keepdims=True)
+        kind = scores.dtype
+        forward, backward, _, _ = self.messages(scores, mask, before.astype(kind), after.astype(kind))
         both = forward * backward
         return both / both.sum(axis=2, keepdims=True)
 
@@ -166,8 +206,8 @@ def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 6, bat
     return Crf(languages, crf.weights.astype(np.float32), crf.transitions, crf.first)
 
 
-def train(labelled: DataFrame, most: int = 3000, windows: int = 2) -> Crf | None:
-    """labelled: doc_id, text, lang. Of at most ``most`` documents, ``windows`` windows each, evenly spread over the text, come to the driver."""
+def train(labelled: DataFrame, most: int = 1500, most_mb: int = 32) -> Crf | None:
+    """labelled: doc_id, text, lang. Of at most ``most`` documents, in the order of their ids' hashes, those that fit into ``most_mb`` together come to the driver, whole."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text", SLICE)):
@@ -176,13 +216,12 @@ def train(labelled: DataFrame, most: int = 3000, windows: int = 2) -> Crf | None
             bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
             out = []
             for i, lang in enumerate(batch.column(1).to_pylist()):
-                n = int(bounds[i + 1] - bounds[i])
-                for first in sorted({round(w * max(n - LENGTH, 0) / max(windows - 1, 1)) for w in range(windows)}) if n else ():
-                    a, b = bounds[i] + first, min(bounds[i] + first + LENGTH, bounds[i + 1])
+                for a in range(int(bounds[i]), int(bounds[i + 1]), LENGTH):
+                    b = min(a + LENGTH, int(bounds[i + 1]))
                     out.append((lang, bytes(raw[start[a] : end[b - 1]]).decode("utf-8", "replace")))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string())], names=["lang", "window"])
 
-    sample = bounded_sample(labelled.where(F.col("lang").isNotNull()), "doc_id", most)
+    sample = bounded_sample(labelled.where(F.col("lang").isNotNull()), "doc_id", most, most_mb << 20)
     rows = sample.orderBy("doc_id", "lang", "text").select("text", "lang").mapInArrow(cut, "lang string, window string").toArrow()
     return fit(rows["window"].to_pylist(), rows["lang"].to_pylist())
 
@@ -242,7 +281,8 @@ def _marginals_of_words(crf: Crf, lowered: np.ndarray, start: np.ndarray, end: n
     mask = np.zeros(scores.shape[:2], bool)
     scores[chain, place % LENGTH] = emitted[at]
     mask[chain, place % LENGTH] = True
-    gamma = crf.marginals(scores, mask)[chain, place % LENGTH]
+    number = np.arange(len(scores)) - np.repeat(np.cumsum(chains) - chains, chains)
+    gamma = crf.marginals(scores, mask, number)[chain, place % LENGTH]
     likeliest = gamma.argmax(axis=1)
     change = np.flatnonzero((likeliest[1:] != likeliest[:-1]) & (text[1:] == text[:-1]))
     return gamma, np.bincount(text[change], minlength=n_texts)

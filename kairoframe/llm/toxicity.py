@@ -5,13 +5,14 @@ document is toxic unless all its sentences are clean: P = 1 - prod(1 - p_s), the
 distributes the blame among the sentences, so that the model also says where the offence is.
 
 A sentence's features are its words and their first 4, 5 and 6 bytes, so that inflected forms share weights. The model is fitted on at
-most ``most`` labelled documents (a parameter). The executors count in how many documents of either label each feature is; only features
+most ``most`` labelled documents of ``most_mb`` together (parameters). The executors count in how many documents of either label each feature is; only features
 whose counts differ by label (chi-squared of ``least_chi`` or more) come to the driver, where proximal Adam with an L1 penalty fits the
 likelihood. What is sent to the executors is a short sorted list of hashes. Scoring reads whole texts, in slices of Arrow batches,
 without a shuffle.
 
 Words are runs of letters, digits and bytes above 127, A-Z lower-cased; a sentence ends at . ! ? or a line break.
-A null or empty text is one empty sentence. A document with several labels is toxic if one says so; null labels are not learnt from.
+A null or empty text is one empty sentence; a text may be of any length below 2 GB. Of sentences with the same score the first is the worst. Of several
+texts of one labelled id the first in order is learnt from. A document with several labels is toxic if one says so; null labels are not learnt from.
 Without labelled rows of both kinds every sentence scores alike. Rows given twice are scored twice. Further columns are ignored.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairoframe.llm.bytetext import LOWER, RangeHash, mix, slices, text_bytes
+from kairoframe.llm.sampling import within_bytes
 from kairoframe.llm.storage import bounded_batches, write_shared
 
 WORD = np.zeros(256, bool)
@@ -128,13 +130,14 @@ def fit(features: np.ndarray, at: np.ndarray, sentence: np.ndarray, document: np
     return Model(features[left], theta[left], float(bias))
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = 12_000, least_documents: int = 4, least_chi: float = 6.0) -> Model:
-    """documents: doc_id, text; labels: doc_id, toxic (0 or 1), of which at most ``most`` are used. They are chosen by their ids' hashes and
-    sent to the documents, so that no text is shuffled for the choice."""
+def train(documents: DataFrame, labels: DataFrame, most: int = 12_000, most_mb: int = 64, least_documents: int = 4, least_chi: float = 6.0) -> Model:
+    """documents: doc_id, text; labels: doc_id, toxic (0 or 1), of which at most ``most`` are used, and of these, in the same order,
+    those whose texts fit into ``most_mb`` together. They are chosen by their ids' hashes and sent to the documents, so that no text is shuffled for the choice."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
-    sample = documents.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
-    sample = write_shared(sample, "labelled")
+    # Of several texts of one id the first in order.
+    found = documents.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    sample = write_shared(within_bytes(found, "doc_id", most_mb << 20), "labelled")
     n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n_toxic < n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -6.0)

@@ -17,7 +17,7 @@ def test_marginals_against_enumeration():
     crf = L.Crf(["a", "b", "c"], np.zeros((1, 3)), r.normal(size=(3, 3)), r.normal(size=3))
     scores, mask = r.normal(size=(2, 5, 3)), np.ones((2, 5), bool)
     mask[1, 3:] = False
-    got = crf.marginals(scores, mask)
+    got = crf.marginals(scores, mask, np.zeros(2, int))
     for chain, n in ((0, 5), (1, 3)):
         want = np.zeros((n, 3))
         for path in itertools.product(range(3), repeat=n):
@@ -27,6 +27,31 @@ def test_marginals_against_enumeration():
         assert np.allclose(got[chain, :n], want / want.sum(axis=1, keepdims=True))
 
 
+def test_messages_pass_between_the_blocks_of_a_text():
+    r = np.random.default_rng(1)
+    crf = L.Crf(["a", "b", "c"], np.zeros((1, 3)), 2 * r.normal(size=(3, 3)), r.normal(size=3))
+    lengths, block = [23, 4, 5, 11], 5
+    wholes = [r.normal(size=(n, 3)) for n in lengths]
+    number = np.concatenate([np.arange(-(-n // block)) for n in lengths])
+    scores, mask, i = np.zeros((len(number), block, 3)), np.zeros((len(number), block), bool), 0
+    for n, whole in zip(lengths, wholes):
+        for a in range(0, n, block):
+            part = whole[a : a + block]
+            scores[i, : len(part)], mask[i, : len(part)] = part, True
+            i += 1
+    got = crf.marginals(scores, mask, number)[mask]
+    want = [crf.marginals(w[None], np.ones((1, len(w)), bool), np.zeros(1, int))[0] for w in wholes]
+    assert np.allclose(got, np.concatenate(want))
+
+
+def test_the_sample_is_bounded_in_documents_and_bytes(spark):
+    from kairoframe.llm.sampling import bounded_sample
+
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(None, "y")], "doc_id long, text string")
+    assert bounded_sample(df, "doc_id", 20, 10_000).count() == 20
+    assert bounded_sample(df, "doc_id", 20, 750).count() == 7
+
+
 def model_and_rows(spark, n=240):
     r = random.Random(4)
     rows = [(i, text(lang, r.randint(1, 200), r), lang) for i, lang in enumerate(itertools.islice(itertools.cycle(SYLLABLES), n))]

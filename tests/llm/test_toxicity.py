@@ -25,6 +25,45 @@ def test_sentences_of_batches():
     assert got == [sentences(t) for t in texts]
 
 
+def test_scores_likelihood_and_gradient_against_plain_loops():
+    r = np.random.default_rng(2)
+    features = np.sort(r.integers(0, 2**62, 5).astype(np.uint64))
+    document = np.array([0, 0, 1, 2, 2, 2])
+    at, sentence = np.array([0, 1, 1, 2, 3, 4, 0]), np.array([0, 0, 1, 2, 3, 4, 5])
+    toxic = np.array([1, 0, 1])
+    model = toxicity.fit(features, at, sentence, document, toxic, steps=400, penalty=0.0)
+    weights = dict(zip(model.words.tolist(), model.weights))
+
+    def loss(theta, bias):
+        total = 0.0
+        for d in range(3):
+            clean = 1.0
+            for s in np.flatnonzero(document == d):
+                z = bias + sum(theta[a] for a, x in zip(at, sentence) if x == s)
+                clean *= 1 - 1 / (1 + np.exp(-z))
+            total -= np.log(1 - clean) if toxic[d] else np.log(clean)
+        return total / 3
+
+    theta = np.array([weights.get(int(f), 0.0) for f in features])
+    assert loss(theta, model.bias) < min(0.1, loss(np.zeros(5), -5.0))
+    # One step from the start goes down the gradient of that likelihood, by central differences.
+    small = toxicity.fit(features, at, sentence, document, toxic, steps=1, rate=1e-2, penalty=0.0)
+    moved = {int(f): w for f, w in zip(small.words, small.weights)}
+    for i, f in enumerate(features):
+        up, down = np.zeros(5), np.zeros(5)
+        up[i], down[i] = 1e-4, -1e-4
+        slope = (loss(up, -5.0) - loss(down, -5.0)) / 2e-4
+        assert np.sign(moved.get(int(f), 0.0)) == -np.sign(round(slope, 6))
+    texts = ["Bad word. Fine words here!", "fine", ""]
+    b = toxicity.bags(*text_bytes(pa.array(texts)))
+    known = np.unique(b.feature)[:6]
+    scored = toxicity.Model(known, r.normal(size=6), -1.0)
+    z = scored.sentence_scores(b, scored.slots())
+    for s in range(len(b.document)):
+        plain = -1.0 + sum(w for f, o in zip(b.feature, b.sentence) if o == s for k, w in zip(known, scored.weights) if k == f)
+        assert abs(z[s] - plain) < 1e-9
+
+
 def corpus(prose, n, seed):
     r = random.Random(seed)
     rows = []
