@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only a session without one (tests, local mode) gets a temporary folder."""
+    """The folder of spark.checkpoint.dir; only a local session without one (tests) gets a temporary folder."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='kairoframe-')}")
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     return str(jvm_dir.get()).rstrip("/")
@@ -44,8 +46,13 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shared(df: DataFrame) -> None:
-    """Delete the files below a table made by write_shared, once nothing reads it any more."""
+def drop_shared(*tables: DataFrame) -> None:
+    """Delete the files below tables made by write_shared, once nothing reads them any more."""
+    for df in tables:
+        _drop(df)
+
+
+def _drop(df: DataFrame) -> None:
     spark = df.sparkSession
     root = shared_dir(spark)
     jvm = spark.sparkContext._jvm
