@@ -63,39 +63,63 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 
-def _marked(text: str) -> str:
+def _marked(text: str, capitals: bool = False) -> str:
     """decontamination.marked_words without looking around: rewritten with groups, twice where matches may touch."""
     from kairoframe.llm.decontamination import UNITS
 
     named = f"regexp_replace({text}, '([\\p{{L}}\\p{{N}},;:] )(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g')"
     named = f"regexp_replace({named}, '([\\p{{L}}\\p{{N}},;:] )(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g')"
+    if capitals:
+        named = f"regexp_replace({named}, '(^|[^\\p{{L}}\\p{{N}}\\x01])(\\p{{Lu}})', '\\1' || chr(3) || '\\2', 'g')"
     numbers = f"regexp_replace(regexp_replace({named}, '(\\d)[.,](\\d)', '\\1\\2', 'g'), '(\\d)[.,](\\d)', '\\1\\2', 'g')"
     apart = f"regexp_replace({numbers}, '(\\d)(\\p{{L}})', '\\1 \\2', 'g')"
-    units = f"regexp_replace({apart}, '(\\d )((?i:{UNITS}))([^\\p{{L}}\\p{{N}}]|$)', '\\1' || chr(2) || '\\2\\3', 'g')"
-    return f"regexp_split_to_array(lower({units}), '[^\\p{{L}}\\p{{N}}\\x01\\x02]+')"
+    units = f"regexp_replace({apart}, '(\\d )\\x01?((?i:{UNITS}))([^\\p{{L}}\\p{{N}}]|$)', '\\1' || chr(2) || '\\2\\3', 'g')"
+    return f"regexp_split_to_array(lower({units}), '[^\\p{{L}}\\p{{N}}\\x01\\x02\\x03]+')"
 
 
 _SLOT = "regexp_matches({w}, '^[0-9\\x01\\x02]')"
-_TEMPLATE = "array_to_string(list_transform({ws}, lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN '0' WHEN " + _SLOT.format(w="t") + " THEN t[1] ELSE t END), ' ')"
+_PLAIN = "regexp_replace({w}, '^[\\x01-\\x03]', '')"
+
+
+def _joined(words: str, word: str) -> str:
+    """The words of a list, each put as the expression ``word`` of w, with a space after each."""
+    return f"list_aggregate(list_transform({words}, lambda w: {word} || ' '), 'string_agg', '')"
+
+
+_OWN = _PLAIN.format(w="w")
+_TYPED = f"CASE WHEN regexp_matches(w, '^[0-9]') THEN chr(5) WHEN regexp_matches(w, '^[\\x01\\x02]') THEN w[1] ELSE {_OWN} END"
+_INSIDE = f"CASE WHEN regexp_matches(w, '^[0-9]') THEN chr(5) WHEN regexp_matches(w, '^\\x03') THEN chr(1) WHEN regexp_matches(w, '^[\\x01\\x02]') THEN w[1] ELSE w END"
 
 OP10_DECONTAMINATION = f"""
-WITH iw AS (SELECT item_id, list_filter({_marked("text")}, lambda t: t <> '') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-ip AS (SELECT item_id, least(len(w), 8) AS size, w, unnest(range(0, len(w) - least(len(w), 8) + 1)) AS at_i FROM iw WHERE len(w) > 0),
+WITH iw AS (SELECT item_id, list_filter({_marked("text", capitals=True)}, lambda w: w <> '') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+ip AS (SELECT DISTINCT item_id, least(len(w), 8) AS size, w, unnest(range(0, len(w) - least(len(w), 8) + 1)) AS at_i FROM iw WHERE len(w) >= 3),
 win AS (SELECT item_id, size, at_i, list_slice(w, at_i + 1, at_i + size) AS words FROM ip),
-good AS (SELECT *, {_TEMPLATE.format(ws="words")} AS tpl FROM win WHERE len(list_filter(words, lambda t: NOT {_SLOT.format(w="t")})) >= 5),
-cnt AS (SELECT item_id, count(DISTINCT at_i) AS n_windows FROM good GROUP BY 1),
-dw AS (SELECT doc_id, {_marked("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-dp AS (SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS start FROM dw, (SELECT DISTINCT size FROM good)),
+opened AS (SELECT *, len(list_filter(words, lambda w: NOT {_SLOT.format(w="w")})) >= 5 AS open FROM win),
+cnt AS (SELECT item_id, count(DISTINCT at_i) AS n_windows, count(DISTINCT at_i) FILTER (open) AS n_open FROM opened GROUP BY 1),
+keys AS (SELECT *, {_joined("words", _OWN)} AS key FROM opened UNION SELECT *, {_joined("words", _TYPED)} FROM opened WHERE open UNION SELECT *, {_joined("words", _INSIDE)} FROM opened WHERE open),
+dw AS (SELECT DISTINCT doc_id, text, {_marked("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+dp AS (SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS start FROM dw, (SELECT DISTINCT size FROM opened)),
 dn AS (SELECT doc_id, size, start, list_slice(w, start + 1, start + size) AS there FROM dp),
-dt AS (SELECT *, {_TEMPLATE.format(ws="there")} AS tpl FROM dn),
-hit AS (SELECT DISTINCT doc_id, item_id, at_i, start - at_i AS shift, words, there FROM dt JOIN good USING (size, tpl)),
-slot AS (SELECT DISTINCT doc_id, item_id, shift, p.a AS a, p.b AS b FROM (SELECT *, unnest(list_transform(range(1, len(words) + 1), lambda i: {{'a': words[i], 'b': there[i]}})) AS p FROM hit) WHERE {_SLOT.format(w="p.a")}),
-bad AS (SELECT doc_id, item_id, shift FROM slot GROUP BY 1, 2, 3, a HAVING count(*) > 1),
-ok AS (SELECT h.* FROM hit h ANTI JOIN bad USING (doc_id, item_id, shift)),
-per AS (SELECT doc_id, item_id, count(DISTINCT at_i) AS n_found, coalesce(bool_or(changed), false) AS reparameterised FROM ok
-  LEFT JOIN (SELECT DISTINCT doc_id, item_id, shift, true AS changed FROM slot WHERE a <> b) USING (doc_id, item_id, shift) GROUP BY 1, 2)
+dk AS (SELECT *, {_joined("there", _OWN)} AS key FROM dn UNION SELECT *, {_joined("there", _TYPED)} FROM dn),
+met AS (SELECT DISTINCT doc_id, item_id, at_i, open, start - at_i AS shift, words, there FROM dk JOIN keys USING (size, key)),
+pairs AS (SELECT *, list_zip(words, there) AS p FROM met),
+hit AS (
+  SELECT doc_id, item_id, at_i, open, shift, CASE WHEN open THEN list_transform(list_filter(p, lambda x: {_SLOT.format(w="x[1]")}), lambda x: {{'a': x[1], 'b': {_PLAIN.format(w="x[2]")}}}) ELSE [] END AS slots
+  FROM pairs
+  WHERE len(list_filter(p, lambda x: {_PLAIN.format(w="x[1]")} <> {_PLAIN.format(w="x[2]")}
+    AND NOT (open AND {_SLOT.format(w="x[1]")} AND CASE WHEN regexp_matches(x[1], '^[0-9]') THEN regexp_matches(x[2], '^[0-9]') ELSE x[1][1] = x[2][1] END))) = 0),
+slot AS (SELECT DISTINCT doc_id, item_id, shift, s.a AS a, s.b AS b, regexp_extract(s.a, '^[\x01\x02]') || s.b AS c FROM (SELECT *, unnest(slots) AS s FROM hit)),
+several AS (
+  SELECT doc_id, item_id, shift, a AS v FROM slot GROUP BY ALL HAVING count(DISTINCT b) > 1
+  UNION SELECT doc_id, item_id, shift, c FROM slot GROUP BY ALL HAVING count(DISTINCT a) > 1),
+bad AS (SELECT doc_id, item_id, shift, list(v) AS vs, bool_or(v[1] = chr(1)) AS persons FROM several GROUP BY 1, 2, 3),
+judged AS (
+  SELECT h.*, len(list_filter(slots, lambda s: {_PLAIN.format(w="s.a")} <> s.b)) > 0 AS changed,
+    coalesce(persons, false) OR len(list_filter(slots, lambda s: list_contains(coalesce(vs, []), s.a) OR list_contains(coalesce(vs, []), regexp_extract(s.a, '^[\x01\x02]') || s.b))) > 0 AS clash
+  FROM hit h LEFT JOIN bad USING (doc_id, item_id, shift)),
+per AS (SELECT doc_id, item_id, count(DISTINCT at_i) AS n_found, count(DISTINCT at_i) FILTER (open) AS n_open_found, bool_or(changed) AS reparameterised FROM judged WHERE NOT (changed AND clash) GROUP BY 1, 2)
 SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, CAST(sum(n_found) AS BIGINT) AS n_found, bool_or(reparameterised) AS reparameterised
-FROM per JOIN cnt USING (item_id) WHERE n_found >= least(4, n_windows) GROUP BY 1
+FROM per JOIN cnt USING (item_id) WHERE n_found >= least(4, n_windows) OR (n_open > 0 AND n_open_found >= least(4, n_open)) GROUP BY 1
 """
 
 ORACLES: dict[str, str] = {

@@ -93,7 +93,7 @@ def test_capitals_of_names_and_units_and_lost_full_stops(spark, documents):
     bench = spark.createDataFrame([(7, QUESTION), (8, sentences)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in D.contamination(documents(docs), bench).collect()}
     assert {k: r.reparameterised for k, r in got.items()} == {(1, 7): False, (2, 7): False, (3, 8): False, (4, 8): False}
-    assert all(r.n_fitting == r.n_windows for r in got.values())
+    assert all(r.n_found == r.n_windows for r in got.values())
 
 
 def test_items_of_few_literals_are_found_as_they_are(spark, documents):
@@ -119,3 +119,21 @@ def test_one_inconsistent_value_does_not_lose_the_windows_without_it(spark, docu
         (4, fruits.replace("3 apples", "4 apples").replace("3 pears", "7 pears")),
     ]
     assert set(find(spark, documents, docs, [(7, long), (8, fruits)])) == {(1, 7), (2, 7), (3, 7), (4, 8)}
+
+
+def test_values_have_to_stand_for_each_other_one_to_one(spark, documents):
+    docs = [(1, QUESTION.replace("Mary", "Anna").replace("Bob", "Anna")), (2, QUESTION.replace("Mary", "Anna").replace("Bob", "Karl"))]
+    assert set(find(spark, documents, docs, [(7, QUESTION)])) == {(2, 7)}
+
+
+def test_the_windows_meet_by_their_hashes(spark, documents, prose):
+    bench = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+    plan = D.contamination(documents([(1, prose(1, 30))]), bench)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [hash" in plan and "Python" not in plan
+
+
+def test_ids_of_another_type_and_several_texts_of_one_id(spark, prose):
+    df = spark.createDataFrame([("a", "clean text of few words", 1), ("a", "so " + prose(3, 20), 2), (None, prose(3, 20), 3)], "doc_id string, text string, hash int")
+    bench = spark.createDataFrame([("x", prose(3, 20))], "item_id string, text string")
+    for options in ({}, {"most_broadcast": 0}):
+        assert [tuple(r)[:2] for r in D.contamination(df, bench, **options).collect()] == [("a", "x")]
