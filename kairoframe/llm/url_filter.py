@@ -4,6 +4,10 @@ Level 1 encodes the listed keys. Keys of the corpus that it passes wrongly are e
 passes wrongly by level 3, and so on until a level passes nothing wrongly. Over the corpus's complete key universe, which the
 cascade is built from, membership is then exact, and judging a page needs neither a join nor a shuffle.
 
+Level 1 passes so few keys wrongly (listed keys / (1.4 x other keys)) that level 2 has fewer keys than level 1, and later ones halve. So a cascade's size
+follows the list, which the driver holds, times the logarithm of the corpus's keys: about 1.44 log2(1.4 x other / listed) bits a listed key. A list whose
+first level would take more than ``most_mb`` is looked up by an exact join of the pages' keys instead.
+
 A key is a host suffix with a path prefix. Only suffixes with as many labels as some rule's host, and prefixes as long as some
 rule's path, can equal a rule; so a page has at most (label counts x path lengths of the rules) keys, however long its url is.
 
@@ -126,11 +130,16 @@ def key_universe(pages: DataFrame, url: str, rules: list[Rule]) -> DataFrame:
     return parts.mapInArrow(keys, "key binary").distinct()
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, false_positives: float = 0.01, most_mb: int = 64) -> Cascade:
+def first_rate(listed: int, others: int) -> float:
+    """The share of other keys that level 1 may pass wrongly, so that level 2 is smaller than it."""
+    return min(0.5, listed / (math.sqrt(2) * others)) if others else 0.5
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, false_positives: float | None = None) -> Cascade:
     """A cascade for the keys of listed among those of universe (both: one binary column ``key`` of 16 bytes).
 
-    The bits of a level are gathered as 64-bit words, OR-ed on the executors, so no keys reach the driver; a level's size is
-    computed from the number of its keys first, and one of over most_mb is refused rather than broadcast.
+    The bits of a level are gathered as 64-bit words, OR-ed on the executors, so no keys reach the driver; its size follows the number of listed keys, unless
+    false_positives sets the share that each level may pass wrongly.
     """
     spark = universe.sparkSession
     tagged = listed.select("key", F.lit(1).alias("listed")).unionByName(universe.select("key", F.lit(0).alias("listed")))
@@ -138,10 +147,9 @@ def build_cascade(listed: DataFrame, universe: DataFrame, false_positives: float
     inside, outside = tagged.where("listed = 1").select("key"), tagged.where("listed = 0").select("key")
     levels: list[Bloom] = []
     written = [tagged]
-    while n := inside.count():
-        n_words, hashes = Bloom.shape(n, false_positives)
-        if n_words * 8 > most_mb << 20:
-            raise ValueError(f"level {len(levels) + 1} would take {n_words * 8 >> 20} MB; most_mb is {most_mb}")
+    n, others = inside.count(), outside.count()
+    while n:
+        n_words, hashes = Bloom.shape(n, false_positives or (0.5 if levels else first_rate(n, others)))
         level = len(levels)
 
         def set_bits(batches: Iterator[pa.RecordBatch], level=level, hashes=hashes, n_words=n_words) -> Iterator[pa.RecordBatch]:
@@ -164,15 +172,38 @@ def build_cascade(listed: DataFrame, universe: DataFrame, false_positives: float
         wrong = write_shared(outside.mapInArrow(passed, "key binary"), "url-false-positives")
         written.append(wrong)
         inside, outside = wrong, inside
+        n = inside.count()
     for df in written:
         drop_shared(df)
     return Cascade(levels)
 
 
-def judge(pages: DataFrame, page_id: str, url: str, rules: list[Rule], default: str = "allow", false_positives: float = 0.01) -> DataFrame:
+def judged_by_join(pages: DataFrame, page_id: str, url: str, rules: list[Rule], default: str) -> DataFrame:
+    """The same as judge() for a very long list: the pages' keys meet the listed keys in a join."""
+    shape = Shape(rules)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_pages = [shape.keys(h, p) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            flat = [(i, n, digest(k)) for i, ks in enumerate(of_pages) for n, k in enumerate(ks)]
+            rows = pa.array([f[0] for f in flat], pa.int64())
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in batch.columns] + [pa.array([f[1] for f in flat], pa.int32()), pa.array([f[2] for f in flat], pa.binary())], names=["host", "path", "turn", "key"])
+
+    spark = pages.sparkSession
+    parts = pages.select(F.col(page_id).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    listed = spark.createDataFrame([(digest((r.host, r.path)), r.text, r.verdict) for r in rules], "key binary, rule string, verdict string")
+    found = parts.select("host", "path").distinct().mapInArrow(keys, "host string, path string, turn int, key binary").join(listed, "key")
+    best = found.groupBy("host", "path").agg(F.min(F.struct("turn", "rule", "verdict")).alias("best"))
+    joined = parts.join(best, ["host", "path"], "left")
+    return joined.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def judge(pages: DataFrame, page_id: str, url: str, rules: list[Rule], default: str = "allow", most_mb: int = 64, false_positives: float | None = None) -> DataFrame:
     """page_id, host, path, rule (null: none fits) and verdict of every page."""
     spark = pages.sparkSession
     rules = list(dict.fromkeys(rules))
+    if len(rules) * 12 > most_mb << 20:  # 12 bytes a listed key: 1.44 x 64 bits
+        return judged_by_join(pages, page_id, url, rules, default)
     universe = write_shared(key_universe(pages, url, rules), "url-universe")
     verdicts = sorted({r.verdict for r in rules})
     cascades = {}

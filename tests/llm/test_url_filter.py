@@ -35,7 +35,7 @@ def test_against_brute_force(spark):
     assert found == {i: brute(u, RULES) for i, u in enumerate(urls)}
 
 
-@pytest.mark.parametrize("false_positives", [0.5, 0.01])
+@pytest.mark.parametrize("false_positives", [None, 0.5, 0.01])
 def test_exact_however_loose_the_levels_are(spark, false_positives):
     rules = [Rule(f"h{i}", "/", "block" if i % 3 else "allow") for i in range(60)]
     urls = [f"http://s.h{i}/q" for i in range(400)]
@@ -46,7 +46,16 @@ def test_empty_table(spark):
     assert judge(spark, []) == {}
 
 
-def test_a_level_beyond_the_bound_is_refused(spark):
-    listed = spark.createDataFrame([(bytes([i, j] * 8),) for i in range(250) for j in range(250)], "key binary")
-    with pytest.raises(ValueError, match="most_mb"):
-        url_filter.build_cascade(listed, listed.limit(0), most_mb=0)
+def test_a_list_beyond_the_bound_is_looked_up_by_a_join(spark):
+    r = random.Random(5)
+    urls = [f"http://{r.choice(['a.b', 'b', 'x.net', 'www.example.net', 'c'])}/{r.choice(['', 'x', 'xyz', 'en/'])}" for _ in range(60)] + [None, "", "http://b/xyz", "http://b/xyz"]
+    assert judge(spark, urls, most_mb=0) == judge(spark, urls) == {i: brute(u, RULES) for i, u in enumerate(urls)}
+
+
+def test_the_cascade_follows_the_list_not_the_corpus(spark):
+    digests = [(url_filter.digest((f"h{i}", "/")),) for i in range(20_000)]
+    listed, universe = spark.createDataFrame(digests[:50], "key binary"), spark.createDataFrame(digests, "key binary")
+    cascade = url_filter.build_cascade(listed, universe)
+    assert sum(len(level.bits) for level in cascade.levels) * 64 <= 50 * 30
+    keys = url_filter._pairs(d[0] for d in digests)
+    assert cascade.has(keys).tolist() == [i < 50 for i in range(20_000)]
