@@ -35,7 +35,7 @@ from kairoframe.llm.prefilter import filter_of, passing
 from kairoframe.llm.storage import bounded_batches, drop_shared, write_shared
 
 SLICE = 1 << 20
-HOT_BYTES = 16 << 20  # string hashes of one prefix that are compared in one task
+HOT_BYTES = 1 << 20  # string hashes of one prefix that are compared in one task
 ENTRY = "key long, context long, doc_id long, at long"
 
 
