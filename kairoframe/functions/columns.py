@@ -105,3 +105,46 @@ def slerp(a: Vector, b: Vector, t: Column | float) -> Vector:
 def free_flight(p: Vector, v: Vector, dt: Column, gravity: float) -> Vector:
     """Where a body in free flight is after dt (gravity along the third axis, negative: down)."""
     return (p[0] + v[0] * dt, p[1] + v[1] * dt, p[2] + v[2] * dt + dt * dt * (0.5 * gravity))
+
+
+def axis_angle(axis: Vector, angle: Column) -> Vector:
+    """The unit quaternion of a turn by ``angle`` about a unit axis."""
+    half = angle * 0.5
+    return (*(x * F.sin(half) for x in axis), F.cos(half))
+
+
+def angle_between(a: Vector, b: Vector) -> Column:
+    """The angle of the turn from one unit quaternion to another."""
+    return F.acos(F.least(F.lit(1.0), F.abs(dot(a, b)))) * 2.0
+
+
+def segment_distance(p: Vector, a: Vector, b: Vector) -> Column:
+    """The distance of a point to the segment from a to b."""
+    along = subtract(b, a)
+    size = dot(along, along)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(size > 0, dot(subtract(p, a), along) / size).otherwise(F.lit(0.0))))
+    return length(subtract(p, lerp(a, b, share)))
+
+
+def box_distance(p: Vector, centre: Vector, q: Vector, half: tuple[float, float, float]) -> Column:
+    """The distance of a point to a box with the given half sizes, turned by the unit quaternion q about its centre; 0 inside."""
+    local = rotate(conjugate(q), subtract(p, centre))
+    return length(tuple(F.greatest(F.lit(0.0), F.abs(x) - h) for x, h in zip(local, half)))
+
+
+def boost_percent(raw: Column) -> Column:
+    """A boost amount of 0 to 255 in hundredths."""
+    return raw * 100.0 / 255.0
+
+
+def boost_raw(percent: Column) -> Column:
+    return percent * 255.0 / 100.0
+
+
+def title_case(name: Column) -> Column:
+    """A stream's name for people: snake_case to Words."""
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def without_prefix(name: Column, prefix: str) -> Column:
+    return F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1 << 20)).otherwise(name)

@@ -132,6 +132,22 @@ def field_thirds(players: DataFrame) -> DataFrame:
     return cut.groupBy(*PLAYER, named.alias("third")).agg(F.sum(F.col("dt") * F.col("share")).alias("seconds"))
 
 
+def field_regions(players: DataFrame, name: str) -> DataFrame:
+    """The same for the two halves of the field, in the column ``name``."""
+    rows = players.where("live").withColumn("ny", normalised_y(F.col("y"), F.col("team")))
+    cut = temporal.crossings(rows, PLAYER, ["frame"], "ny", [0])
+    return cut.groupBy(*PLAYER, F.when(F.col("region") == 0, "defensive").otherwise("offensive").alias(name)).agg(F.sum(F.col("dt") * F.col("share")).alias("seconds"))
+
+
+def ball_depths(players: DataFrame, frames: DataFrame) -> DataFrame:
+    """Seconds per player behind, level with and ahead of the ball, as the team sees it."""
+    rows = players.where("live").join(frames.select("match_id", "frame", "ball_y"), ["match_id", "frame"])
+    rows = rows.withColumn("ny", normalised_y(F.col("y"), F.col("team")) - normalised_y(F.col("ball_y"), F.col("team")))
+    cut = temporal.crossings(rows, PLAYER, ["frame"], "ny", [-DEPTH_BOUNDARY, DEPTH_BOUNDARY])
+    named = F.element_at(F.array(*map(F.lit, ("behind", "level", "ahead"))), F.col("region") + 1)
+    return cut.groupBy(*PLAYER, named.alias("depth")).agg(F.sum(F.col("dt") * F.col("share")).alias("seconds"))
+
+
 def depth_roles(players: DataFrame) -> DataFrame:
     rows = players.where("live").withColumn("ny", normalised_y(F.col("y"), F.col("team")))
     named = temporal.roles(rows, ["match_id", "frame", "team"], "ny", "player_id", ROLE_SPREAD)
@@ -161,13 +177,13 @@ def with_previous_touch(touches: DataFrame) -> DataFrame:
     return temporal.with_previous(touches, MATCH, ["t", "frame", "player_id"], ["t", "player_id", "team", "x", "y", "z"])
 
 
-def passes(touches: DataFrame) -> DataFrame:
-    """A touch after one by a team-mate within 3.5 s (both ends included), if the ball has travelled 500."""
+def passes(touches: DataFrame, previous_time: bool = False) -> DataFrame:
+    """A touch after one by a team-mate within 3.5 s (both ends included), if the ball has travelled 500; with previous_time, the passer's touch as prev_t."""
     travel = C.length(tuple(F.col(c) - F.col(f"prev_{c}") for c in "xyz"))
     age = F.col("t") - F.col("prev_t")
     rows = with_previous_touch(touches).withColumn("travel", travel)
     return rows.where((F.col("team") == F.col("prev_team")) & (F.col("player_id") != F.col("prev_player_id")) & age.between(0, PASS_TIME) & (F.col("travel") >= PASS_TRAVEL)).select(
-        *MATCH, "frame", "t", "team", F.col("prev_player_id").alias("passer"), F.col("player_id").alias("receiver"), "travel"
+        *MATCH, "frame", "t", "team", F.col("prev_player_id").alias("passer"), F.col("player_id").alias("receiver"), "travel", *(["prev_t"] if previous_time else [])
     )
 
 

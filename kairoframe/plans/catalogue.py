@@ -5,18 +5,14 @@ Sums are of integers (cents, micros), and ratios are rounded once at the end, so
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairoframe.functions import columns as C
 from kairoframe.operators import features, folds, labels, matching, temporal, timeline
+from kairoframe.plans.registry import ORACLES, QUERIES, query  # noqa: F401  (the catalogue is read from here)
 from kairoframe.sources.tables import event_samples, order_samples, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 KEYS, ORDER = ["user_id"], ["us", "event_id"]
@@ -33,16 +29,6 @@ W = "PARTITION BY user_id ORDER BY us, event_id"
 E_NUMBERED = f"{E}, r AS (SELECT *, row_number() OVER ({W}) AS rn FROM e)"
 
 
-def query(sql: str | None = None):
-    def put(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
 def stop():
     return F.col("event_type") == "error"
 
@@ -729,3 +715,6 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
+from kairoframe.plans import recording  # noqa: E402, F401  (adds its own queries)
