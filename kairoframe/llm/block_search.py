@@ -1,32 +1,35 @@
 """Exact top-k search by inner product, block at a time.
 
-Vectors are range-partitioned by id and packed into spans of forward indexes (ids and a dense matrix), each cut into blocks. A block
-keeps the largest and the smallest value of each dimension (term). For a query, the sum over its terms of the larger of
-value x largest and value x smallest bounds every score in the block. Blocks are taken in falling order of that bound,
-and a query stops at the first block whose bound is below its k-th best score so far (a block whose bound equals it may still
-hold a tie with a smaller id, so it is scored).
+Vectors are range-partitioned by id and packed into spans, forward indexes of ``span`` rows (ids and a dense matrix) cut into blocks, ranges of ``block``
+ids. Stored with a span are its blocks' maxima and minima of each dimension (term). For a query, the sum over its terms of the larger of value x maximum
+and value x minimum bounds every score in the block.
 
-Every span meets every chunk of queries once, through an equi-join on (span, chunk) in which both sides are bounded arrays: moved
-data are vectors x chunks + queries x spans, not pairs, and a task holds one span and one chunk. Each pair returns at most k
-candidates a query; a ranking per query merges them.
+Queries come in rounds of at most ``chunk``, which are broadcast: a bounded array, with each query's threshold. A threshold is the k-th best score that is
+known of a query: it starts from the scores among the round's first queries, which are rows of the table as well, and rises as a task goes on from
+span to span. In a span, blocks are taken in falling order of their bounds, and of a block only the queries are scored whose bound is not below their
+threshold (one that equals it may still hold a tie with a smaller id). So no span is shuffled or copied, a round is one scan of the spans, and a task
+returns for each query at most k candidates that reach its threshold. A ranking per query merges them.
 
 Cases: vectors that are null, or hold a null or non-finite component, take no part, neither as queries nor as candidates; shorter
 vectors count as padded with zeros; a row given twice counts once; equal scores go to the smaller id; a query without other rows
-has no result; an empty table gives an empty result. A null id takes no part. Further columns are ignored.
+has no result; an empty table gives an empty result. A null id takes no part. Components have to stay below 2^62 after scaling, and scores below 2^63.
+Further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairoframe.llm.storage import write_shared
+from kairoframe.llm.storage import drop_shared, new_path, write_shared
 
-PACK = "span long, ids binary, width int, cells binary"
+PACK = "span long, ids binary, width int, cells binary, low binary, high binary"
+SEED = 4096  # queries of a round that thresholds start from
 
 
 def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: float) -> DataFrame:
@@ -37,8 +40,8 @@ def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: float) -> Dat
     return vectors.where(F.col(vec_id).isNotNull() & finite).select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("cells")).distinct()
 
 
-def packed(rows: DataFrame, span: int) -> DataFrame:
-    """Pack up to span rows of (vec_id, cells) into one row; spans are numbered by partition and place in it."""
+def packed(rows: DataFrame, span: int, block: int) -> DataFrame:
+    """Pack up to span rows of (vec_id, cells) into one row, with its blocks' bounds; spans are numbered by partition and place in it."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -52,7 +55,10 @@ def packed(rows: DataFrame, span: int) -> DataFrame:
             matrix = np.zeros((len(ids), width), np.int64)
             for i, row in enumerate(cells):
                 matrix[i, : len(row)] = row
-            return pa.RecordBatch.from_pydict({"span": [number], "ids": [np.array(ids, np.int64).tobytes()], "width": pa.array([width], pa.int32()), "cells": [matrix.tobytes()]})
+            cuts = np.arange(0, len(ids), block)
+            low, high = (f.reduceat(matrix, cuts, axis=0) if width else np.zeros((len(cuts), 0), np.int64) for f in (np.minimum, np.maximum))
+            values = {"ids": np.array(ids, np.int64), "cells": matrix, "low": low, "high": high}
+            return pa.RecordBatch.from_pydict({"span": [number], "ids": [values["ids"].tobytes()], "width": pa.array([width], pa.int32()), **{c: [values[c].tobytes()] for c in ("cells", "low", "high")}})
 
         for batch in batches:
             new_ids, new_cells = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -68,84 +74,131 @@ def packed(rows: DataFrame, span: int) -> DataFrame:
     return rows.mapInArrow(pack, PACK)
 
 
-def _blocks(ids: np.ndarray, matrix: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of neighbouring rows, after rows were put in order of their strongest dimension: such blocks have tighter bounds."""
-    order = np.argsort(np.abs(matrix).argmax(axis=1) * 2 + (np.take_along_axis(matrix, np.abs(matrix).argmax(axis=1)[:, None], 1)[:, 0] > 0), kind="stable")
-    return [(ids[at], matrix[at]) for at in np.array_split(order, max(1, -(-len(order) // size)))]
-
-
-def _best(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per query up to k of (query id, candidate id, score). Scores below 2^53 are exact as floats; larger ones are integers."""
-    width = max(queries.shape[1], matrix.shape[1])
-    queries, matrix = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (queries, matrix))
-    small = width * float(np.abs(queries).max(initial=0)) * float(np.abs(matrix).max(initial=0)) < 2.0**53
-    kind = np.float64 if small else np.int64
-    queries, matrix = queries.astype(kind), matrix.astype(kind)
-    blocks = _blocks(ids, matrix, size) if width else [(ids, matrix)]
-    high = np.stack([m.max(axis=0, initial=np.iinfo(np.int64).min if kind is np.int64 else -np.inf) for _, m in blocks])
-    low = np.stack([m.min(axis=0, initial=np.iinfo(np.int64).max if kind is np.int64 else np.inf) for _, m in blocks])
-    bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
-    turn = np.argsort(-bounds, axis=1, kind="stable")
-    none = np.iinfo(np.int64).max
-    best = np.full((len(queries), k), np.iinfo(np.int64).min, np.int64)
-    who = np.full((len(queries), k), none, np.int64)
-    live = np.arange(len(queries))
-    for step in range(len(blocks)):
-        at = turn[live, step]
-        live, at = (keep := live[~((who[live, -1] != none) & (bounds[live, at] < best[live, -1]))]), turn[keep, step]
-        for b in np.unique(at):
-            mine = live[at == b]
-            own_ids, rows = blocks[b]
-            scores = (queries[mine] @ rows.T).astype(np.int64)
-            other = np.broadcast_to(own_ids, scores.shape).copy()
-            self_ = other == q_ids[mine][:, None]
-            scores[self_], other[self_] = np.iinfo(np.int64).min, none
-            scores, other = np.concatenate([best[mine], scores], 1), np.concatenate([who[mine], other], 1)
-            top = np.lexsort((other, -scores.astype(np.float64) if small else np.bitwise_not(scores)), axis=1)[:, :k]
-            best[mine], who[mine] = np.take_along_axis(scores, top, 1), np.take_along_axis(other, top, 1)
-    found = who != none
-    return np.repeat(q_ids, found.sum(axis=1)), who[found], best[found]
-
-
-def top_k(vectors: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5, scale: float = 256.0, span: int = 4096, chunk: int = 1024, block: int = 256) -> DataFrame:
+class Round(NamedTuple):
+    """Queries, by id, and the scores that each is known to reach k times (the least of longs, if it is not)."""
+
+    ids: np.ndarray
+    matrix: np.ndarray
+    least: np.ndarray
+
+
+NONE = np.iinfo(np.int64).min
+
+
+def _widened(m: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(m, ((0, 0), (0, width - m.shape[1])))
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a times b transposed as integers; in floating point where all sums are exact in it."""
+    width = max(a.shape[1], b.shape[1])
+    a, b = _widened(a, width), _widened(b, width)
+    most = width * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    kind = np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
+    return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
+
+
+def seeded(ids: np.ndarray, matrix: np.ndarray, k: int) -> Round:
+    """A round whose thresholds come from the scores among its own rows."""
+    some = matrix[:SEED]
+    least = np.full(len(ids), NONE)
+    if len(some) > k:
+        for a in range(0, len(ids), 1024):
+            scores = _product(matrix[a : a + 1024], some)
+            scores[ids[a : a + 1024, None] == ids[None, :SEED]] = NONE
+            least[a : a + 1024] = np.partition(scores, -k, axis=1)[:, -k]
+    return Round(ids, matrix, least)
+
+
+class Search:
+    """A task's way through its spans for one round: candidates so far, and thresholds that rise with them."""
+
+    def __init__(self, queries: Round, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.least = queries.least.copy()
+        self.found: list[np.ndarray] = []  # rows (query's place, id, score)
+        self.waiting = 0
+        self.scored = self.bounded = 0  # pairs of query and block: looked into, and in all
+
+    def look(self, ids: np.ndarray, matrix: np.ndarray, low: np.ndarray, high: np.ndarray, block: int) -> None:
+        q = self.queries.matrix
+        bounds = _product(np.maximum(q, 0), high) + _product(np.minimum(q, 0), low)
+        self.bounded += bounds.size
+        for b in np.argsort(-bounds.max(axis=0, initial=NONE), kind="stable"):
+            mine = np.flatnonzero(bounds[:, b] >= self.least)
+            self.scored += len(mine)
+            own_ids, rows = ids[b * block : (b + 1) * block], matrix[b * block : (b + 1) * block]
+            for some in np.array_split(mine, -(-len(mine) // 8192)) if len(mine) else ():
+                scores = _product(q[some], rows)
+                at, of = np.nonzero((scores >= self.least[some, None]) & (own_ids[None, :] != self.queries.ids[some, None]))
+                self.found.append(np.stack([some[at], own_ids[of], scores[at, of]]))
+                self.waiting += len(at)
+                if self.waiting > 1 << 18:
+                    self.settle()
+
+    def settle(self) -> np.ndarray:
+        """Keep the k best of each query, and raise the thresholds of those that have k."""
+        who, ids, scores = np.concatenate(self.found, axis=1) if self.found else np.zeros((3, 0), np.int64)
+        order = np.lexsort((ids, np.bitwise_not(scores), who))
+        who, ids, scores = who[order], ids[order], scores[order]
+        first = np.searchsorted(who, who, side="left")
+        kept = np.arange(len(who)) - first < self.k
+        best = np.stack([who[kept], ids[kept], scores[kept]])
+        last = np.flatnonzero((np.arange(len(who)) - first == self.k - 1))
+        self.least[who[last]] = np.maximum(self.least[who[last]], scores[last])
+        self.found, self.waiting = [best], 0
+        return best
+
+
+def _span(row: dict, block: int) -> tuple[np.ndarray, ...]:
+    """ids, matrix, low, high of a packed row."""
+    ids, width = np.frombuffer(row["ids"], np.int64), row["width"]
+    shapes = {"cells": len(ids), "low": -(-len(ids) // block), "high": -(-len(ids) // block)}
+    return ids, *(np.frombuffer(row[c], np.int64).reshape(n, width) for c, n in shapes.items())
+
+
+def top_k(vectors: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5, scale: float = 256.0, span: int = 4096, chunk: int = 16_384, block: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best other rows of each query row (is_query, a condition on vec_id)."""
     spark = vectors.sparkSession
     rows = write_shared(quantised(vectors, vec_id, vector, scale), "vectors")
-    n = rows.count()
+    order = ["vec_id", "cells"]
+    spans = write_shared(packed(rows.repartitionByRange(*order).sortWithinPartitions(*order), span, block), "spans")
     n_queries = rows.where(is_query).count()
+    asked = rows.where(is_query).repartitionByRange(max(1, -(-n_queries // chunk)), *order).sortWithinPartitions(*order)
+    chunks = write_shared(packed(asked, chunk, chunk), "chunks").select("span", "ids", "width", "cells")
+    path = new_path(spark, "candidates")
 
-    def ranges(df: DataFrame, total: int, size: int) -> DataFrame:
-        parts = max(1, -(-total // size))
-        return packed(df.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id", "cells"), size)
-
-    spans = write_shared(ranges(rows, n, span), "spans")
-    chunks = write_shared(ranges(rows.where(is_query), n_queries, chunk), "chunks").toDF("chunk", "q_ids", "q_width", "q_cells")
-    chunk_ids = spark.sparkContext.broadcast(sorted(r[0] for r in chunks.select("chunk").collect()))
-    span_ids = spark.sparkContext.broadcast(sorted(r[0] for r in spans.select("span").collect()))
-
-    def copies(numbers, schema_names):
-        def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search_with(sent):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task = Search(sent.value, k)
             for batch in batches:
                 for i in range(batch.num_rows):
-                    row = batch.slice(i, 1)
-                    for other in numbers.value:
-                        yield pa.RecordBatch.from_arrays([*row.columns, pa.array([other], pa.int64())], names=schema_names)
-
-        return repeat
-
-    left = spans.mapInArrow(copies(chunk_ids, ["span", "ids", "width", "cells", "chunk"]), PACK + ", chunk long")
-    right = chunks.mapInArrow(copies(span_ids, ["chunk", "q_ids", "q_width", "q_cells", "span"]), "chunk long, q_ids binary, q_width int, q_cells binary, span long")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                sides = []
-                for ids, width, cells in ((row["q_ids"], row["q_width"], row["q_cells"]), (row["ids"], row["width"], row["cells"])):
-                    ids = np.frombuffer(ids, np.int64)
-                    sides += [ids, np.frombuffer(cells, np.int64).reshape(len(ids), width)]
-                q, v, s = _best(*sides, k, block)
-                yield pa.RecordBatch.from_pydict({"query_id": q, "vec_id": v, "score": s})
-
-    found = left.join(right, ["span", "chunk"]).mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    task.look(*_span(batch.slice(i, 1).to_pylist()[0], block), block)
+                    task.settle()
+            who, ids, scores = task.settle()
+            yield pa.RecordBatch.from_pydict({"query_id": sent.value.ids[who], "vec_id": ids, "score": scores})
+
+        return search
+
+    def go(parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """One round: a scan of the spans, whose candidates are appended to those of the rounds before."""
+        width = max(m.shape[1] for _, m in parts)
+        queries = seeded(np.concatenate([i for i, _ in parts]), np.concatenate([_widened(m, width) for _, m in parts]), k)
+        sent = spark.sparkContext.broadcast(queries)
+        spans.mapInArrow(search_with(sent), "query_id long, vec_id long, score long").write.mode("append").parquet(path)
+        sent.unpersist()
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # at most two chunks of queries
+    for row in chunks.toLocalIterator():
+        ids = np.frombuffer(row["ids"], np.int64)
+        if held and sum(len(i) for i, _ in held) + len(ids) > chunk:
+            go(held)
+            held = []
+        held.append((ids, np.frombuffer(row["cells"], np.int64).reshape(len(ids), row["width"])))
+    if held:
+        go(held)
+    drop_shared(rows, chunks)
+    schema = "query_id long, vec_id long, score long"
+    found = spark.read.schema(schema).parquet(path) if n_queries else spark.createDataFrame([], schema)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
