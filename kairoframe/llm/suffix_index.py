@@ -113,9 +113,9 @@ def settled(table: DataFrame, prefixes: list[list[str]]) -> DataFrame:
     """The rows of a written neighbours() table, whose edges (two a partition) are compared with each other across the partitions."""
     edges = table.where("edge")
     for i, p in enumerate(prefixes):
-        # One row of a partition's edge run and one of the next partition's suffice: both are edges.
+        # One row of a partition's edge run and one of the next partition's suffice: both are edges. They are two a partition, and are sent to the table.
         twice = edges.groupBy(*p).agg(F.count("*").alias("n")).where("n > 1").select(*p, F.lit(True).alias(f"also{i}"))
-        table = table.join(twice, p, "left").withColumn(f"same{i}", F.col(f"same{i}") | (F.col("edge") & F.coalesce(F.col(f"also{i}"), F.lit(False)))).drop(f"also{i}")
+        table = table.join(F.broadcast(twice), p, "left").withColumn(f"same{i}", F.col(f"same{i}") | (F.col("edge") & F.coalesce(F.col(f"also{i}"), F.lit(False)))).drop(f"also{i}")
     return table
 
 
