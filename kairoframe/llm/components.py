@@ -1,7 +1,7 @@
 """Connected components of a graph given by its edges, by alternating large-star and small-star steps.
 
-No step gathers a node's neighbours: each takes the minimum over them (combined before the shuffle) and joins it back, where Spark can split
-a node with very many edges.
+No step gathers a node's neighbours: each takes the minimum over them (combined before the shuffle) and joins it back. For that join a node is dealt out
+over ``SALTS`` tasks by its neighbours' hashes, so that one with very many edges does not land in one.
 """
 
 from __future__ import annotations
@@ -12,16 +12,26 @@ from pyspark.sql import functions as F
 from kairoframe.llm.storage import drop_shared, write_shared
 
 
+SALTS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with the w of their u; least: u, w, each u once."""
+    salted = edges.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["u", "salt"]).drop("salt")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step on edges (u, v), u > v, each once. Large: every node's larger neighbours are tied to its smallest neighbour or itself; small: its
     smaller neighbours and itself to the smallest of them."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
-        tied = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("w").alias("v"))
+        tied = _with_least(both, least).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("w").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("w"))
-        tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(least.select("u", F.col("w").alias("v")))
+        tied = _with_least(edges, least).select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(least.select("u", F.col("w").alias("v")))
     return tied.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
