@@ -12,6 +12,7 @@ from kairoframe.functions import columns as C
 from kairoframe.operators import features, folds, labels, matching, temporal, timeline
 from kairoframe.plans.registry import ORACLES, QUERIES, query  # noqa: F401  (the catalogue is read from here)
 from kairoframe.sources.tables import event_samples, order_samples, table
+from kairoframe.streaming import live
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -579,142 +580,71 @@ def _kind():
     return [(f"is_{t}", (F.col("event_type") == t).cast("int")) for t in TYPES]
 
 
-@query(f"""
-WITH {E} SELECT CAST(us // {DAY} AS BIGINT) AS day, {', '.join(f"coalesce(max(cents) FILTER (event_type = '{t}'), 0) AS {t}_amount, coalesce(max((us // 1000000) % 86400) FILTER (event_type = '{t}'), 0) AS {t}_second" for t in TYPES)}
-FROM e GROUP BY 1
-""")
-def feature_matrix(spark, folder):
-    rows = REGISTRY.select(event_samples(spark, folder), ["event_type"], ["amount", "moment"])
-    return features.wide(rows, ["day"], "event_type", TYPES, ["amount", "second"])
-
-
-def _vectors(spark, folder):
-    return table(spark, folder, "embeddings").where("embedding IS NOT NULL")
-
-
-V = "v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS d, CAST(embedding[5] AS DOUBLE) AS e, CAST(embedding[6] AS DOUBLE) AS f FROM embeddings WHERE embedding IS NOT NULL)"
-
-
-@query(f"""
-WITH {V} SELECT vec_id, round(a * d + b * e + c * f, 6) AS dot, round(sqrt(a * a + b * b + c * c), 6) AS length, round(b * f - c * e, 6) AS cross_x,
-  round(CASE WHEN a * a + b * b + c * c > 0 THEN a / sqrt(a * a + b * b + c * c) ELSE 0 END, 6) AS unit_x, round(a + (d - a) * 0.25, 6) AS lerp_x FROM v
-""")
-def vec_ops(spark, folder):
-    p, q = C.vector("embedding", 0), C.vector("embedding", 3)
-    return _vectors(spark, folder).select(
-        "vec_id",
-        F.round(C.dot(p, q), 6).alias("dot"),
-        F.round(C.length(p), 6).alias("length"),
-        F.round(C.cross(p, q)[0], 6).alias("cross_x"),
-        F.round(C.normalised(p)[0], 6).alias("unit_x"),
-        F.round(C.lerp(p, q, 0.25)[0], 6).alias("lerp_x"),
-    )
-
-
-@query(f"""
-WITH {V}, n AS (SELECT *, sqrt(a * a + b * b + c * c + d * d) AS z FROM v), q AS (SELECT vec_id, a / z AS x, b / z AS y, c / z AS w3, d / z AS w, e, f FROM n WHERE z > 0),
-t AS (SELECT *, 2 * (y * 1.0 - w3 * f) AS tx, 2 * (w3 * e - x * 1.0) AS ty, 2 * (x * f - y * e) AS tz FROM q)
-SELECT vec_id, round(e + w * tx + (y * tz - w3 * ty), 6) AS rx, round(f + w * ty + (w3 * tx - x * tz), 6) AS ry, round(1.0 + w * tz + (x * ty - y * tx), 6) AS rz FROM t
-""")
-def quat_rotate(spark, folder):
-    rows = _vectors(spark, folder).withColumn("z", C.length(C.vector("embedding", 0, 4))).where("z > 0")
-    q = C.scale(C.vector("embedding", 0, 4), F.lit(1.0))
-    unit = tuple(x / F.col("z") for x in q)
-    turned = C.rotate(unit, (*C.vector("embedding", 4, 2), F.lit(1.0)))
-    return rows.select("vec_id", *(F.round(x, 6).alias(n) for x, n in zip(turned, ("rx", "ry", "rz"))))
-
-
-@query(f"WITH {E} SELECT event_id, round(greatest(0.0, least(1.0, (cents - 1000) / 9000.0)), 6) AS score FROM e")
-def norm_score(spark, folder):
-    return event_samples(spark, folder).select("event_id", F.round(C.unit_score(F.col("cents"), 1000.0, 10_000.0), 6).alias("score"))
-
-
-STREAMS = f"""WITH {E}, s AS (SELECT 'sale' AS stream, user_id, us, event_id, cents, CAST(NULL AS BIGINT) AS k FROM e WHERE event_type = 'purchase'
-  UNION ALL SELECT 'fault', user_id, us, event_id, NULL, k FROM e WHERE event_type = 'error')"""
-
-
-def _streams(spark, folder):
-    rows = event_samples(spark, folder)
-    return timeline.union_streams({
-        "sale": rows.where("event_type = 'purchase'").select("user_id", "us", "event_id", "cents"),
-        "fault": rows.where(stop()).select("user_id", "us", "event_id", "k"),
-    })
-
+def _shared(spark, name: str) -> str:
+    """A new folder for a stream's progress and rows, in the folder that the cluster shares; only a local session without one gets a temporary one."""
+    import tempfile
+    import uuid
 
-@query(f"{STREAMS} SELECT stream, user_id, us, event_id, coalesce(cents, -1) AS cents, coalesce(k, -1) AS k FROM s")
-def timeline_union(spark, folder):
-    return _streams(spark, folder).select("stream", "user_id", "us", "event_id", F.coalesce("cents", F.lit(-1)).alias("cents"), F.coalesce("k", F.lit(-1)).alias("k"))
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='kairoframe-')}"
+    return f"{root.rstrip('/')}/kairoframe-live/{name}-{uuid.uuid4().hex}"
 
 
-@query(f"""{STREAMS}, d AS (SELECT *, us // {DAY} AS day FROM s)
-SELECT event_id, stream || ':' || CAST(day AS VARCHAR) || ':' || CAST(row_number() OVER (PARTITION BY user_id, stream, day ORDER BY us, event_id) - 1 AS VARCHAR) AS event_key FROM d""")
-def event_ids(spark, folder):
-    rows = _streams(spark, folder).withColumn("day", F.floor(F.col("us") / DAY))
-    return timeline.with_event_ids(rows, KEYS, "stream", "day", ORDER).select("event_id", "event_key")
+def _in_parts(spark, folder: str, path: str, parts: int) -> DataFrame:
+    """events as a stream of files in order of time, one a micro-batch: the table is written in that many parts first."""
+    rows = table(spark, folder, "events").select("event_id", "user_id", "event_type", F.expr("CAST(ts AS timestamp)").alias("ts"))
+    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.least(F.lit(parts - 1), F.floor((F.unix_micros("ts") - first) * parts / max(1, (last or 0) - (first or 0) + 1)))
+    for i in range(parts):  # one file a part, the oldest first
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{path}/source")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/source")
 
 
-@query(f"""
-WITH {E}, a AS (SELECT event_id, cents, event_type FROM e WHERE k < 60), b AS (SELECT event_id, CASE WHEN event_type = 'click' THEN cents + 1 ELSE cents END AS cents, event_type FROM e WHERE k >= 20)
-SELECT coalesce(a.event_id, b.event_id) AS event_id, CASE WHEN b.event_id IS NULL THEN 'retract' ELSE 'upsert' END AS change, coalesce(b.cents, -1) AS cents, b.event_type
-FROM a FULL JOIN b ON a.event_id = b.event_id WHERE a.event_id IS NULL OR b.event_id IS NULL OR a.cents IS DISTINCT FROM b.cents OR a.event_type IS DISTINCT FROM b.event_type
-""")
-def changelog_diff(spark, folder):
-    rows = event_samples(spark, folder)
-    changed = rows.where("k >= 20").withColumn("cents", F.when(F.col("event_type") == "click", F.col("cents") + 1).otherwise(F.col("cents")))
-    return timeline.changes(rows.where("k < 60"), changed, ["event_id"], ["cents", "event_type"]).withColumn("cents", F.coalesce("cents", F.lit(-1)))
+@query(ORACLES["rate_limit"])
+def live_replay_equivalence(spark, folder):
+    """rate_limit as a stream: events in four files, one a micro-batch, folded in keyed state behind a watermark of a day; with what the drained stream
+    still held, the result is that of the batch."""
+    path = _shared(spark, "rate-limit")
+    events = _in_parts(spark, folder, path, 4).withColumn("us", F.unix_micros("ts"))
+    step, schema = folds.rate_limit(12 * HOUR), "user_id long, us long, event_id long"
+    rows = live.folded_stream(events, KEYS, ORDER, [], "ts", "1 day", lambda: None, step, folds.nothing, schema)
+    emitted = live.drained(rows, path)
+    return emitted.unionByName(live.flushed(spark, f"{path}/progress", KEYS, ORDER, step, folds.nothing, schema))
 
 
-@query(f"""
-WITH {E}, p AS (SELECT *, lag(event_type) OVER ({W}) AS pt, lag(us) OVER ({W}) AS pu FROM e),
-c AS (SELECT *, CAST(sum(CASE WHEN pu IS NULL OR pt IS DISTINCT FROM event_type OR us - pu > {DAY} THEN 1 ELSE 0 END) OVER ({W}) AS BIGINT) AS episode FROM p)
-SELECT user_id, episode, min(event_type) AS event_type, count(*) AS n, max(us) - min(us) AS lasted FROM c GROUP BY 1, 2 HAVING count(*) >= 2
+@query("""
+WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT event_type, user_id, n, CAST(row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS INT) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) <= 3
 """)
-def chain_episodes(spark, folder):
-    rows = temporal.chains(event_samples(spark, folder), KEYS, ORDER, "us", "event_type", DAY)
-    found = rows.groupBy("user_id", "episode").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"), (F.max("us") - F.min("us")).alias("lasted"))
-    return found.where("n >= 2")
+def live_changelog(spark, folder):
+    """The three busiest users of each event type, projected anew with every micro-batch and published as upserts and retractions; the log, replayed,
+    gives the final table."""
+    path = _shared(spark, "changelog")
+    counts = _in_parts(spark, folder, path, 4).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
+    def project(batch: DataFrame, number: int) -> None:
+        top = temporal.ranked(batch, ["event_type"], [F.desc("n"), F.col("user_id")], "rank").where("rank <= 3")
+        live.publish(top, number, path, ["event_type", "user_id"], ["n", "rank"])
 
-@query("""
-WITH p AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS from_role FROM conversations)
-SELECT from_role, role AS to_role, count(*) AS n FROM p WHERE from_role IS NOT NULL AND role IS DISTINCT FROM from_role GROUP BY 1, 2
-""")
-def pass_pairs(spark, folder):
-    rows = temporal.with_previous(table(spark, folder, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn", "role"], ["role"])
-    return rows.where("prev_role IS NOT NULL AND role <> prev_role").groupBy(F.col("prev_role").alias("from_role"), F.col("role").alias("to_role")).agg(F.count("*").alias("n"))
+    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/progress").foreachBatch(project).trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.parquet(f"{path}/changes")
+    return live.replayed(changes, ["event_type", "user_id"])
 
 
 @query(f"""
-WITH {E} SELECT CAST(us // {DAY} AS BIGINT) AS day, event_type, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM e GROUP BY 1, 2
+WITH {E}, c AS (SELECT user_id, event_id, us % 1000 AS clock FROM e), p AS (SELECT *, lag(clock) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM c),
+s AS (SELECT *, CAST(sum(CASE WHEN clock < before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS session FROM p)
+SELECT user_id, session, count(*) AS n, min(event_id) AS first_event FROM s GROUP BY 1, 2
 """)
-def live_replay_equivalence(spark, folder):
-    """events as a file stream, drained once (availableNow), windowed by event-time day, against the batch result. The sink is in the shared checkpoint folder."""
-    import tempfile
-    import uuid
-
-    from pyspark.sql.types import StructType
-
-    path = f"{folder}/events.parquet"
-    schema = StructType(spark.read.parquet(path).schema.fields)
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='kairoframe-')}"
-    out = f"{root.rstrip('/')}/live-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{folder}/events*.parquet")
-    timed = events.select(F.expr("CAST(ts AS timestamp)").alias("ts"), "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
-    totals = timed.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("cents").alias("total"))
-
-    def keep(batch: DataFrame, number: int) -> None:
-        # A complete result per micro-batch; the last one stays.
-        batch.write.mode("overwrite").parquet(f"{out}/result")
-
-    totals.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/offsets").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    day = F.floor(F.unix_micros("window.start") / DAY).alias("day")
-    return spark.read.parquet(f"{out}/result").select(day, "event_type", "n", "total")
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+def clock_resets(spark, folder):
+    """Sessions of each source in the order of arrival: a clock that goes backwards begins a new match."""
+    rows = event_samples(spark, folder).select("user_id", "event_id", (F.col("us") % 1000).alias("clock"))
+    rows = rows.withColumn("before", F.lag("clock").over(temporal.ordered(KEYS, ["event_id"])))
+    cut = temporal.segment(rows, KEYS, ["event_id"], F.col("clock") < F.col("before"), "session")
+    return cut.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
 from kairoframe.plans import recording  # noqa: E402, F401  (adds its own queries)
