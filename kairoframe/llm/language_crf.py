@@ -144,18 +144,27 @@ class Crf(NamedTuple):
         return both / both.sum(axis=2, keepdims=True)
 
 
+def _training_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words: their features' places, word after word, how many each has, and its text; some texts at a time, since the driver holds them."""
+    places, counts, owners = [], [], []
+    for a in range(0, len(texts), 256):
+        raw, offsets = text_bytes(pa.array(texts[a : a + 256], pa.large_string()))
+        start, end, text = letter_words(raw, offsets)
+        place, owner = features(RangeHash(LOWER[raw]), start, end)
+        places.append(place[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(start)).astype(np.int32))
+        owners.append((text + a).astype(np.int32))
+    return np.concatenate(places), np.concatenate(counts), np.concatenate(owners)
+
+
 def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 6, batch: int = 128, rate: float = 0.3) -> Crf | None:
     """texts: windows of words; labels: their languages. Stochastic gradients (Adagrad) of the log-likelihood."""
     languages = sorted(set(labels))
     if not languages:
         return None
     rng = np.random.default_rng(seed)
-    raw, offsets = text_bytes(pa.array(texts, pa.large_string()))
-    lowered = LOWER[raw]
-    start, end, text = letter_words(raw, offsets)
-    place, owner = features(RangeHash(lowered), start, end)
-    order = np.argsort(owner, kind="stable")
-    place, cuts = place[order], np.searchsorted(owner[order], np.arange(len(start) + 1))
+    place, spans, text = _training_features(texts)
+    cuts = np.concatenate([[0], np.cumsum(spans)])
     label = np.array([languages.index(x) for x in labels])[text]
     bounds = np.searchsorted(text, np.arange(len(texts) + 1))
     k = len(languages)
@@ -206,7 +215,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 6, bat
     return Crf(languages, crf.weights.astype(np.float32), crf.transitions, crf.first)
 
 
-def train(labelled: DataFrame, most: int = 1500, most_mb: int = 32) -> Crf | None:
+def train(labelled: DataFrame, most: int = 1000, most_mb: int = 16) -> Crf | None:
     """labelled: doc_id, text, lang. Of at most ``most`` documents, in the order of their ids' hashes, those that fit into ``most_mb`` together come to the driver, whole."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
