@@ -289,7 +289,7 @@ def kickoffs(starts: DataFrame, touches: DataFrame, frames: DataFrame, players:
     y = F.greatest(F.lit(-FIELD), F.least(F.lit(FIELD), F.col("ry") + F.col("rvy") * 0.5))
     strength = F.abs(y) / FIELD
     band = F.when(F.abs(y) < KICKOFF_NEUTRAL, "neutral").when(strength >= 0.5, "strong").when(strength >= 0.25, "clear").otherwise("narrow")
-    judged = seen.select("match_id", "start_frame", "touch_frame", "toucher", "team", "resolved_frame", F.round(strength, 6).alias("strength"), band.alias("win"), F.when(F.abs(y) >= KICKOFF_NEUTRAL, (y < 0).cast("int")).alias("winner"))
+    judged = seen.select("match_id", "start_frame", "touch_frame", "toucher", "team", "resolved_frame", strength.alias("strength"), band.alias("win"), F.when(F.abs(y) >= KICKOFF_NEUTRAL, (y < 0).cast("int")).alias("winner"))
     return judged.join(takers, ["match_id", "start_frame"]).join(own, ["match_id", "start_frame", "toucher"])
 
 

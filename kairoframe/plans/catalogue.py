@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairoframe.functions import columns as C
-from kairoframe.operators import features, folds, labels, matching, temporal, timeline
+from kairoframe.operators import features, folds, labels, matching, scans, temporal, timeline
 from kairoframe.plans.registry import ORACLES, QUERIES, query  # noqa: F401  (the catalogue is read from here)
 from kairoframe.sources.tables import event_samples, order_samples, table
 from kairoframe.streaming import live
@@ -93,7 +93,7 @@ f AS (
 SELECT user_id, us, event_id FROM f WHERE keep
 """)
 def rate_limit(spark, folder):
-    return folds.ordered_fold(event_samples(spark, folder), KEYS, ORDER, [], lambda: None, folds.rate_limit(12 * HOUR), folds.nothing, "user_id long, us long, event_id long")
+    return scans.scanned(event_samples(spark, folder), KEYS, ORDER, [], scans.rate_limit(12 * HOUR), "user_id long, us long, event_id long")
 
 
 @query(f"""
@@ -151,7 +151,7 @@ SELECT user_id, us, event_id, holding FROM f
 """)
 def debounce(spark, folder):
     rows = event_samples(spark, folder).withColumn("band", spend_band())
-    return folds.ordered_fold(rows, KEYS, ORDER, ["band"], lambda: (None, None, None), folds.debounce(10 * HOUR), folds.nothing, "user_id long, us long, event_id long, holding string")
+    return scans.scanned(rows, KEYS, ORDER, ["band"], scans.debounce(10 * HOUR), "user_id long, us long, event_id long, holding string")
 
 
 @query(f"""
@@ -165,7 +165,7 @@ f AS (
 SELECT user_id, us, event_id, CAST(entered IS NOT NULL AS INT) AS inside FROM f
 """)
 def hysteresis(spark, folder):
-    return folds.ordered_fold(event_samples(spark, folder), KEYS, ORDER, ["cents"], lambda: None, folds.hysteresis(2000, 6000, 48 * HOUR), folds.nothing, "user_id long, us long, event_id long, inside int")
+    return scans.scanned(event_samples(spark, folder), KEYS, ORDER, ["cents"], scans.hysteresis(2000, 6000, 48 * HOUR), "user_id long, us long, event_id long, inside int")
 
 
 @query(f"""

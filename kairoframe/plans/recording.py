@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kairoframe.functions import columns as C
 from kairoframe.operators import derive as V
 from kairoframe.operators import detectors as D
-from kairoframe.operators import folds, matching, temporal
+from kairoframe.operators import folds, matching, scans, temporal
 from kairoframe.operators import mechanics as M
 from kairoframe.plans.registry import query
 from kairoframe.sources import clips, recordings, sinks
@@ -303,7 +303,7 @@ def rec_touch_state(spark, folder):
     """The touches that are accepted: the best claim of a frame, and of a player's only one in 0.25 s (three frames)."""
     fr = frames(spark, folder)
     best = M.touch_candidates(recordings.players(fr), fr, 180.0).where("claim = 1").withColumn("id", F.col("frame"))
-    kept = folds.ordered_fold(best, M.PLAYER, ["frame", "id"], [], lambda: None, folds.rate_limit(3), folds.nothing, "match_id long, player_id long, frame long, id long")
+    kept = scans.scanned(best, M.PLAYER, ["frame", "id"], [], scans.rate_limit(3), "match_id long, player_id long, frame long, id long")
     return kept.drop("id")
 
 
@@ -415,7 +415,7 @@ def rec_whiff(spark, folder):
     fr = frames(spark, folder)
     near = recordings.players(fr).join(fr.select("match_id", "frame", *M.BALL), ["match_id", "frame"])
     near = near.select("match_id", "player_id", "frame", F.col("frame").alias("id"), F.round(C.length(C.subtract(M.xyz(""), M.xyz("ball_"))) * 1000).cast("long").alias("d"))
-    inside = folds.ordered_fold(near, M.PLAYER, ["frame", "id"], ["d"], lambda: None, folds.hysteresis(220_000, 360_000, 10), folds.nothing, "match_id long, player_id long, frame long, id long, inside int")
+    inside = scans.scanned(near, M.PLAYER, ["frame", "id"], ["d"], scans.hysteresis(220_000, 360_000, 10), "match_id long, player_id long, frame long, id long, inside int")
     spells = temporal.spans(inside.withColumn("t", F.col("frame").cast("double") / 10), M.PLAYER, ["frame"], "t", F.col("inside")).where("state = 1").select("match_id", "player_id", "start", "end")
     return M.whiffs(spells, recordings.touches(fr))
 
@@ -428,7 +428,7 @@ k1 AS (SELECT match_id, start_frame, frame AS touch_frame, t AS touch_t, player_
 k2 AS (SELECT k1.match_id, start_frame, p.player_id AS who, p.team AS side, abs(p.x) AS ax, abs(p.y) AS ay, sqrt(p.x * p.x + p.y * p.y) AS far FROM k1 JOIN pl p ON p.match_id = k1.match_id AND p.frame = start_frame),
 k3 AS (SELECT match_id, start_frame, arg_min(who, (far, who)) FILTER (side = 0) AS taker0, arg_min(who, (far, who)) FILTER (side = 1) AS taker1 FROM k2 GROUP BY 1, 2),
 k4 AS (SELECT k1.*, r.frame AS resolved_frame, greatest(-5120, least(5120, ball_y + ball_vy * 0.5)) AS y FROM k1 JOIN fr r ON r.match_id = k1.match_id AND r.t - touch_t BETWEEN 1.25 AND 2.0 QUALIFY row_number() OVER (PARTITION BY k1.match_id, start_frame ORDER BY r.frame) = 1)
-SELECT k4.match_id, start_frame, touch_frame, toucher, team, resolved_frame, round(abs(y) / 5120, 6) AS strength, CASE WHEN abs(y) < 256 THEN 'neutral' WHEN abs(y) / 5120 >= 0.5 THEN 'strong' WHEN abs(y) / 5120 >= 0.25 THEN 'clear' ELSE 'narrow' END AS win,
+SELECT k4.match_id, start_frame, touch_frame, toucher, team, resolved_frame, abs(y) / 5120 AS strength, CASE WHEN abs(y) < 256 THEN 'neutral' WHEN abs(y) / 5120 >= 0.5 THEN 'strong' WHEN abs(y) / 5120 >= 0.25 THEN 'clear' ELSE 'narrow' END AS win,
   CASE WHEN abs(y) >= 256 THEN CAST(y < 0 AS INT) END AS winner, taker0, taker1, CASE WHEN ax <= 350 AND ay >= 4300 THEN 'center' WHEN ax <= 900 AND ay >= 3300 THEN 'off_center' WHEN ax >= 1500 AND ay <= 3300 THEN 'diagonal' ELSE 'other' END AS spawn
 FROM k4 JOIN k3 USING (match_id, start_frame) JOIN k2 ON k2.match_id = k4.match_id AND k2.start_frame = k4.start_frame AND k2.who = toucher""")
 def rec_kickoff(spark, folder):

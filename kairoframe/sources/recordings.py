@@ -1,8 +1,8 @@
 """Match recordings as tables: frames, players, touches, goals and the raw changes they come from.
 
 Any reader that yields these columns feeds the detectors. Here they are derived from the events table, so that every detector can be run on
-generated data of any size: four users play a match, an event is a frame, and positions are triangle waves of the frame's number. The
-derivation is plain expressions (``FRAME``, ``PLAYER``), which SQL reads as they are.
+generated data of any size: four users play a match, an event is a frame, and positions are triangle waves of the frame's number, with a dash at each other
+every forty frames. The derivation is plain expressions (``FRAME``, ``PLAYER``), which SQL reads as they are.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ FRAME = {
 PLAYER = {
     "team": "CAST(player_id % 2 AS INT)",
     "x": "ball_x - 800 + " + wave("frame * (7 + 2 * (player_id % 5)) + player_id * 211", 1600),
-    "y": "ball_y - 1200 + " + wave("frame * (11 + 2 * (player_id % 3)) + player_id * 307", 2400),
+    "y": "ball_y - 1200 + " + wave("frame * (11 + 2 * (player_id % 3)) + player_id * 307", 2400) + " + CASE WHEN frame % 40 < 4 THEN CAST(150 * (frame % 40) * (1 - 2 * (player_id % 2)) AS DOUBLE) ELSE 0 END",
     "z": "17 + greatest(0, " + wave("frame * 53 + player_id * 419", 1600) + " - 800)",
     "powerslide": "(frame + 3 * player_id) % 17 < 5",
     "dodging": "(frame + 7 * player_id) % 29 < 3",
