@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kairoframe.llm import chat_repair as C
 
@@ -110,3 +111,35 @@ def test_partitions_without_rows(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     assert C.repair(df.repartition(3)).where("conv_id = 2").collect() == []
     assert [x.action for x in C.repair(df.repartition(3)).orderBy("position").collect()] == ["keep", "insert"]
+
+
+@pytest.mark.parametrize("turns", [4095, 4096, 4097, 8192])
+def test_turns_at_the_edges_of_batches(spark, turns):
+    df = spark.range(turns).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role", "CAST(id AS STRING) AS text")
+    out = C.repair(df)
+    assert out.where("action = 'keep'").count() == turns and out.where("action = 'insert'").count() == turns % 2
+
+
+def test_many_conversations_in_one_partition(spark):
+    df = spark.range(4096).selectExpr("id AS conv_id", "0L AS turn", "'assistant' AS role", "'x' AS text")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert C.repair(df).groupBy("conv_id").agg(F.sum("cost").alias("cost")).where("cost = 3").count() == 4096  # a user turn is put before each
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_the_query_over_the_whole_table_against_plain_search(spark):
+    from kairoframe.llm.queries import op6_chat_repair
+
+    folder = "/root/testdata/sf0.001"
+    by_conv = {}
+    for r in spark.read.parquet(f"{folder}/conversations.parquet").distinct().orderBy("conv_id", "turn", "role", "text").collect():
+        by_conv.setdefault(r.conv_id, []).append(r.role)
+    got = {r.conv_id: r for r in op6_chat_repair(spark, folder).collect()}
+    assert set(got) == set(by_conv)
+    for conv, roles in by_conv.items():
+        r = got[conv]
+        assert (r.n_turns, r.cost) == (len(roles), least_cost(roles))
+        assert r.cost == C.MERGE * r.n_merged + C.RELABEL * r.n_relabelled + C.INSERT * r.n_inserted
+        assert r.n_out == r.n_turns - r.n_merged + r.n_inserted
