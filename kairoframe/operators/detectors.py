@@ -190,7 +190,7 @@ def passes(touches: DataFrame, previous_time: bool = False) -> DataFrame:
 def on_net(p: C.Vector, v: C.Vector, team: Column) -> Column:
     """Whether a straight line from p along v meets the goal mouth that the team attacks."""
     side = F.when(team == 0, GOAL_LINE).otherwise(-GOAL_LINE)
-    time = (side - p[1]) / v[1]
+    time = (side - p[1]) / F.nullif(v[1], F.lit(0.0))
     x, z = p[0] + v[0] * time, p[2] + v[2] * time
     return F.coalesce((v[1] != 0) & (time >= 0) & (F.abs(x) <= GOAL_HALF_WIDTH) & z.between(0, GOAL_HEIGHT), F.lit(False))
 

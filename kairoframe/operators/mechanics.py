@@ -74,7 +74,7 @@ def touch_kinds(touches: DataFrame, frames: DataFrame, players: DataFrame) -> Da
     residual = C.length((v[0] - F.col("wx"), v[1] - F.col("wy"), v[2] - F.col("wz") - F.col("dt") * GRAVITY))
     wall, _, _ = on_surface(*xyz("car_"))
     side = F.when(F.col("team") == 0, GOAL_LINE).otherwise(-GOAL_LINE)
-    time = (side - F.col("ball_y")) / v[1]
+    time = (side - F.col("ball_y")) / F.nullif(v[1], F.lit(0.0))
     x, z = F.col("ball_x") + v[0] * time, F.col("ball_z") + v[2] * time + time * time * (0.5 * GRAVITY)
     speed = C.length(v)
     shot = F.coalesce((v[1] != 0) & (time >= 0) & (speed >= SHOT_SPEED) & (F.abs(x) <= GOAL_HALF_WIDTH) & z.between(0, GOAL_HEIGHT), F.lit(False))
