@@ -74,19 +74,23 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance
 
 
 def nearest(df: DataFrame, vector: str, dimension: DataFrame, name: str, centre: str, most: int = 10_000) -> DataFrame:
-    """Each row with the nearest row of a small dimension (name, centre; at most ``most`` rows, checked) and their squared distance; ties go to
-    the smaller name. The dimension travels as one array of structs, so rows are neither multiplied nor shuffled."""
-    n = dimension.count()
-    if n > most:
-        raise ValueError(f"the dimension has {n} rows; most is {most}")
-    packed = dimension.agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), F.col(centre).alias("centre")))).alias("__all"))
+    """Each row with the nearest row of a dimension (name, centre) and their squared distance; ties go to the smaller name. The dimension travels as
+    arrays of structs of about ``most`` rows each, so rows are neither multiplied nor shuffled: one array after another is sent and looked through."""
+    parts = max(1, -(-dimension.count() // most))
 
     def distance(c: Column) -> Column:
         squares = F.zip_with(F.col(vector), c["centre"], lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
         return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
 
-    best = F.array_min(F.transform("__all", lambda c: F.struct(F.round(distance(c), 9).alias("d"), c["name"].alias("name"))))
-    return df.join(F.broadcast(packed)).withColumn("__best", best).drop("__all").withColumn(f"nearest_{name}", F.col("__best.name")).withColumn("distance2", F.col("__best.d")).drop("__best")
+    best = []
+    for i in range(parts):
+        some = dimension.where(F.pmod(F.xxhash64(name), F.lit(parts)) == i)
+        packed = some.agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), F.col(centre).alias("centre")))).alias("__all"))
+        found = F.array_min(F.transform("__all", lambda c: F.struct(F.round(distance(c), 9).alias("d"), c["name"].alias("name"))))
+        df = df.join(F.broadcast(packed)).withColumn(f"__best{i}", found).drop("__all")
+        best.append(F.col(f"__best{i}"))
+    chosen = F.least(*best) if parts > 1 else best[0]
+    return df.withColumn("__best", chosen).drop(*(f"__best{i}" for i in range(parts))).withColumn(f"nearest_{name}", F.col("__best.name")).withColumn("distance2", F.col("__best.d")).drop("__best")
 
 
 def crosstab(a: DataFrame, b: DataFrame, keys: list[str], row: str, column: str, weight: Column) -> DataFrame:

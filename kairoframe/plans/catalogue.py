@@ -379,16 +379,16 @@ def reconcile_outer(spark, folder):
     return found.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.coalesce("value_a", F.lit(0))).alias("total_a"), F.sum(F.coalesce("value_b", F.lit(0))).alias("total_b"))
 
 
-@query("""
-WITH v AS (SELECT vec_id, label, embedding[1:8] AS x FROM embeddings WHERE embedding IS NOT NULL),
-c AS (SELECT label, list_transform(range(1, 9), lambda i: round(avg_x[i], 6)) AS centre FROM (SELECT label, [avg(x[1]), avg(x[2]), avg(x[3]), avg(x[4]), avg(x[5]), avg(x[6]), avg(x[7]), avg(x[8])] AS avg_x FROM v GROUP BY 1)),
-d AS (SELECT vec_id, c.label, round(list_sum(list_transform(range(1, 9), lambda i: (CAST(x[i] AS DOUBLE) - centre[i]) * (CAST(x[i] AS DOUBLE) - centre[i]))), 9) AS d FROM v, c),
+@query(f"""
+WITH v AS (SELECT vec_id, label, embedding AS x FROM embeddings WHERE embedding IS NOT NULL),
+c AS (SELECT label, list_transform([{', '.join(f'avg(x[{i}])' for i in range(1, 65))}], lambda a: round(a, 6)) AS centre FROM v GROUP BY 1),
+d AS (SELECT vec_id, c.label, round(list_sum(list_transform(range(1, 65), lambda i: (CAST(x[i] AS DOUBLE) - centre[i]) * (CAST(x[i] AS DOUBLE) - centre[i]))), 9) AS d FROM v, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS z FROM d)
 SELECT vec_id, label AS nearest_label, round(d, 6) AS distance2 FROM r WHERE z = 1
 """)
 def nearest_dimension(spark, folder):
-    rows = table(spark, folder, "embeddings").where("embedding IS NOT NULL").select("vec_id", "label", F.slice("embedding", 1, 8).alias("x"))
-    centres = rows.groupBy("label").agg(F.array(*(F.round(F.avg(F.get("x", F.lit(i))), 6) for i in range(8))).alias("centre"))
+    rows = table(spark, folder, "embeddings").where("embedding IS NOT NULL").select("vec_id", "label", F.col("embedding").alias("x"))
+    centres = rows.groupBy("label").agg(F.array(*(F.round(F.avg(F.get("x", F.lit(i))), 6) for i in range(64))).alias("centre"))
     return matching.nearest(rows.drop("label"), "x", centres, "label", "centre").select("vec_id", "nearest_label", F.round("distance2", 6).alias("distance2"))
 
 

@@ -119,3 +119,13 @@ def test_changes_published_by_micro_batches_replay_to_the_last_table(spark, tmp_
     changes = spark.read.parquet(str(tmp_path / "changes"))
     assert sorted((r.seq, r.change, r.k, r.v) for r in changes.collect()) == [(0, "upsert", "a", 1), (0, "upsert", "b", 2), (1, "retract", "b", None), (1, "upsert", "c", 3), (2, "retract", "c", None), (2, "upsert", "a", 5)]
     assert [tuple(r) for r in live.replayed(changes, ["k"]).select("k", "v").collect()] == [("a", 5)]
+
+
+def test_nearest_row_of_a_dimension_that_travels_in_parts(spark):
+    from kairoframe.operators import matching
+
+    rows = spark.createDataFrame([(i, [float(i % 13), float(i % 7)]) for i in range(60)], "id long, x array<double>")
+    dimension = spark.createDataFrame([(n, [float(n % 5), float(n // 5)]) for n in range(25)], "name int, centre array<double>")
+    whole, parts = (sorted(tuple(r) for r in matching.nearest(rows, "x", dimension, "name", "centre", most=m).collect()) for m in (10_000, 4))
+    assert whole == parts
+    assert all(d == min((x[0] - n % 5) ** 2 + (x[1] - n // 5) ** 2 for n in range(25)) for _, x, _, d in whole)
