@@ -62,6 +62,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
         size += n
     if start < len(lengths):
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # a worker keeps nothing of the batch for later
 
 
 def _fold(x: np.ndarray, high: np.ndarray) -> None:

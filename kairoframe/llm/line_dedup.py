@@ -30,7 +30,7 @@ from kairoframe.llm.storage import bounded_batches, write_shared
 from kairoframe.llm.tables import number, unused
 
 LINES = "doc_id long, version long, hash long, n_lines int, at binary"
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def version(text: Column) -> Column:

@@ -36,7 +36,7 @@ SKETCH = 64
 SHORT = 64  # documents in a list that is expanded into pairs
 BLOCK = 256  # documents, or BLOCK_MB of their sets
 BLOCK_MB = 8
-SLICE = 2 << 20
+SLICE = 1 << 20
 SIGNATURES = "doc_id long, n int, one long, two long, sketch binary"
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from kairoframe.llm.bytetext import slices, text_bytes
 from kairoframe.llm.storage import bounded_batches, write_shared
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Kinds of bytes, as bits: an ASCII letter; a space or line break; surely no white space (not ASCII's own, nor a first byte of the wide ones); an ASCII
 #: character that is neither letter nor white space.
@@ -60,7 +60,7 @@ class Encoder:
     """Encodes texts part by part. Parts are told apart a slice at a time; those that the worker has met before are looked up, so that the tokenizer
     only sees new ones."""
 
-    def __init__(self, path: str, remembered: int = 200_000) -> None:
+    def __init__(self, path: str, remembered: int = 100_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
