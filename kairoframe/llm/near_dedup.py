@@ -14,7 +14,8 @@
 
 No list, block or partner is capped. Cases: documents without words (null text too) have an empty set and are linked with nothing; a text with
 fewer words than the shingle has one shingle, all its words; rows that share an id count as one document; a row without an id is returned with
-null component_id and kept, and links nothing. An empty table gives an empty result. Further columns are ignored.
+null component_id and kept, and links nothing; ids are whole numbers (for others the cast fails); texts may be of any length below 2 GB; the smallest id of a
+component is kept. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations

@@ -73,3 +73,14 @@ def test_run_gives_the_last_stage_and_takes_empty_tables(spark, folder, tmp_path
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_keep_further_columns_whose_names_clash(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "'a' AS keep", "1 AS version", "2 AS at", "0.5D AS score", "'x' AS lang_pred", "'k' AS __keep", "3L AS hash", "array('z') AS w", "4L AS rep", "true AS kept")
+    docs = write_shared(docs, "test-clash")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = write_shared(stage(spark, docs, folder), "test-clash")
+        assert docs.columns == columns, name
+    assert docs.where("keep = 'a' AND version = 1 AND score = 0.5 AND __keep = 'k' AND w[0] = 'z' AND kept").count() == docs.count() > 50
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id").distinct().count() > 50
