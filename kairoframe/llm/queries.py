@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoframe.llm import block_search, chat_repair, decontamination, language_crf, line_dedup, near_dedup, packing, suffix_index, toxicity, url_filter
+from kairoframe.llm import (
+    block_search,
+    chat_repair,
+    decontamination,
+    elkan,
+    language_crf,
+    line_dedup,
+    near_dedup,
+    packing,
+    simhash,
+    suffix_index,
+    toxicity,
+    url_filter,
+    whitening,
+)
 from kairoframe.llm.sampling import held_out
 from kairoframe.llm.tables import read
 
@@ -89,6 +103,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", scale=64.0, shift=1_000_000, most=16)
+
+
+def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.clusters(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", width=64, scale=64.0, k=16, rounds=3, seed="1")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, radius=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -100,4 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_crf": op8_language_crf,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
+    "op12_elkan": op12_elkan,
+    "op13_simhash": op13_simhash,
 }

@@ -122,10 +122,38 @@ SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, CAST(sum(n_found
 FROM per JOIN cnt USING (item_id) WHERE n_found >= least(4, n_windows) OR (n_open > 0 AND n_open_found >= least(4, n_open)) GROUP BY 1
 """
 
+
+
+def _elkan(k: int = 16, rounds: int = 3, width: int = 64) -> str:
+    """Plain rounds of assigning every vector and replacing every centroid."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS INTEGER) AS c, v FROM v WHERE vec_id IS NOT NULL QUALIFY c < {k})""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT v.rid, v.vec_id, v.v, c.c, CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{r} c
+  QUALIFY row_number() OVER (PARTITION BY v.rid ORDER BY d, c.c) = 1)"""
+        )
+        if r < rounds:
+            steps += [
+                f"""s{r} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i)""",
+                f"""m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY c)""",
+                f"""c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{r} o LEFT JOIN m{r} m USING (c))""",
+            ]
+    return f"""WITH {', '.join(steps)}
+SELECT vec_id, a.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} f ON f.c = a.c"""
+
+
+OP12_ELKAN = _elkan()
+
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_LINE_DEDUP,
     "op4_url_filter": OP4_URL_FILTER,
     "op5_block_search": OP5_BLOCK_SEARCH,
     "op9_near_dedup": OP9_NEAR_DEDUP,
     "op10_decontamination": OP10_DECONTAMINATION,
+    "op12_elkan": OP12_ELKAN,
 }
