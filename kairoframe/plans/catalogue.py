@@ -755,4 +755,4 @@ def clock_resets(spark, folder):
     return cut.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
-from kairoframe.plans import recording  # noqa: E402, F401  (adds its own queries)
+from kairoframe.plans import possession, recording  # noqa: E402, F401  (add their own queries)

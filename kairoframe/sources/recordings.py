@@ -82,6 +82,42 @@ def goals(frames: DataFrame) -> DataFrame:
     return rows.select("*", *(F.when(F.col("k") % 3 > 0, F.sum((F.col("team") == i).cast("int")).over(w)).alias(f"score{i}") for i in (0, 1)))
 
 
+#: Running play, with rarer touches, some by two at once: what possession is read from. Stoppages last until play is taken up again.
+PLAY = {
+    "ms": "frame * 100",
+    "dt_ms": "CAST(CASE WHEN frame = 1 THEN 0 ELSE 100 END AS BIGINT)",
+    "mark": "CASE WHEN event_type = 'error' AND k % 25 = 0 THEN 0 WHEN event_type = 'signup' AND k % 4 = 0 THEN 1 END",
+    "third": "CASE WHEN ball_y < -2300 THEN 'team0_third' WHEN ball_y < 2300 THEN 'middle' ELSE 'team1_third' END",
+    "hit": "event_type IN ('click', 'view') AND k % 4 = 0",
+    "other": "match_id * 4 + (user_id + 1) % 4",
+}
+TOUCHERS = {f"toucher{i}": f"CASE WHEN hit AND user_id % 2 = {i} THEN user_id WHEN hit AND k % 20 = 0 THEN other END" for i in (0, 1)}
+_BELOW = "(frame + 5 * player_id) % 41 < 9"
+STRAYED = {
+    "x": f"CASE WHEN {_BELOW} THEN bx - 40 ELSE x END",
+    "y": f"CASE WHEN {_BELOW} THEN b2 + 30 WHEN (frame + 17 * player_id) % 67 < 14 THEN y + 2600 ELSE y END",
+    "z": f"CASE WHEN {_BELOW} THEN greatest(CAST(17 AS DOUBLE), bz - 120) ELSE z END",
+}
+
+
+def play(frames: DataFrame) -> DataFrame:
+    """Every frame with ms, dt_ms, third, toucher0, toucher1, prev_ball_y, in_play, stretch (a number of each stretch of play and of each stoppage), and in the last frame of a
+    stretch end_ms and end_frame, of the frame after it (-1: none)."""
+    w = temporal.ordered(MATCH, ["frame"])
+    rows = frames.select("match_id", "frame", "event_id", "user_id", "event_type", "k", "ball_x", "ball_y", "ball_z", *(F.expr(e).alias(c) for c, e in PLAY.items()))
+    rows = rows.select("*", *(F.expr(e).alias(c) for c, e in TOUCHERS.items()), F.lag("ball_y").over(w).alias("prev_ball_y"), (F.coalesce(F.last("mark", ignorenulls=True).over(temporal.running(MATCH, ["frame"])), F.lit(1)) == 1).alias("in_play"))
+    rows = temporal.islands(rows, MATCH, ["frame"], F.col("in_play"), "stretch").drop("state", "mark", "other", "hit")
+    after = F.lead("stretch").over(w)
+    ends = after.isNull() | (after != F.col("stretch"))
+    return rows.withColumns({f"end_{c}": F.when(ends, F.coalesce(F.lead(c).over(w), F.lit(-1))) for c in ("ms", "frame")})
+
+
+def strayed(players: DataFrame, frames: DataFrame) -> DataFrame:
+    """players, each of whom is now and then far from the ball, and now and then right below it."""
+    ball = frames.select("match_id", "frame", *(F.col(f"ball_{c}").alias(n) for c, n in zip("xyz", ("bx", "b2", "bz"))))
+    return players.join(ball, ["match_id", "frame"]).withColumns({c: F.expr(e) for c, e in STRAYED.items()}).drop("bx", "b2", "bz")
+
+
 #: The same tables as common table expressions.
 SQL_FRAMES = f"""ev AS (
   SELECT event_id, user_id, user_id // 4 AS match_id, row_number() OVER (PARTITION BY user_id // 4 ORDER BY epoch_us(ts), event_id) AS frame, event_type,
@@ -95,3 +131,9 @@ pl AS (SELECT *, {', '.join(f'coalesce(({c} - lag({c}) OVER pw) * 10, 0) AS v{c}
 SQL_TOUCHES = "tc AS (SELECT match_id, frame, t, event_id AS touch_id, user_id AS player_id, CAST(user_id % 2 AS INT) AS team, ball_x AS x, ball_y AS y, ball_z AS z, k FROM fr WHERE event_type IN ('click', 'view'))"
 SQL_GOALS = """go0 AS (SELECT match_id, frame, t, user_id AS player_id, CAST(user_id % 2 AS INT) AS team, k FROM fr WHERE goal),
 go AS (SELECT *, CASE WHEN k % 3 > 0 THEN sum((team = 0)::INT) OVER gw END AS score0, CASE WHEN k % 3 > 0 THEN sum((team = 1)::INT) OVER gw END AS score1 FROM go0 WINDOW gw AS (PARTITION BY match_id ORDER BY frame))"""
+SQL_PLAY = f"""py0 AS (SELECT match_id, frame, event_id, user_id, event_type, k, ball_x, ball_y, ball_z, {', '.join(f'{e} AS {c}' for c, e in PLAY.items())} FROM fr),
+py1 AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in TOUCHERS.items())}, lag(ball_y) OVER pyw AS prev_ball_y, coalesce(last_value(mark IGNORE NULLS) OVER pyw, 1) = 1 AS in_play FROM py0 WINDOW pyw AS (PARTITION BY match_id ORDER BY frame)),
+py2 AS (SELECT *, lag(in_play) OVER (PARTITION BY match_id ORDER BY frame) AS was FROM py1),
+py3 AS (SELECT *, CAST(sum(CASE WHEN was IS NULL OR in_play <> was THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY frame) AS BIGINT) AS stretch FROM py2),
+py4 AS (SELECT *, lead(stretch) OVER pyw AS after, lead(ms) OVER pyw AS next_ms, lead(frame) OVER pyw AS next_frame, row_number() OVER (PARTITION BY match_id, stretch ORDER BY frame) AS rn FROM py3 WINDOW pyw AS (PARTITION BY match_id ORDER BY frame)),
+py AS (SELECT *, CASE WHEN after IS DISTINCT FROM stretch THEN coalesce(next_ms, -1) END AS end_ms, CASE WHEN after IS DISTINCT FROM stretch THEN coalesce(next_frame, -1) END AS end_frame FROM py4)"""
