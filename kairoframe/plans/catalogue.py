@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kairoframe.functions import columns as C
 from kairoframe.operators import features, folds, labels, matching, scans, temporal, timeline
 from kairoframe.plans.registry import ORACLES, QUERIES, query  # noqa: F401  (the catalogue is read from here)
+from kairoframe.sources.shared import shared_path
 from kairoframe.sources.tables import event_samples, order_samples, table
 from kairoframe.streaming import live
 
@@ -688,19 +689,6 @@ def pass_pairs(spark, folder):
     return rows.where("prev_role IS NOT NULL AND role <> prev_role").groupBy(F.col("prev_role").alias("from_role"), F.col("role").alias("to_role")).agg(F.count("*").alias("n"))
 
 
-def _shared(spark, name: str) -> str:
-    """A new folder for a stream's progress and rows, in the folder that the cluster shares; only a local session without one gets a temporary one."""
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='kairoframe-')}"
-    return f"{root.rstrip('/')}/kairoframe-live/{name}-{uuid.uuid4().hex}"
-
-
 def _in_parts(spark, folder: str, path: str, parts: int) -> DataFrame:
     """events as a stream of files in order of time, one a micro-batch: the table is written in that many parts first."""
     rows = table(spark, folder, "events").select("event_id", "user_id", "event_type", F.expr("CAST(ts AS timestamp)").alias("ts"))
@@ -715,7 +703,7 @@ def _in_parts(spark, folder: str, path: str, parts: int) -> DataFrame:
 def live_replay_equivalence(spark, folder):
     """rate_limit as a stream: events in four files, one a micro-batch, folded in keyed state behind a watermark of a day; with what the drained stream
     still held, the result is that of the batch."""
-    path = _shared(spark, "rate-limit")
+    path = shared_path(spark, "rate-limit")
     events = _in_parts(spark, folder, path, 4).withColumn("us", F.unix_micros("ts"))
     step, schema = folds.rate_limit(12 * HOUR), "user_id long, us long, event_id long"
     rows = live.folded_stream(events, KEYS, ORDER, [], "ts", "1 day", lambda: None, step, folds.nothing, schema)
@@ -730,7 +718,7 @@ SELECT event_type, user_id, n, CAST(row_number() OVER (PARTITION BY event_type O
 def live_changelog(spark, folder):
     """The three busiest users of each event type, projected anew with every micro-batch and published as upserts and retractions; the log, replayed,
     gives the final table."""
-    path = _shared(spark, "changelog")
+    path = shared_path(spark, "changelog")
     counts = _in_parts(spark, folder, path, 4).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
     def project(batch: DataFrame, number: int) -> None:

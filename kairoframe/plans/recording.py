@@ -39,8 +39,12 @@ def goals(spark, folder):
 
 
 def demos(spark, folder):
+    return demolished(frames(spark, folder))
+
+
+def demolished(frames):
     """Demolitions: a user's error with an odd k brings down the next user of the match."""
-    return frames(spark, folder).where("event_type = 'error' AND k % 2 = 1").select(
+    return frames.where("event_type = 'error' AND k % 2 = 1").select(
         "match_id", "frame", "t", F.col("user_id").alias("attacker"), F.expr("match_id * 4 + (user_id + 1) % 4").alias("victim")
     )
 
@@ -97,6 +101,32 @@ ff5 AS (SELECT *, (ball_x - (x0 + x1) / 2) * nx + (ball_y - (y0 + y1) / 2) * nn
 ff AS (SELECT match_id, frame, t, p0, p1, resolved_frame, CASE WHEN abs(s) >= 180 THEN CASE WHEN s > 0 THEN 0 ELSE 1 END WHEN abs(v) >= 220 THEN CASE WHEN v > 0 THEN 0 ELSE 1 END END AS winner FROM ff5)"""
 SQL_STARTS = f"ks AS (SELECT match_id, frame, t FROM (SELECT *, lag(kickoff, 1, false) OVER ({MW}) AS was FROM fr) WHERE kickoff AND NOT was)"
 
+
+
+def bounces(rec):
+    return D.backboard_bounces(rec.frames, rec.touches)
+
+
+def dodges(rec):
+    return M.dodges(rec.players)
+
+
+def _by(events, player):
+    return events.select("match_id", "frame", F.col(player).alias("player_id"))
+
+
+#: Detectors that consume a recording (recordings.Recording): match_id, frame, player_id of each event.
+STREAMS = {
+    "touch": lambda rec: _by(rec.touches, "player_id"),
+    "pass": lambda rec: _by(D.passes(rec.touches), "receiver"),
+    "one_timer": lambda rec: _by(D.one_timers(rec.touches, rec.frames), "receiver"),
+    "double_tap": lambda rec: _by(M.double_taps(bounces(rec), rec.touches, rec.frames), "player_id"),
+    "dodge": lambda rec: _by(rec.stream("dodges", dodges), "player_id"),
+    "half_volley": lambda rec: _by(M.half_volleys(rec.touches, rec.frames, rec.stream("dodges", dodges)), "player_id"),
+    "demolition": lambda rec: _by(demolished(rec.frames), "attacker"),
+    "backboard": lambda rec: _by(bounces(rec), "player_id"),
+}
+
 # --- phases and spans
 
 
@@ -319,10 +349,9 @@ def rec_touch_join(spark, folder):
 @query(f"""{PT}, {SQL_PASSES}, {SQL_BOUNCES}, {SQL_FIFTY}
 SELECT match_id, frame, passer, receiver, CASE WHEN EXISTS (SELECT 1 FROM bo WHERE bo.match_id = pa.match_id AND bo.t > pa.prev_t AND bo.t < pa.t) THEN 'wall' WHEN EXISTS (SELECT 1 FROM ff WHERE ff.match_id = pa.match_id AND ff.t > pa.prev_t AND ff.t < pa.t) THEN 'contested' ELSE 'direct' END AS kind FROM pa""")
 def rec_pass_kind(spark, folder):
-    fr = frames(spark, folder)
-    tc = recordings.touches(fr)
-    found = D.passes(tc, previous_time=True)
-    return M.pass_kinds(found, D.backboard_bounces(fr, tc), M.fifty_fifties(tc, fr, recordings.players(fr))).select("match_id", "frame", "passer", "receiver", "kind")
+    rec = recordings.Recording.of(spark, folder)
+    found = D.passes(rec.touches, previous_time=True)
+    return M.pass_kinds(found, bounces(rec), M.fifty_fifties(rec.touches, rec.frames, rec.players)).select("match_id", "frame", "passer", "receiver", "kind")
 
 
 # --- contests, contacts, mechanics
@@ -356,9 +385,8 @@ b4 AS (SELECT *, lag(frame) OVER (PARTITION BY match_id, a, b ORDER BY frame) AS
 SELECT match_id, frame, t, CASE WHEN sa >= sb THEN a ELSE b END AS player_id, CASE WHEN sa >= sb THEN b ELSE a END AS victim, round(greatest(sa, sb), 6) AS score FROM b4
 WHERE (pf IS NULL OR frame - pf > 10) AND NOT EXISTS (SELECT 1 FROM ff WHERE ff.match_id = b4.match_id AND ff.p0 = b4.a AND ff.p1 = b4.b AND b4.t - (ff.t - 0.35) BETWEEN 0 AND 0.7)""")
 def rec_bump(spark, folder):
-    fr = frames(spark, folder)
-    pl = recordings.players(fr)
-    return M.bumps(pl, M.fifty_fifties(recordings.touches(fr), fr, pl)).withColumn("score", F.round("score", 6))
+    rec = recordings.Recording.of(spark, folder)
+    return M.bumps(rec.players, M.fifty_fifties(rec.touches, rec.frames, rec.players)).withColumn("score", F.round("score", 6))
 
 
 @query(f"""{PT}, r0 AS (SELECT *, {ny()} AS bny, lag(team) OVER ({TW}) AS before FROM tc), r1 AS (SELECT *, min(CASE WHEN before <> team THEN t END) OVER ({TW} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lost FROM r0),
@@ -432,8 +460,8 @@ SELECT k4.match_id, start_frame, touch_frame, toucher, team, resolved_frame, abs
   CASE WHEN abs(y) >= 256 THEN CAST(y < 0 AS INT) END AS winner, taker0, taker1, CASE WHEN ax <= 350 AND ay >= 4300 THEN 'center' WHEN ax <= 900 AND ay >= 3300 THEN 'off_center' WHEN ax >= 1500 AND ay <= 3300 THEN 'diagonal' ELSE 'other' END AS spawn
 FROM k4 JOIN k3 USING (match_id, start_frame) JOIN k2 ON k2.match_id = k4.match_id AND k2.start_frame = k4.start_frame AND k2.who = toucher""")
 def rec_kickoff(spark, folder):
-    fr = frames(spark, folder)
-    return M.kickoffs(M.kickoff_starts(fr), recordings.touches(fr), fr, recordings.players(fr))
+    rec = recordings.Recording.of(spark, folder)
+    return M.kickoffs(M.kickoff_starts(rec.frames), rec.touches, rec.frames, rec.players)
 
 
 SQL_CONTEXT = f"""gc0 AS (SELECT g.match_id, g.frame, g.t, g.team, b.t AS touch_t, b.frame AS touch_frame, b.player_id AS scorer, b.touch_id, b.z AS touch_z, CASE WHEN g.team = 0 THEN b.y ELSE -b.y END AS touch_ny FROM go g ASOF LEFT JOIN tc b ON g.match_id = b.match_id AND g.team = b.team AND g.frame > b.frame),
@@ -445,20 +473,19 @@ gc AS (SELECT gc0.*, last_defender_ny, margin, guard_distance, off_half, def_hal
 PTG = f"{PT}, {SQL_GOALS}"
 
 
-def contexts(spark, folder):
-    fr = frames(spark, folder)
-    return M.goal_contexts(recordings.goals(fr).select("match_id", "frame", "t", "team"), recordings.touches(fr), recordings.players(fr), fr)
+def contexts(rec):
+    return M.goal_contexts(rec.goals.select("match_id", "frame", "t", "team"), rec.touches, rec.players, rec.frames)
 
 
 @query(f"{PTG}, {SQL_CONTEXT} SELECT match_id, frame, team, touch_t, scorer, touch_z, touch_ny, last_defender_ny, margin, round(guard_distance, 6) AS guard_distance FROM gc")
 def rec_goal_context(spark, folder):
-    rows = contexts(spark, folder).select("match_id", "frame", "team", "touch_t", "scorer", "touch_z", "touch_ny", "last_defender_ny", "margin", "guard_distance")
+    rows = contexts(recordings.Recording.of(spark, folder)).select("match_id", "frame", "team", "touch_t", "scorer", "touch_z", "touch_ny", "last_defender_ny", "margin", "guard_distance")
     return rows.withColumn("guard_distance", F.round("guard_distance", 6))
 
 
 @query(f"{PTG}, {SQL_CONTEXT} SELECT match_id, frame, off_half, def_half, off_third, def_third, build_up FROM gc")
 def rec_goal_build_up(spark, folder):
-    return contexts(spark, folder).select("match_id", "frame", "off_half", "def_half", "off_third", "def_third", "build_up")
+    return contexts(recordings.Recording.of(spark, folder)).select("match_id", "frame", "off_half", "def_half", "off_third", "def_third", "build_up")
 
 
 def _tag_sql(name: str, rel: str, who: str, within: float, time: str = "t") -> str:
@@ -478,20 +505,19 @@ UNION ALL {_tag_sql('one_timer', 'ot', 'receiver', 3.0)} UNION ALL {_tag_sql('pa
 UNION ALL {_tag_sql('half_volley', 'hv', 'player_id', 3.0)} UNION ALL {_tag_sql('demo', 'de', 'attacker', 5.25)} UNION ALL {_tag_sql('flip_into_ball', 'dg', 'player_id', 3.0)}
 UNION ALL SELECT gc.match_id, gc.frame, 'kickoff' FROM gc ASOF JOIN ks ON gc.match_id = ks.match_id AND gc.frame > ks.frame WHERE gc.t - ks.t < 12""")
 def rec_goal_tags(spark, folder):
-    """Thirteen of the tags of a goal: by its context, its build-up, its possession, its scorer's mechanics and the last kickoff."""
-    fr = frames(spark, folder)
-    tc, pl, goal = recordings.touches(fr), recordings.players(fr), contexts(spark, folder)
-    begun = M.dodges(pl)
+    """The tags of a goal: by its context, its build-up, its possession, its scorer's mechanics and the last kickoff."""
+    rec = recordings.Recording.of(spark, folder)
+    goal = rec.stream("contexts", contexts)
     as_player = lambda df, c: df.select("match_id", F.col(c).alias("player_id"), "t")
     mechanics = {
-        "one_timer": (as_player(D.one_timers(tc, fr), "receiver"), 3.0),
-        "passing": (as_player(D.passes(tc), "receiver"), 3.0),
-        "double_tap": (M.double_taps(D.backboard_bounces(fr, tc), tc, fr), 3.0),
-        "half_volley": (M.half_volleys(tc, fr, begun), 3.0),
-        "demo": (as_player(demos(spark, folder), "attacker"), 5.25),
-        "flip_into_ball": (begun, 3.0),
+        "one_timer": (as_player(D.one_timers(rec.touches, rec.frames), "receiver"), 3.0),
+        "passing": (as_player(D.passes(rec.touches), "receiver"), 3.0),
+        "double_tap": (M.double_taps(bounces(rec), rec.touches, rec.frames), 3.0),
+        "half_volley": (M.half_volleys(rec.touches, rec.frames, rec.stream("dodges", dodges)), 3.0),
+        "demo": (as_player(demolished(rec.frames), "attacker"), 5.25),
+        "flip_into_ball": (rec.stream("dodges", dodges), 3.0),
     }
-    parts = [M.context_tags(goal), M.high_aerial_goals(goal, tc), M.mechanic_tags(goal, mechanics), M.kickoff_goals(goal, M.kickoff_starts(fr))]
+    parts = [M.context_tags(goal), M.high_aerial_goals(goal, rec.touches), M.mechanic_tags(goal, mechanics), M.kickoff_goals(goal, M.kickoff_starts(rec.frames))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
@@ -660,16 +686,9 @@ u AS (SELECT match_id, frame, player_id, 'touch' AS s FROM tc UNION ALL SELECT m
   UNION ALL SELECT match_id, frame, player_id, 'dodge' FROM dg UNION ALL SELECT match_id, frame, player_id, 'half_volley' FROM hv UNION ALL SELECT match_id, frame, attacker, 'demolition' FROM de UNION ALL SELECT match_id, frame, player_id, 'backboard' FROM bo)
 SELECT match_id, frame, player_id, {', '.join(f"CAST(coalesce(bool_or(s = '{s}'), false) AS INT) AS {s}" for s in ('touch', 'pass', 'one_timer', 'double_tap', 'dodge', 'half_volley', 'demolition', 'backboard'))} FROM pl LEFT JOIN u USING (match_id, frame, player_id) GROUP BY 1, 2, 3""")
 def rec_indicators(spark, folder):
-    """0/1 columns of eight event streams for every frame and player."""
-    fr = frames(spark, folder)
-    tc, pl = recordings.touches(fr), recordings.players(fr)
-    begun, bounced = M.dodges(pl), D.backboard_bounces(fr, tc)
-    as_player = lambda df, c: df.select("match_id", "frame", F.col(c).alias("player_id"))
-    streams = {
-        "touch": tc, "pass": as_player(D.passes(tc), "receiver"), "one_timer": as_player(D.one_timers(tc, fr), "receiver"), "double_tap": M.double_taps(bounced, tc, fr),
-        "dodge": begun, "half_volley": M.half_volleys(tc, fr, begun), "demolition": as_player(demos(spark, folder), "attacker"), "backboard": bounced,
-    }
-    return V.indicators(pl.select("match_id", "frame", "player_id"), streams)
+    """0/1 columns of eight event streams for every frame and player, all from one pass."""
+    rec = recordings.Recording.of(spark, folder)
+    return V.indicators(rec.players.select("match_id", "frame", "player_id"), {n: make(rec) for n, make in STREAMS.items()})
 
 
 @query(f"{FR} SELECT match_id, frame, t, ball_x FROM fr WHERE frame % 10 = 0")

@@ -7,10 +7,13 @@ every forty frames. The derivation is plain expressions (``FRAME``, ``PLAYER``),
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairoframe.operators import temporal
+from kairoframe.sources.shared import SharedTables
 from kairoframe.sources.tables import micros, table
 
 MATCH, PLAYER_KEYS = ["match_id"], ["match_id", "player_id"]
@@ -82,6 +85,35 @@ def goals(frames: DataFrame) -> DataFrame:
     return rows.select("*", *(F.when(F.col("k") % 3 > 0, F.sum((F.col("team") == i).cast("int")).over(w)).alias(f"score{i}") for i in (0, 1)))
 
 
+class Recording:
+    """All matches, read in one pass: frames and players are derived and written once, by match, and every consumer reads them from there. Event streams that several consumers
+    need (``stream``) are made by the first of them and kept alike."""
+
+    def __init__(self, frames: DataFrame, buckets: int | None = None) -> None:
+        self.tables = SharedTables(frames.sparkSession, "match_id", ["frame", "player_id"], buckets)
+        self.frames = self.tables.keep("frames", frames)
+        self.players = self.tables.keep("players", players(self.frames))
+        self.touches, self.goals = touches(self.frames), goals(self.frames)
+        self.streams: dict[str, DataFrame] = {}
+
+    @staticmethod
+    def of(spark: SparkSession, folder: str, buckets: int | None = None) -> Recording:
+        return Recording(frames(spark, folder), buckets)
+
+    def stream(self, name: str, make: Callable[[Recording], DataFrame]) -> DataFrame:
+        if name not in self.streams:
+            self.streams[name] = self.tables.keep(name, make(self))
+        return self.streams[name]
+
+    def consumed(self, detectors: dict[str, Callable[[Recording], DataFrame]]) -> dict[str, DataFrame]:
+        """What each detector finds, all from this one pass."""
+        return {name: self.stream(name, make) for name, make in detectors.items()}
+
+    def close(self) -> None:
+        self.streams = {}
+        self.tables.close()
+
+
 #: Running play, with rarer touches, some by two at once: what possession is read from. Stoppages last until play is taken up again.
 PLAY = {
     "ms": "frame * 100",
