@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kairoframe.operators import possession as P
+from kairoframe.operators import resets as R
 from kairoframe.plans.registry import query
 from kairoframe.sources import recordings
-from kairoframe.sources.recordings import SQL_FRAMES, SQL_PLAY, SQL_PLAYERS, STRAYED
+from kairoframe.sources.recordings import SQL_FRAMES, SQL_PLAY, SQL_PLAYERS, SQL_RESET, STRAYED
 
 PY = f"WITH RECURSIVE {SQL_FRAMES}, {SQL_PLAY}, n AS (SELECT * FROM py WHERE in_play)"
 
@@ -162,3 +163,96 @@ def rec_player_possession(spark, folder):
     held = rows.join(P.holders(rows), [*P.KEYS, "frame"])
     found = P.player_possessions(P.within_reach(held, recordings.strayed(recordings.players(frames), frames)))
     return found.drop("possession").withColumns({c: F.round(c, 3) for c in ("advance_distance", "retreat_distance")})
+
+
+# --- dodge resets
+
+
+#: The ball's height in the car's own frame: the car is turned by a unit quaternion about (0.6, 0, 0.8).
+QX, QZ, QW = "0.6 * up", "0.8 * up", "sqrt(1 - up * up)"
+AWAY = ("(bx - x)", "(b2 - y)", "(bz - z)")
+_U = (f"-({QX})", "0.0", f"-({QZ})")
+_TX, _TY, _TZ = (f"2 * ({_U[1]} * {AWAY[2]} - {_U[2]} * {AWAY[1]})", f"2 * ({_U[2]} * {AWAY[0]} - {_U[0]} * {AWAY[2]})", f"2 * ({_U[0]} * {AWAY[1]} - {_U[1]} * {AWAY[0]})")
+LOCAL_Z = f"{AWAY[2]} + {QW} * ({_TZ}) + {_U[0]} * ({_TY}) - {_U[1]} * ({_TX})"
+_NEAR = f"sqrt({' + '.join(f'{a} * {a}' for a in AWAY)})"
+# Frame by frame. p: a pending reset's ms and frame; onset: its dodge's; l: its latest touch; d: last frame of a dodge; e: what ended in this frame.
+_T_OK = "(NOT (({onset}) - p_ms < 50 AND ({touch}) - p_ms < 50) OR ({contact}))"
+_CARRIED = "coalesce(ms - onset BETWEEN 0 AND 350 OR (d_ms >= onset AND ms - d_ms <= 250), false)"
+_DONE = "{{'reset': p_fr, 'outcome': {what}, 'ms': {ms}, 'frame': {frame}, 'use': {use}}}"
+
+
+def _drop(when: str, done: str) -> str:
+    """One step of a frame: if ``when``, the pending reset ends as ``done``."""
+    return f"""CASE WHEN {when} THEN list_append(em, {done}) ELSE em END AS em, CASE WHEN {when} THEN NULL ELSE p_ms END AS p_ms, CASE WHEN {when} THEN NULL ELSE p_fr END AS p_fr,
+  CASE WHEN {when} THEN NULL ELSE onset END AS onset, CASE WHEN {when} THEN NULL ELSE l_ms END AS l_ms, CASE WHEN {when} THEN NULL ELSE l_fr END AS l_fr, CASE WHEN {when} THEN NULL ELSE l_c END AS l_c"""
+
+
+def _done(what: str, ms: str, frame: str, use: str) -> str:
+    return _DONE.format(what=f"CAST({what} AS VARCHAR)", ms=f"CAST({ms} AS BIGINT)", frame=f"CAST({frame} AS BIGINT)", use=f"CAST({use} AS BIGINT)")
+
+
+def _confirmed(onset: str, ms: str, frame: str) -> str:
+    return _done(f"CASE WHEN {onset} - p_ms > 2000 THEN 'expired' ELSE 'used' END", ms, frame, f"CASE WHEN {onset} - p_ms <= 2000 THEN {ms} - p_ms END")
+
+
+_ROW = "match_id, player_id, rn, frame, ms, dodging, edge, touched, contact, armed, goal, stopped, z, n_last, d_ms, d_was"
+_EDGE_WHEN = f"edge AND p_ms IS NOT NULL AND l_ms IS NOT NULL AND ms - l_ms <= 250 AND {_T_OK.format(onset='ms', touch='l_ms', contact='l_c')}"
+_SAME_WHEN = f"armed AND p_ms IS NOT NULL AND touched AND (contact OR dodging OR {_CARRIED}) AND {_T_OK.format(onset='coalesce(onset, ms)', touch='ms', contact='contact')}"
+_TOUCH_WHEN = f"touched AND NOT eaten AND p_ms IS NOT NULL AND onset IS NOT NULL AND (contact OR {_CARRIED}) AND {_T_OK.format(onset='onset', touch='ms', contact='contact')}"
+_ONCE_WHEN = "touched AND NOT eaten AND p_ms IS NOT NULL AND contact AND dodging AND p_fr = frame"
+SQL_RESETS = f"""on_ AS (SELECT *, z >= 95 AND bz >= 80 AND {_NEAR} <= 180 AND {LOCAL_Z} <= 140 AS on_ball, row_number() OVER (PARTITION BY match_id, player_id ORDER BY frame) AS rn, dodging AND NOT lag(dodging, 1, false) OVER (PARTITION BY match_id, player_id ORDER BY frame) AS edge,
+  NOT in_play AND lag(in_play, 1, true) OVER (PARTITION BY match_id, player_id ORDER BY frame) AS stopped, max(frame) OVER (PARTITION BY match_id) AS n_last FROM dz),
+on1 AS (SELECT *, touched AND (touch_contact OR dodging) AS contact, refreshed AND on_ball AS armed FROM on_),
+rz AS (
+  SELECT match_id, player_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS d_ms, CAST(NULL AS BIGINT) AS p_ms, CAST(NULL AS BIGINT) AS p_fr, CAST(NULL AS BIGINT) AS onset, CAST(NULL AS BIGINT) AS l_ms, CAST(NULL AS BIGINT) AS l_fr, CAST(NULL AS BOOLEAN) AS l_c,
+    list_filter([{_done("''", '0', '0', '0').replace('p_fr', 'CAST(0 AS BIGINT)')}], lambda x: false) AS em FROM on1 WHERE rn = 1
+  UNION ALL
+  SELECT match_id, player_id, rn, d_ms, p_ms, p_fr, onset, l_ms, l_fr, l_c, CASE WHEN p_ms IS NOT NULL AND frame = n_last THEN list_append(em, {_done("'recording_ended'", 'ms', 'frame', 'NULL')}) ELSE em END FROM (
+  SELECT {_ROW}, {_drop('z <= 80 AND p_ms IS NOT NULL', _done("'landed'", 'ms', 'frame', 'NULL'))} FROM (
+  SELECT {_ROW}, {_drop(_ONCE_WHEN, _confirmed('ms', 'ms', 'frame'))} FROM (
+  SELECT {_ROW}, eaten, {_drop(_TOUCH_WHEN, _confirmed('onset', 'ms', 'frame'))} FROM (
+  SELECT {_ROW}, eaten, em, p_ms, p_fr, onset, CASE WHEN touched AND NOT eaten AND p_ms IS NOT NULL THEN ms ELSE l_ms END AS l_ms, CASE WHEN touched AND NOT eaten AND p_ms IS NOT NULL THEN frame ELSE l_fr END AS l_fr, CASE WHEN touched AND NOT eaten AND p_ms IS NOT NULL THEN contact ELSE l_c END AS l_c FROM (
+  SELECT {_ROW}, eaten, CASE WHEN armed AND p_ms IS NOT NULL THEN list_append(em, {_done("'superseded'", 'ms', 'frame', 'NULL')}) ELSE em END AS em, CASE WHEN armed THEN ms ELSE p_ms END AS p_ms, CASE WHEN armed THEN frame ELSE p_fr END AS p_fr,
+    CASE WHEN armed THEN NULL ELSE onset END AS onset, CASE WHEN armed THEN NULL ELSE l_ms END AS l_ms, CASE WHEN armed THEN NULL ELSE l_fr END AS l_fr, CASE WHEN armed THEN NULL ELSE l_c END AS l_c FROM (
+  SELECT {_ROW}, coalesce({_SAME_WHEN}, false) AS eaten, {_drop(f'coalesce({_SAME_WHEN}, false)', _confirmed('coalesce(onset, ms)', 'ms', 'frame'))} FROM (
+  SELECT {_ROW}, {_drop(_EDGE_WHEN, _confirmed('ms', 'l_ms', 'l_fr'))} FROM (
+  SELECT {_ROW}, em, p_ms, p_fr, CASE WHEN edge AND p_ms IS NOT NULL THEN ms ELSE onset END AS onset, l_ms, l_fr, l_c FROM (
+  SELECT {_ROW}, {_drop('stopped AND p_ms IS NOT NULL', _done("'play_ended'", 'ms', 'frame', 'NULL'))} FROM (
+  SELECT {_ROW}, {_drop('goal AND p_ms IS NOT NULL', _done("'goal_scored'", 'ms', 'frame', 'NULL'))} FROM (
+  SELECT n.match_id, n.player_id, n.rn, n.frame, n.ms, n.dodging, n.edge, n.touched, n.contact, n.armed, n.goal, n.stopped, n.z, n.n_last, CASE WHEN n.dodging THEN n.ms ELSE r.d_ms END AS d_ms, r.d_ms AS d_was, r.p_ms, r.p_fr, r.onset, r.l_ms, r.l_fr, r.l_c,
+    list_filter(r.em, lambda x: false) AS em FROM rz r JOIN on1 n ON n.match_id = r.match_id AND n.player_id = r.player_id AND n.rn = r.rn + 1)))))))))))),
+oc AS (SELECT match_id, player_id, unnest(em) AS e FROM rz),
+rs AS (SELECT o.match_id, o.player_id, o.team, o.frame, o.ms, o.on_ball, e.outcome, e.frame AS outcome_frame, e.ms AS outcome_ms, e.use AS time_to_use, coalesce(e.outcome = 'used', false) AS used
+  FROM on1 o LEFT JOIN oc ON oc.match_id = o.match_id AND oc.player_id = o.player_id AND e.reset = o.frame AND o.armed WHERE refreshed)"""
+RZ = f"WITH RECURSIVE {SQL_PLAYERS}, {SQL_PLAY}, {SQL_RESET}, {SQL_RESETS}"
+
+
+def dodge_rows(spark, folder):
+    rec = recordings.Recording.of(spark, folder)
+    rows = recordings.dodge_frames(rec.frames, rec.players)
+    up = F.col("up")
+    q = (up * 0.6, F.lit(0.0), up * 0.8, F.sqrt(1 - up * up))
+    return rows.withColumn("on_ball", R.on_ball(tuple(map(F.col, ("x", "y", "z"))), q, tuple(map(F.col, ("bx", "b2", "bz")))))
+
+
+@query(f"{RZ} SELECT * FROM rs")
+def rec_dodge_reset(spark, folder):
+    """Dodges granted anew, those on the ball with the outcome that is known only later."""
+    return R.dodge_resets(dodge_rows(spark, folder))
+
+
+@query(f"{RZ} SELECT match_id, player_id, team, frame AS reset_frame, outcome_frame AS frame, time_to_use FROM rs WHERE used")
+def rec_flip_reset(spark, folder):
+    """Resets on the ball that a dodge into the ball used."""
+    found = R.dodge_resets(dodge_rows(spark, folder)).where("used")
+    return found.select("match_id", "player_id", "team", F.col("frame").alias("reset_frame"), F.col("outcome_frame").alias("frame"), "time_to_use")
+
+
+@query(f"""{RZ}, tx AS (SELECT match_id, player_id, frame, ms FROM dz WHERE touched)
+SELECT tx.match_id, tx.player_id, tx.frame, EXISTS (SELECT 1 FROM rs WHERE rs.match_id = tx.match_id AND rs.player_id = tx.player_id AND tx.ms - rs.ms BETWEEN 0 AND 1500) AS reset,
+  EXISTS (SELECT 1 FROM rs WHERE rs.match_id = tx.match_id AND rs.player_id = tx.player_id AND rs.on_ball AND tx.ms - rs.ms BETWEEN 0 AND 1500) AS reset_committed FROM tx""")
+def rec_recent_reset(spark, folder):
+    """Touches with whether the player had a reset in the 1.5 s before: any, and on the ball."""
+    rows = dodge_rows(spark, folder)
+    events = rows.where("refreshed").select("match_id", "player_id", "ms", F.col("on_ball").alias("committed"))
+    return R.recently(rows.where("touched").select("match_id", "player_id", "frame", "ms"), events, 1500, "reset").drop("ms")

@@ -150,6 +150,23 @@ def strayed(players: DataFrame, frames: DataFrame) -> DataFrame:
     return players.join(ball, ["match_id", "frame"]).withColumns({c: F.expr(e) for c, e in STRAYED.items()}).drop("bx", "b2", "bz")
 
 
+#: Dodges granted anew, and what they need of the cars.
+RESET = {
+    "dodging": "(frame + 7 * player_id) % 23 < 2",
+    "touched": "user_id = player_id AND event_type IN ('click', 'view')",
+    "touch_contact": "k % 3 = 0",
+    "refreshed": "user_id = player_id AND event_type IN ('signup', 'purchase', 'view') AND k % 5 > 0",
+    "up": "CAST((frame * 13 + player_id * 17) % 40 - 20 AS DOUBLE) / 100",
+}
+
+
+def dodge_frames(frames: DataFrame, players: DataFrame) -> DataFrame:
+    """Every frame of every player with what resets.py needs but on_ball, for which it has x, y, z, the ball's place (bx, b2, bz) and ``up``."""
+    flags = play(frames).join(frames.select("match_id", "frame", "goal"), ["match_id", "frame"]).select("match_id", "frame", "ms", "user_id", "event_type", "k", "goal", "in_play", *(F.col(f"ball_{c}").alias(n) for c, n in zip("xyz", ("bx", "b2", "bz"))))
+    body = strayed(players, frames).select("match_id", "frame", "player_id", "team", "x", "y", "z").join(flags, ["match_id", "frame"])
+    return body.select("*", *(F.expr(e).alias(c) for c, e in RESET.items()))
+
+
 #: The same tables as common table expressions.
 SQL_FRAMES = f"""ev AS (
   SELECT event_id, user_id, user_id // 4 AS match_id, row_number() OVER (PARTITION BY user_id // 4 ORDER BY epoch_us(ts), event_id) AS frame, event_type,
@@ -169,3 +186,5 @@ py2 AS (SELECT *, lag(in_play) OVER (PARTITION BY match_id ORDER BY frame) AS wa
 py3 AS (SELECT *, CAST(sum(CASE WHEN was IS NULL OR in_play <> was THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY frame) AS BIGINT) AS stretch FROM py2),
 py4 AS (SELECT *, lead(stretch) OVER pyw AS after, lead(ms) OVER pyw AS next_ms, lead(frame) OVER pyw AS next_frame, row_number() OVER (PARTITION BY match_id, stretch ORDER BY frame) AS rn FROM py3 WINDOW pyw AS (PARTITION BY match_id ORDER BY frame)),
 py AS (SELECT *, CASE WHEN after IS DISTINCT FROM stretch THEN coalesce(next_ms, -1) END AS end_ms, CASE WHEN after IS DISTINCT FROM stretch THEN coalesce(next_frame, -1) END AS end_frame FROM py4)"""
+SQL_RESET = f"""dz0 AS (SELECT pl.match_id, pl.frame, pl.player_id, team, {', '.join(f'{e} AS {c}' for c, e in STRAYED.items())}, bx, b2, bz FROM (SELECT match_id, frame, player_id, team, x, y, z, ball_x AS bx, ball_y AS b2, ball_z AS bz FROM pl) pl),
+dz AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in RESET.items())} FROM dz0 JOIN (SELECT py.match_id, py.frame, py.ms, py.user_id, py.event_type, py.k, fr.goal, py.in_play FROM py JOIN fr ON fr.match_id = py.match_id AND fr.frame = py.frame) USING (match_id, frame))"""
