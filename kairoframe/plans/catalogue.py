@@ -13,7 +13,8 @@ from kairoframe.operators import features, folds, labels, matching, scans, tempo
 from kairoframe.plans.registry import ORACLES, QUERIES, query  # noqa: F401  (the catalogue is read from here)
 from kairoframe.sources.shared import shared_path
 from kairoframe.sources.tables import event_samples, order_samples, table
-from kairoframe.streaming import live
+from kairoframe.streaming import changes, live
+from kairoframe.streaming.arrivals import Arrivals
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -689,25 +690,24 @@ def pass_pairs(spark, folder):
     return rows.where("prev_role IS NOT NULL AND role <> prev_role").groupBy(F.col("prev_role").alias("from_role"), F.col("role").alias("to_role")).agg(F.count("*").alias("n"))
 
 
-def _in_parts(spark, folder: str, path: str, parts: int) -> DataFrame:
-    """events as a stream of files in order of time, one a micro-batch: the table is written in that many parts first."""
+def _arrivals(spark, folder: str, path: str, parts: int) -> Arrivals:
+    """events in the order of time, in that many parts of equal length."""
     rows = table(spark, folder, "events").select("event_id", "user_id", "event_type", F.expr("CAST(ts AS timestamp)").alias("ts"))
     first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
-    part = F.least(F.lit(parts - 1), F.floor((F.unix_micros("ts") - first) * parts / max(1, (last or 0) - (first or 0) + 1)))
-    for i in range(parts):  # one file a part, the oldest first
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{path}/source")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/source")
+    part = F.least(F.lit(parts - 1), F.floor((F.unix_micros("ts") - (first or 0)) * parts / max(1, (last or 0) - (first or 0) + 1)))
+    return Arrivals(rows, part, parts, path)
 
 
 @query(ORACLES["rate_limit"])
 def live_replay_equivalence(spark, folder):
-    """rate_limit as a stream: events in four files, one a micro-batch, folded in keyed state behind a watermark of a day; with what the drained stream
+    """rate_limit as a stream: events arrive in four parts and are folded in keyed state behind a watermark of a day; with what the drained stream
     still held, the result is that of the batch."""
     path = shared_path(spark, "rate-limit")
-    events = _in_parts(spark, folder, path, 4).withColumn("us", F.unix_micros("ts"))
+    arrivals = _arrivals(spark, folder, path, 4)
     step, schema = folds.rate_limit(12 * HOUR), "user_id long, us long, event_id long"
-    rows = live.folded_stream(events, KEYS, ORDER, [], "ts", "1 day", lambda: None, step, folds.nothing, schema)
-    emitted = live.drained(rows, path)
+    rows = live.folded_stream(arrivals.stream().withColumn("us", F.unix_micros("ts")), KEYS, ORDER, [], "ts", "1 day", lambda: None, step, folds.nothing, schema)
+    arrivals.run(lambda: live.drained(rows, path))
+    emitted = spark.read.schema(rows.schema).parquet(f"{path}/rows")
     return emitted.unionByName(live.flushed(spark, f"{path}/progress", KEYS, ORDER, step, folds.nothing, schema))
 
 
@@ -716,18 +716,22 @@ WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT event_type, user_id, n, CAST(row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS INT) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) <= 3
 """)
 def live_changelog(spark, folder):
-    """The three busiest users of each event type, projected anew with every micro-batch and published as upserts and retractions; the log, replayed,
-    gives the final table."""
+    """The three busiest users of each event type, projected anew with every micro-batch and published as upserts and retractions; the log, drained in two steps from a stored
+    cursor and replayed, gives the final table."""
     path = shared_path(spark, "changelog")
-    counts = _in_parts(spark, folder, path, 4).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    arrivals = _arrivals(spark, folder, path, 4)
+    counts = arrivals.stream().groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
     def project(batch: DataFrame, number: int) -> None:
         top = temporal.ranked(batch, ["event_type"], [F.desc("n"), F.col("user_id")], "rank").where("rank <= 3")
         live.publish(top, number, path, ["event_type", "user_id"], ["n", "rank"])
 
-    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/progress").foreachBatch(project).trigger(availableNow=True).start().awaitTermination()
-    changes = spark.read.parquet(f"{path}/changes")
-    return live.replayed(changes, ["event_type", "user_id"])
+    stream = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/progress").foreachBatch(project).trigger(availableNow=True)
+    arrivals.run(lambda: stream.start().awaitTermination())
+    log = spark.read.parquet(f"{path}/changes").drop("number")
+    for until in (2, None):
+        changes.drain(spark, f"{path}/changes", log.schema, f"{path}/cursor", f"{path}/drained", until)
+    return live.replayed(spark.read.schema(log.schema).parquet(f"{path}/drained"), ["event_type", "user_id"])
 
 
 @query(f"""
@@ -743,4 +747,4 @@ def clock_resets(spark, folder):
     return cut.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
-from kairoframe.plans import possession, recording  # noqa: E402, F401  (add their own queries)
+from kairoframe.plans import lifecycle, possession, recording  # noqa: E402, F401  (add their own queries)

@@ -100,4 +100,4 @@ def publish(projected: DataFrame, number: int, path: str, keys: list[str], value
 def replayed(changes: DataFrame, keys: list[str]) -> DataFrame:
     """The table that a change log (seq, change, keys, values) leads to: the last change of each key, if it is no retraction."""
     last = changes.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seq"))))
-    return last.where("__n = 1 AND change = 'upsert'").drop("__n", "seq", "change", "number")
+    return last.where("__n = 1 AND change = 'upsert'").drop("__n", "seq", "change")
