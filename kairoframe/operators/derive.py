@@ -21,9 +21,9 @@ MATCH = ["match_id"]
 # --- who plays, and what is known of a match
 
 
-def roster(players: DataFrame, first_frames: int = 300) -> DataFrame:
-    """match_id, player_id, team, slot: the players seen in a match's first frames, numbered per match by the text of their ids."""
-    seen = players.where(F.col("frame") <= first_frames).groupBy("match_id", "player_id").agg(F.min("team").alias("team"))
+def roster(players: DataFrame, first_frames: int | None = 300) -> DataFrame:
+    """match_id, player_id, team, slot: the players seen in a match's first frames (None: in any frame), numbered per match by the text of their ids."""
+    seen = (players if first_frames is None else players.where(F.col("frame") <= first_frames)).groupBy("match_id", "player_id").agg(F.min("team").alias("team"))
     return temporal.ranked(seen, MATCH, [F.col("player_id").cast("string")], "slot")
 
 

@@ -10,11 +10,12 @@ Everything is partitioned by match, so that one shuffle by match_id serves any n
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoframe.functions import columns as C
-from kairoframe.operators import matching, temporal
+from kairoframe.operators import matching, scans, temporal
 
 # Fixed values of the game's rules and of the detectors.
 HALF_DEADZONE, THIRD_BOUNDARY, DEPTH_BOUNDARY, ROLE_SPREAD = 200.0, 2300.0, 150.0, 236.0
@@ -53,15 +54,25 @@ def increments(counters: DataFrame, keys: list[str], order: list[str], counter:
     return staged.withColumn("number", F.explode(F.sequence(F.col("__before") + 1, F.col(counter)))).drop("__before")
 
 
+def _accepted_goals(last, columns):
+    """A scan: which goals are no repeat of the last accepted one. A share of rows is a match's goals, a handful, so it goes through them one by one."""
+    kept = []
+    for i, (ms, _, team, zero, one) in enumerate(zip(*(c.tolist() for c in columns))):
+        if last is not None:
+            known = min(zero, one, last[2], last[3]) >= 0
+            if (zero, one) == last[2:] if known else team == last[1] and ms - last[0] <= GOAL_REPEAT * 1000:
+                continue
+        last = (ms, team, zero, one)
+        kept.append(i)
+    return last, np.array(kept, np.int64), []
+
+
 def distinct_goals(goals: DataFrame) -> DataFrame:
-    """goals(match_id, t, frame, team, score0, score1): without repeats of a score, or, where no score is known, of a team within 3 s."""
-    w = temporal.ordered(MATCH, ["t", "frame"])
-    staged = goals.select("*", F.lag("t").over(w).alias("__t"), *(F.lag(c).over(w).alias(f"__{c}") for c in ("team", "score0", "score1")))
-    scored = F.col("score0").isNotNull() & F.col("score1").isNotNull() & F.col("__score0").isNotNull()
-    same_score = (F.col("score0") == F.col("__score0")) & (F.col("score1") == F.col("__score1"))
-    soon = (F.col("team") == F.col("__team")) & (F.col("t") - F.col("__t") < GOAL_REPEAT)
-    repeat = F.col("__t").isNotNull() & F.when(scored, same_score).otherwise(soon)
-    return staged.where(~F.coalesce(repeat, F.lit(False))).drop("__t", "__team", "__score0", "__score1")
+    """goals(match_id, t, frame, team, score0, score1): without repeats of the last goal kept: of its score, or, where either's is not known, of its team within 3 s."""
+    numbered = goals.withColumn("__n", F.row_number().over(temporal.ordered(MATCH, ["t", "frame", "team", "score0", "score1"])).cast("long"))
+    rows = numbered.select("match_id", F.round(F.col("t") * 1000).cast("long").alias("ms"), "__n", "team", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("score0", "score1")))
+    kept = scans.scanned(rows, MATCH, ["ms", "__n"], ["team", "score0", "score1"], _accepted_goals, f"match_id {goals.schema['match_id'].dataType.simpleString()}, ms long, __n long")
+    return numbered.join(kept.select("match_id", "__n"), ["match_id", "__n"], "left_semi").select(*goals.columns)
 
 
 def demolitions(pairs: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from kairoframe.functions import columns as C
 from kairoframe.operators import derive as V
 from kairoframe.operators import detectors as D
-from kairoframe.operators import folds, matching, scans, temporal
+from kairoframe.operators import folds, matching, pickups, scans, temporal
 from kairoframe.operators import mechanics as M
 from kairoframe.plans.registry import query
 from kairoframe.sources import clips, recordings, sinks
-from kairoframe.sources.recordings import SQL_FRAMES, SQL_GOALS, SQL_PLAYERS, SQL_TOUCHES
+from kairoframe.sources.recordings import SQL_FRAMES, SQL_GOALS, SQL_PICKUPS, SQL_PLAYERS, SQL_TOUCHES
 
 FR, PL = f"WITH {SQL_FRAMES}", f"WITH {SQL_PLAYERS}"
 TO, PT = f"{FR}, {SQL_TOUCHES}", f"{PL}, {SQL_TOUCHES}"
@@ -448,6 +448,26 @@ def rec_whiff(spark, folder):
     return M.whiffs(spells, recordings.touches(fr))
 
 
+_FITS = "list_filter(wait, lambda x: n.frame - x.frame <= 3 AND x.source <> n.source AND (x.kind = n.kind OR x.kind = -1 OR n.kind = -1))"
+_NEAREST = f"list_sort(list_transform({_FITS}, lambda x: {{'gap': n.frame - x.frame, 'id': x.id}}))[1].id"
+
+
+@query(f"""WITH RECURSIVE {SQL_FRAMES}, {SQL_PICKUPS},
+q AS (SELECT match_id, player_id, CAST(0 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS taken, list_filter([{{'frame': CAST(0 AS BIGINT), 'id': CAST(0 AS BIGINT), 'source': 0, 'kind': 0}}], lambda x: false) AS wait FROM pu WHERE id = 1
+  UNION ALL SELECT match_id, player_id, id, taken, CASE WHEN taken IS NULL THEN list_append(list_filter(wait, lambda x: frame - x.frame <= 3), {{'frame': frame, 'id': id, 'source': source, 'kind': kind}}) ELSE list_filter(wait, lambda x: frame - x.frame <= 3 AND x.id <> taken) END FROM (
+    SELECT n.match_id, n.player_id, n.id, n.frame, n.source, n.kind, wait, {_NEAREST} AS taken FROM q JOIN pu n ON n.match_id = q.match_id AND n.player_id = q.player_id AND n.id = q.id + 1)),
+g AS (SELECT pu.*, coalesce(taken, pu.id) AS pickup FROM pu JOIN q USING (match_id, player_id, id)),
+h AS (SELECT match_id, player_id, pickup, count(DISTINCT source) AS n, max(source) AS src, coalesce(max(frame) FILTER (source = 1), max(frame)) AS frame, coalesce(max(kind) FILTER (kind >= 0), 1) AS kind, max(before) AS before, max(y) AS y, max(team) AS team FROM g GROUP BY 1, 2, 3),
+c AS (SELECT *, CASE WHEN kind = 1 THEN 255 ELSE 30.6 END AS nominal FROM h)
+SELECT match_id, player_id, frame, kind, CASE WHEN n = 2 THEN 'both' WHEN src = 0 THEN 'reported_only' ELSE 'inferred_only' END AS detection, round(CASE WHEN before IS NOT NULL THEN least(nominal, 255 - before) END, 3) AS collected,
+  round(nominal - CASE WHEN before IS NOT NULL THEN least(nominal, 255 - before) END, 3) AS overfill, {ny()} > 0 AS is_steal FROM c""")
+def rec_boost_pickup(spark, folder):
+    """Pickups as pads report them and as boosts jump, matched one to one."""
+    fr = frames(spark, folder)
+    found = pickups.boost_pickups(recordings.pad_reports(fr), recordings.boost_jumps(fr))
+    return found.withColumns({c: F.round(c, 3) for c in ("collected", "overfill")})
+
+
 # --- kickoffs and goals
 
 
@@ -521,8 +541,12 @@ def rec_goal_tags(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query(f"""{FR}, {SQL_GOALS}, p AS (SELECT *, lag(t) OVER ({TW}) AS pt, lag(team) OVER ({TW}) AS pteam, lag(score0) OVER ({TW}) AS ps0, lag(score1) OVER ({TW}) AS ps1 FROM go)
-SELECT match_id, frame, t, team FROM p WHERE NOT coalesce(pt IS NOT NULL AND CASE WHEN score0 IS NOT NULL AND score1 IS NOT NULL AND ps0 IS NOT NULL THEN score0 = ps0 AND score1 = ps1 ELSE team = pteam AND t - pt < 3 END, false)""")
+@query(f"""WITH RECURSIVE {SQL_FRAMES}, {SQL_GOALS}, p AS (SELECT *, CAST(round(t * 1000) AS BIGINT) AS ms, row_number() OVER ({TW}) AS rn FROM go),
+f AS (SELECT match_id, rn, frame, t, team, true AS kept, ms AS lms, team AS lteam, score0 AS l0, score1 AS l1 FROM p WHERE rn = 1
+  UNION ALL SELECT match_id, rn, frame, t, team, NOT rep, CASE WHEN rep THEN lms ELSE ms END, CASE WHEN rep THEN lteam ELSE team END, CASE WHEN rep THEN l0 ELSE score0 END, CASE WHEN rep THEN l1 ELSE score1 END FROM (
+    SELECT p.*, lms, lteam, l0, l1, CASE WHEN score0 IS NOT NULL AND score1 IS NOT NULL AND l0 IS NOT NULL AND l1 IS NOT NULL THEN score0 = l0 AND score1 = l1 ELSE p.team = lteam AND ms - lms <= 3000 END AS rep
+    FROM f JOIN p ON p.match_id = f.match_id AND p.rn = f.rn + 1))
+SELECT match_id, frame, t, team FROM f WHERE kept""")
 def rec_distinct_goals(spark, folder):
     return D.distinct_goals(goals(spark, folder)).select("match_id", "frame", "t", "team")
 
@@ -545,12 +569,12 @@ def rec_roster(spark, folder):
     return V.roster(seen, 100)
 
 
-@query(f"""{FR}, m AS (SELECT DISTINCT match_id, user_id, user_id % 2 AS team FROM fr WHERE frame <= 100)
+@query(f"""{FR}, m AS (SELECT DISTINCT match_id, user_id, user_id % 2 AS team FROM fr)
 SELECT match_id, count(*) AS n_frames, max(t) AS seconds, (SELECT coalesce(string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)), '') FROM m WHERE m.match_id = fr.match_id AND team = 0) AS team0,
   (SELECT coalesce(string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)), '') FROM m WHERE m.match_id = fr.match_id AND team = 1) AS team1 FROM fr GROUP BY match_id""")
 def rec_match_row(spark, folder):
     fr = frames(spark, folder)
-    return V.match_row(fr, rec_roster(spark, folder))
+    return V.match_row(fr, V.roster(recordings.players(fr), None))
 
 
 @query("""WITH m AS (SELECT DISTINCT user_id AS player_id, 'p' || (user_id // 2) AS name FROM events), s AS (SELECT CASE WHEN user_id % 3 = 0 THEN user_id END AS id, 'p' || (user_id // 2) AS name, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events WHERE user_id % 3 < 2 GROUP BY user_id),
@@ -675,10 +699,10 @@ def rec_boost_and_jump(spark, folder):
     return players(spark, folder).select("match_id", "frame", "player_id", "boost", F.round(C.boost_percent(F.col("boost")), 6).alias("boost_percent"), jump.alias("any_jump"))
 
 
-@query(f"""{PL}, {SQL_DEMOS}, m AS (SELECT match_id, user_id, CAST(row_number() OVER (PARTITION BY match_id ORDER BY CAST(user_id AS VARCHAR)) AS INT) AS slot FROM (SELECT DISTINCT match_id, user_id FROM fr WHERE frame <= 100))
+@query(f"""{PL}, {SQL_DEMOS}, m AS (SELECT match_id, user_id, CAST(row_number() OVER (PARTITION BY match_id ORDER BY CAST(user_id AS VARCHAR)) AS INT) AS slot FROM (SELECT DISTINCT match_id, user_id FROM fr))
 SELECT pl.match_id, pl.frame, pl.player_id, coalesce(arg_max(slot, (de.frame, slot)), -1) AS demolished_by FROM pl LEFT JOIN (SELECT de.*, slot FROM de JOIN m ON m.match_id = de.match_id AND m.user_id = attacker) de ON de.match_id = pl.match_id AND victim = player_id AND pl.frame - de.frame BETWEEN 0 AND 29 GROUP BY 1, 2, 3""")
 def rec_demolished_by(spark, folder):
-    return V.demolished_by(players(spark, folder).select("match_id", "frame", "player_id"), demos(spark, folder), rec_roster(spark, folder))
+    return V.demolished_by(players(spark, folder).select("match_id", "frame", "player_id"), demos(spark, folder), V.roster(players(spark, folder), None))
 
 
 @query(f"""{PT}, {SQL_PASSES}, {SQL_ONE_TIMERS}, {SQL_BOUNCES}, {SQL_DOUBLE_TAPS}, {SQL_DODGES}, {SQL_VOLLEYS}, {SQL_DEMOS},

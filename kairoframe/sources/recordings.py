@@ -167,6 +167,26 @@ def dodge_frames(frames: DataFrame, players: DataFrame) -> DataFrame:
     return body.select("*", *(F.expr(e).alias(c) for c, e in RESET.items()))
 
 
+#: Reports of boost pads and jumps of players' boosts: a jump is seen up to two frames off its report, or four (too far), or without one; its kind may be unknown or another.
+REPORTS = {"kind": "CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END", "reported": "event_type = 'purchase' AND k % 9 > 0"}
+JUMPS = {
+    "off": "CASE WHEN k % 13 = 0 THEN 4 ELSE k % 5 - 2 END",
+    "seen": "(event_type = 'purchase' AND k % 3 > 0) OR (event_type = 'signup' AND k % 6 = 0)",
+    "jump_kind": "CASE WHEN k % 7 = 0 THEN -1 WHEN k % 11 = 0 THEN 1 ELSE CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END END",
+    "before": "CAST((frame * 37 + user_id * 11) % 256 AS DOUBLE)",
+}
+
+
+def pad_reports(frames: DataFrame) -> DataFrame:
+    rows = frames.select("match_id", F.col("user_id").alias("player_id"), "frame", *(F.expr(e).cast("int" if c == "kind" else "boolean").alias(c) for c, e in REPORTS.items()))
+    return rows.where("reported").drop("reported")
+
+
+def boost_jumps(frames: DataFrame) -> DataFrame:
+    rows = frames.select("match_id", F.col("user_id").alias("player_id"), "frame", F.expr("CAST(user_id % 2 AS INT)").alias("team"), F.col("ball_y").alias("y"), *(F.expr(e).alias(c) for c, e in JUMPS.items()))
+    return rows.where("seen").select("match_id", "player_id", (F.col("frame") + F.col("off")).alias("frame"), F.col("jump_kind").cast("int").alias("kind"), "before", F.least(F.lit(255.0), F.col("before") + 31).alias("after"), "y", "team")
+
+
 #: The same tables as common table expressions.
 SQL_FRAMES = f"""ev AS (
   SELECT event_id, user_id, user_id // 4 AS match_id, row_number() OVER (PARTITION BY user_id // 4 ORDER BY epoch_us(ts), event_id) AS frame, event_type,
@@ -188,3 +208,6 @@ py4 AS (SELECT *, lead(stretch) OVER pyw AS after, lead(ms) OVER pyw AS next_ms,
 py AS (SELECT *, CASE WHEN after IS DISTINCT FROM stretch THEN coalesce(next_ms, -1) END AS end_ms, CASE WHEN after IS DISTINCT FROM stretch THEN coalesce(next_frame, -1) END AS end_frame FROM py4)"""
 SQL_RESET = f"""dz0 AS (SELECT pl.match_id, pl.frame, pl.player_id, team, {', '.join(f'{e} AS {c}' for c, e in STRAYED.items())}, bx, b2, bz FROM (SELECT match_id, frame, player_id, team, x, y, z, ball_x AS bx, ball_y AS b2, ball_z AS bz FROM pl) pl),
 dz AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in RESET.items())} FROM dz0 JOIN (SELECT py.match_id, py.frame, py.ms, py.user_id, py.event_type, py.k, fr.goal, py.in_play FROM py JOIN fr ON fr.match_id = py.match_id AND fr.frame = py.frame) USING (match_id, frame))"""
+SQL_PICKUPS = f"""rp AS (SELECT match_id, user_id AS player_id, frame, {REPORTS['kind']} AS kind FROM fr WHERE {REPORTS['reported']}),
+jp AS (SELECT match_id, user_id AS player_id, frame + {JUMPS['off']} AS frame, {JUMPS['jump_kind']} AS kind, {JUMPS['before']} AS before, ball_y AS y, CAST(user_id % 2 AS INT) AS team FROM fr WHERE {JUMPS['seen']}),
+pu AS (SELECT *, row_number() OVER (PARTITION BY match_id, player_id ORDER BY frame, source, kind, before, y) AS id FROM (SELECT match_id, player_id, frame, kind, 0 AS source, CAST(NULL AS DOUBLE) AS before, CAST(NULL AS DOUBLE) AS y, CAST(NULL AS INT) AS team FROM rp UNION ALL SELECT match_id, player_id, frame, kind, 1, before, y, team FROM jp))"""

@@ -31,6 +31,9 @@ def test_counters_and_goals(spark):
     assert [r.number for r in D.increments(df, D.PLAYER, ["frame"], "v", False).orderBy("number").collect()] == [3, 4]
     goals = spark.createDataFrame([("m", 1.0, 1, 0, 1, 0), ("m", 9.0, 2, 0, 1, 0), ("m", 10.0, 3, 1, None, None), ("m", 12.9, 4, 1, None, None), ("m", 16.0, 5, 1, None, None)], "match_id string, t double, frame long, team int, score0 int, score1 int")
     assert [r.frame for r in D.distinct_goals(goals).orderBy("frame").collect()] == [1, 3, 5]
+    # The window runs from the last goal kept, not from the last one seen.
+    often = goals.sparkSession.createDataFrame([("m", t, i, 1, None, None) for i, t in enumerate((0.0, 2.0, 3.0, 4.0, 7.1))], goals.schema)
+    assert [r.t for r in D.distinct_goals(often).orderBy("t").collect()] == [0.0, 4.0, 7.1]
     pairs = spark.createDataFrame([("m", f, "a", "b") for f in (1, 2, 9, 17, 26)], "match_id string, frame long, attacker string, victim string")
     assert [r.frame for r in D.demolitions(pairs).orderBy("frame").collect()] == [1, 26]
 
