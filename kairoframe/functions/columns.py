@@ -74,6 +74,12 @@ def conjugate(q: Vector) -> Vector:
     return (-q[0], -q[1], -q[2], q[3])
 
 
+def product(a: Vector, b: Vector) -> Vector:
+    """The turn that b and then a make together."""
+    xyz = add(add(scale(b[:3], a[3]), scale(a[:3], b[3])), cross(a[:3], b[:3]))
+    return (*xyz, a[3] * b[3] - dot(a[:3], b[:3]))
+
+
 def rotate(q: Vector, v: Vector) -> Vector:
     """v turned by the unit quaternion q = (x, y, z, w)."""
     u, w = q[:3], q[3]

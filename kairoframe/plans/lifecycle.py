@@ -1,14 +1,16 @@
-"""The live generator of events on recordings (streaming/generator.py), with SQL that derives its whole log from the final data."""
+"""The live generator of events on recordings (streaming/generator.py), with SQL that derives its whole log from the final data; a sweep over files of recordings."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairoframe.operators import temporal
 from kairoframe.plans.recording import FR, SQL_DEMOS, demolished
 from kairoframe.plans.registry import query
-from kairoframe.sources import recordings
+from kairoframe.sources import recordings, sweep
 from kairoframe.sources.shared import shared_path
 from kairoframe.streaming import generator, live
 from kairoframe.streaming.arrivals import Arrivals
@@ -68,3 +70,23 @@ def live_current(spark, folder):
     log = live_log(spark, folder)
     broken = generator.violations(log).select("match_id", "event_id", F.col("broken").alias("lifecycle"))
     return generator.current(log).select("match_id", "stream", "event_id", "start_ms", "end_ms", "n", "lifecycle").unionByName(broken, allowMissingColumns=True)
+
+
+def _goals_of(content: bytes) -> dict:
+    """A match's file of one JSON object a line: how many frames, goals, and the last clock."""
+    rows = [json.loads(line) for line in content.decode().splitlines()]
+    return {"match_id": rows[0]["match_id"], "n_frames": len(rows), "n_goals": sum(r["goal"] for r in rows), "seconds": max(r["t"] for r in rows)}
+
+
+@query(f"""{FR}, m AS (SELECT match_id, count(*) AS n_frames, CAST(sum(goal::INT) AS BIGINT) AS n_goals, max(t) AS seconds FROM fr GROUP BY match_id)
+SELECT match_id, match_id % 5 > 0 AS ok, CASE WHEN match_id % 5 > 0 THEN n_frames END AS n_frames, CASE WHEN match_id % 5 > 0 THEN n_goals END AS n_goals, CASE WHEN match_id % 5 > 0 THEN seconds END AS seconds FROM m""")
+def corpus_sweep(spark, folder):
+    """Every match as a file of JSON lines, a fifth of them with a broken line: a sweep returns a row for each."""
+    path = shared_path(spark, "corpus")
+    frames = recordings.frames(spark, folder).select("match_id", "frame", F.to_json(F.struct("match_id", "frame", "t", "goal")).alias("value"))
+    broken = (F.col("match_id") % 5 == 0) & (F.col("frame") == 3)
+    lines = frames.withColumn("value", F.when(broken, F.substring("value", 1, 9)).otherwise(F.col("value"))).withColumn("file", F.col("match_id"))
+    lines.repartition("file").sortWithinPartitions("file", "frame").select("file", "value").write.partitionBy("file").text(path)
+    found = sweep.swept(spark, path, "*.txt", _goals_of, "match_id long, n_frames long, n_goals long, seconds double")
+    name = F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long")
+    return found.select(name.alias("match_id"), "ok", "n_frames", "n_goals", "seconds")

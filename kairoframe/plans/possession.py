@@ -1,14 +1,16 @@
-"""Queries of possession (operators/possession.py), each with plain frame-by-frame SQL."""
+"""Queries of possession, dodge resets and half flips (operators/possession.py, resets.py, half_flips.py), each with plain SQL, frame by frame where one decides on the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kairoframe.functions import columns as C
+from kairoframe.operators import half_flips as H
 from kairoframe.operators import possession as P
 from kairoframe.operators import resets as R
 from kairoframe.plans.registry import query
 from kairoframe.sources import recordings
-from kairoframe.sources.recordings import SQL_FRAMES, SQL_PLAY, SQL_PLAYERS, SQL_RESET, STRAYED
+from kairoframe.sources.recordings import SQL_FLIP, SQL_FRAMES, SQL_PLAY, SQL_PLAYERS, SQL_RESET, STRAYED
 
 PY = f"WITH RECURSIVE {SQL_FRAMES}, {SQL_PLAY}, n AS (SELECT * FROM py WHERE in_play)"
 
@@ -256,3 +258,35 @@ def rec_recent_reset(spark, folder):
     rows = dodge_rows(spark, folder)
     events = rows.where("refreshed").select("match_id", "player_id", "ms", F.col("on_ball").alias("committed"))
     return R.recently(rows.where("touched").select("match_id", "player_id", "frame", "ms"), events, 1500, "reset").drop("ms")
+
+
+# --- half flips
+
+# Candidates with all their frames, each value an aggregate over the frames up to the evaluation.
+SQL_HALF_FLIPS = f"""hx0 AS (SELECT *, cos(pitch) * cos(yaw) AS fx, cos(pitch) * sin(yaw) AS fy, -sin(pitch) AS fz, max(frame) OVER (PARTITION BY match_id) AS last_frame FROM hf),
+hx1 AS (SELECT *, sum(CASE WHEN in_play IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, player_id ORDER BY frame) AS stretch FROM (SELECT *, lag(in_play) OVER (PARTITION BY match_id, player_id ORDER BY frame) AS was FROM hx0)),
+hx2 AS (SELECT *, sqrt(fx * fx + fy * fy) AS flat, sqrt(vx * vx + vy * vy) AS sp, lag(dodging, 1, false) OVER w AS dodged, last_value(CASE WHEN NOT dodging THEN spin END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cspin,
+  last_value(CASE WHEN NOT dodging THEN abs(fz) END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cvert FROM hx1 WHERE in_play WINDOW w AS (PARTITION BY match_id, player_id ORDER BY frame)),
+hs AS (SELECT match_id, player_id, team, stretch, frame AS s_fr, ms AS s_ms, fx / flat AS sx, fy / flat AS sy, CASE WHEN sp > 0 THEN vx / sp ELSE 0 END AS sux, CASE WHEN sp > 0 THEN vy / sp ELSE 0 END AS suy, cspin, cvert,
+  lead(frame) OVER (PARTITION BY match_id, player_id ORDER BY frame) AS next_fr FROM hx2 WHERE dodging AND NOT dodged AND flat > 0.001),
+hj AS (SELECT s.*, r.frame, r.ms, r.flat, r.fz, r.last_frame, CASE WHEN r.flat >= 0.55 THEN greatest(-1, least(1, -(sx * r.fx + sy * r.fy) / r.flat)) END AS rev, CASE WHEN r.flat >= 0.55 AND r.sp > 0.001 THEN (r.fx * r.vx + r.fy * r.vy) / (r.flat * r.sp) END AS reo
+  FROM hs s JOIN hx2 r ON r.match_id = s.match_id AND r.player_id = s.player_id AND r.stretch = s.stretch AND r.frame >= s_fr AND (next_fr IS NULL OR r.frame < next_fr)),
+hv1 AS (SELECT match_id, player_id, s_fr, coalesce(min(frame) FILTER (ms - s_ms >= 650), max(frame) FILTER (frame = last_frame)) AS v_fr FROM hj GROUP BY 1, 2, 3),
+hk AS (SELECT hj.*, v_fr FROM hj JOIN hv1 USING (match_id, player_id, s_fr) WHERE frame <= v_fr),
+hr AS (SELECT match_id, player_id, s_fr, min(frame) FILTER (rev >= 0.75) AS reached FROM hk GROUP BY 1, 2, 3),
+hm AS (SELECT k.match_id, k.player_id, any_value(team) AS team, s_fr, any_value(v_fr) AS v_fr, greatest(0, coalesce(max(rev), 0)) AS best, coalesce(arg_max(rev, frame) FILTER (rev IS NOT NULL), 0) AS latest, coalesce(min(rev) FILTER (frame >= reached), 1) AS retained, arg_max(flat, frame) AS flat, max(abs(fz)) AS vertical,
+  greatest(0, coalesce(max(reo), 0)) AS reo, any_value(-(sx * sux + sy * suy)) AS entry, coalesce(any_value(cspin) >= 250 OR any_value(cvert) >= 0.5, false) AS tumbling FROM hk k JOIN hr USING (match_id, player_id, s_fr) GROUP BY k.match_id, k.player_id, s_fr),
+hc AS (SELECT *, greatest(0, least(1, (latest - 0.75) / 0.23)) * 0.75 + greatest(0, least(1, (vertical - 0.55) / 0.3)) * 0.25 AS confidence FROM hm)"""
+
+
+@query(f"""WITH {SQL_PLAYERS}, {SQL_PLAY}, {SQL_FLIP}, {SQL_HALF_FLIPS}
+SELECT match_id, player_id, team, s_fr AS start_frame, v_fr AS frame, round(best, 6) AS reversal, round(vertical, 6) AS vertical, round(entry, 6) AS backward_entry, round(reo, 6) AS reorientation, round(confidence, 6) AS confidence
+FROM hc WHERE latest >= 0.75 AND retained >= 0.45 AND flat >= 0.55 AND vertical >= 0.55 AND confidence >= 0.55 AND NOT (tumbling AND entry < 0)""")
+def rec_half_flip(spark, folder):
+    """Dodges that turn the nose around, judged 0.65 s after they begin; the nose comes from quaternions of yaw and pitch."""
+    rec = recordings.Recording.of(spark, folder)
+    rows = recordings.flip_frames(rec.frames, rec.players)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    q = C.product(C.axis_angle((zero, zero, one), F.col("yaw")), C.axis_angle((zero, one, zero), F.col("pitch")))
+    rows = rows.withColumns(dict(zip(("fx", "fy", "fz"), H.nose(q))))
+    return H.half_flips(rows).withColumns({c: F.round(c, 6) for c in ("reversal", "vertical", "backward_entry", "reorientation", "confidence")})

@@ -187,6 +187,25 @@ def boost_jumps(frames: DataFrame) -> DataFrame:
     return rows.where("seen").select("match_id", "player_id", (F.col("frame") + F.col("off")).alias("frame"), F.col("jump_kind").cast("int").alias("kind"), "before", F.least(F.lit(255.0), F.col("before") + 31).alias("after"), "y", "team")
 
 
+#: Cars that turn around after a dodge, some of them all the way, some back again: m: frames since the dodge, c: the number of the dodge.
+FLIP = {
+    "m": "(frame + 7 * player_id) % 23",
+    "c": "(frame + 7 * player_id) // 23",
+    "yaw": "least(m, 6) * (CASE c % 6 WHEN 0 THEN 0.2 WHEN 1 THEN 0.45 WHEN 2 THEN 0.5 WHEN 3 THEN 0.55 WHEN 4 THEN 0.52 ELSE 0.48 END) + CASE WHEN c % 5 = 4 AND m BETWEEN 6 AND 6 THEN 1.2 ELSE 0 END + c * 0.7",
+    "pitch": "CASE WHEN m BETWEEN 1 AND 4 THEN 0.35 + 0.11 * ((c + player_id) % 6) WHEN m > 20 AND c % 4 = 2 THEN 0.8 ELSE 0 END",
+    "spin": "CASE WHEN c % 3 = 1 THEN 300 ELSE 100 END",
+    "dodging": "m < 2",
+}
+
+
+def flip_frames(frames: DataFrame, players: DataFrame) -> DataFrame:
+    """Every frame of every player with what half_flips.py needs but the nose's vector, for which it has yaw and pitch."""
+    rows = players.select("match_id", "player_id", "team", "frame", "vx", "vy").join(play(frames).select("match_id", "frame", "ms", "in_play"), ["match_id", "frame"])
+    for name, e in FLIP.items():
+        rows = rows.withColumn(name, F.expr(e.replace("//", "div")).cast("boolean" if name == "dodging" else "long" if name in "mc" else "double"))
+    return rows
+
+
 #: The same tables as common table expressions.
 SQL_FRAMES = f"""ev AS (
   SELECT event_id, user_id, user_id // 4 AS match_id, row_number() OVER (PARTITION BY user_id // 4 ORDER BY epoch_us(ts), event_id) AS frame, event_type,
@@ -211,3 +230,5 @@ dz AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in RESET.items())} FROM dz0 J
 SQL_PICKUPS = f"""rp AS (SELECT match_id, user_id AS player_id, frame, {REPORTS['kind']} AS kind FROM fr WHERE {REPORTS['reported']}),
 jp AS (SELECT match_id, user_id AS player_id, frame + {JUMPS['off']} AS frame, {JUMPS['jump_kind']} AS kind, {JUMPS['before']} AS before, ball_y AS y, CAST(user_id % 2 AS INT) AS team FROM fr WHERE {JUMPS['seen']}),
 pu AS (SELECT *, row_number() OVER (PARTITION BY match_id, player_id ORDER BY frame, source, kind, before, y) AS id FROM (SELECT match_id, player_id, frame, kind, 0 AS source, CAST(NULL AS DOUBLE) AS before, CAST(NULL AS DOUBLE) AS y, CAST(NULL AS INT) AS team FROM rp UNION ALL SELECT match_id, player_id, frame, kind, 1, before, y, team FROM jp))"""
+SQL_FLIP = f"""hf0 AS (SELECT *, {FLIP['m']} AS m, {FLIP['c']} AS c FROM (SELECT match_id, player_id, team, frame, vx, vy, ms, in_play FROM (SELECT match_id, player_id, team, frame, vx, vy FROM pl) JOIN (SELECT match_id, frame, ms, in_play FROM py) USING (match_id, frame))),
+hf AS (SELECT *, CAST({FLIP['yaw']} AS DOUBLE) AS yaw, CAST({FLIP['pitch']} AS DOUBLE) AS pitch, {FLIP['spin']} AS spin, {FLIP['dodging']} AS dodging FROM hf0)"""
