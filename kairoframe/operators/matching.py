@@ -40,8 +40,8 @@ def latest_before(left: DataFrame, right: DataFrame, keys: list[str], clock: str
 
 def unbroken(pairs: DataFrame, breaks: DataFrame, keys: list[str], start: str, end: str, clock: str) -> DataFrame:
     """The pairs without a break of their key strictly between start and end. Breaks are counted up to each end of a pair by as-of windows."""
-    marks = breaks.select(*keys, F.col(clock).alias("__t"), F.lit(1).alias("__b"), F.lit(0).alias("__what"), F.lit(None).cast("long").alias("__id"))
-    numbered = pairs.withColumn("__id", F.xxhash64(*pairs.columns))
+    marks = breaks.select(*keys, F.col(clock).alias("__t"), F.lit(1).alias("__b"), F.lit(0).alias("__what"), F.lit(None).alias("__id"))
+    numbered = pairs.withColumn("__id", F.struct(*pairs.columns))
     begins = numbered.select(*keys, F.col(start).alias("__t"), F.lit(0).alias("__b"), F.lit(1).alias("__what"), "__id")
     ends = numbered.select(*keys, F.col(end).alias("__t"), F.lit(0).alias("__b"), F.lit(2).alias("__what"), "__id")
     # Up to and including the start, and up to but not including the end.

@@ -26,6 +26,7 @@ KICKOFF_AFTER, KICKOFF_NEUTRAL, FIELD = 1.25, 256.0, 5120.0
 EMPTY_NET_Y, EMPTY_NET_MARGIN, EMPTY_NET_DISTANCE = 3600.0, 700.0, 1000.0
 BUILD_UP, TRAIL = 12.0, 4.0
 RESPAWN = 3.2
+KICKOFF_GOAL, KICKOFF_CONTEST, KICKOFF_RESET, PLAY_SLACK = 12.0, 0.35, 1280.0, 0.05
 AIR_GAP, AIR_TIME, AIR_Z = 3.0, 0.65, 300.0
 BUMP_DT, BUMP_GAP, BUMP_CLOSING, BUMP_IMPULSE, BUMP_SCORE, BUMP_MARGIN, BUMP_REACH, BUMP_FRAMES = 0.18, 35.0, 420.0, 180.0, 650.0, 175.0, 118.0, 10
 TOUCH_NEAR, TOUCH_FAR, TOUCH_REPEAT = 5.0, 25.0, 0.25
@@ -352,10 +353,38 @@ def mechanic_tags(contexts: DataFrame, mechanics: dict[str, tuple[DataFrame, flo
     return found
 
 
-def kickoff_goals(contexts: DataFrame, starts: DataFrame, within: float = 12.0) -> DataFrame:
-    """Goals less than 12 s after the last kickoff began."""
+def scoring_touch_tags(contexts: DataFrame, players: DataFrame, passes: DataFrame, within: float = 3.0) -> DataFrame:
+    """match_id, frame, tag of what the scorer's last touch was, up to ``within`` before the goal: a flip into the ball, or the receiving of a pass."""
+    recent = contexts.where(F.col("t") - F.col("touch_t") <= within).select("match_id", "frame", "touch_frame", "scorer")
+    flips = recent.join(players.where("dodging").select("match_id", F.col("frame").alias("touch_frame"), F.col("player_id").alias("scorer")), ["match_id", "touch_frame", "scorer"], "left_semi")
+    received = recent.join(passes.select("match_id", F.col("frame").alias("touch_frame"), F.col("receiver").alias("scorer")), ["match_id", "touch_frame", "scorer"], "left_semi")
+    return flips.select("match_id", "frame", F.lit("flip_into_ball").alias("tag")).unionByName(received.select("match_id", "frame", F.lit("passing").alias("tag")))
+
+
+def demolition_goals(contexts: DataFrame, demolitions: DataFrame, starts: DataFrame, within: float = 5.25) -> DataFrame:
+    """Goals with a demolition (match_id, team, t) by the scoring team up to ``within`` before, in the same play: not before the last kickoff."""
     rows = matching.as_of(contexts, starts.select("match_id", "t", "frame"), MATCH, "t", "frame", ["t"])
-    return rows.where(F.col("t") - F.col("last_t") < within).select("match_id", "frame", F.lit("kickoff").alias("tag"))
+    done = demolitions.select("match_id", "team", F.col("t").alias("done"))
+    pairs = matching.in_window(done, rows.select("match_id", "team", "frame", "t", "last_t"), ["match_id", "team"], "done", "t", 0, within)
+    same_play = F.coalesce(F.col("done") >= F.col("last_t") - PLAY_SLACK, F.lit(True))
+    return pairs.where(same_play).select("match_id", "frame", F.lit("demo").alias("tag")).distinct()
+
+
+def kickoff_goals(contexts: DataFrame, starts: DataFrame, touches: DataFrame, frames: DataFrame) -> DataFrame:
+    """Goals that flow from a kickoff: less than 12 s after its first touch, while the conceding team never settled the ball (two of its touches running, more than 0.35 s apart) and the ball
+    never went back far into the scoring team's own half."""
+    begun = starts.select("match_id", F.col("frame").alias("start_frame"), "frame", "t")
+    first = matching.as_of(touches.select("match_id", "frame", "t"), begun, MATCH, "t", "frame", ["start_frame"]).where("last_start_frame IS NOT NULL")
+    first = first.groupBy("match_id", F.col("last_start_frame").alias("start_frame")).agg(F.min("t").alias("first_t"))
+    rows = matching.as_of(contexts.select("match_id", "frame", "t", "team"), begun, MATCH, "t", "frame", ["start_frame"]).withColumnRenamed("last_start_frame", "start_frame")
+    rows = rows.join(first, ["match_id", "start_frame"]).where((F.col("t") >= F.col("first_t")) & (F.col("t") - F.col("first_t") < KICKOFF_GOAL))
+    goal = ["match_id", "frame", "team"]
+    hits = matching.in_window(rows, touches.select("match_id", F.col("t").alias("at"), F.col("frame").alias("at_frame"), F.col("team").alias("by")), MATCH, "first_t", "at", 0, KICKOFF_GOAL).where("at <= t")
+    runs = temporal.islands(hits, goal, ["at", "at_frame"], F.col("by"), "run").where("by <> team").groupBy(*goal, "run").agg((F.max("at") - F.min("at")).alias("held"))
+    settled = runs.where(F.round("held", 6) > KICKOFF_CONTEST).select(*goal).distinct()
+    seen = matching.in_window(rows, frames.select("match_id", F.col("t").alias("at"), "ball_y"), MATCH, "first_t", "at", 0, KICKOFF_GOAL).where("at <= t")
+    reset = seen.where(normalised_y(F.col("ball_y"), F.col("team")) < -KICKOFF_RESET).select(*goal).distinct()
+    return rows.join(settled, goal, "left_anti").join(reset, goal, "left_anti").select("match_id", "frame", F.lit("kickoff").alias("tag"))
 
 
 # --- spans

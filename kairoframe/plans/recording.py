@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from kairoframe.functions import columns as C
@@ -514,16 +516,24 @@ def _tag_sql(name: str, rel: str, who: str, within: float, time: str = "t") -> s
 
 @query(f"""{PTG}, {SQL_CONTEXT}, {SQL_PASSES}, {SQL_ONE_TIMERS}, {SQL_BOUNCES}, {SQL_DOUBLE_TAPS}, {SQL_DODGES}, {SQL_VOLLEYS}, {SQL_DEMOS}, {SQL_STARTS},
 runs0 AS (SELECT *, CASE WHEN lag(team) OVER ({TW}) IS DISTINCT FROM team THEN 1 ELSE 0 END AS new FROM tc), runs AS (SELECT *, sum(new) OVER ({TW}) AS poss FROM runs0),
-high AS (SELECT match_id, poss FROM runs GROUP BY 1, 2 HAVING max(z) >= 700)
+high AS (SELECT match_id, poss FROM runs GROUP BY 1, 2 HAVING max(z) >= 700),
+kk AS (SELECT gc.match_id, gc.frame, gc.t, gc.team, ks.frame AS k_fr, ks.t AS k_t FROM gc ASOF LEFT JOIN ks ON gc.match_id = ks.match_id AND gc.frame > ks.frame),
+kf AS (SELECT match_id, k_fr, min(t) AS first_t FROM (SELECT tc.match_id, tc.t, ks.frame AS k_fr FROM tc ASOF JOIN ks ON tc.match_id = ks.match_id AND tc.frame > ks.frame) GROUP BY 1, 2),
+kq AS (SELECT kk.*, first_t FROM kk JOIN kf USING (match_id, k_fr) WHERE t >= first_t AND t - first_t < 12),
+kt AS (SELECT kq.match_id, kq.frame, kq.team, tc.t AS at_t, tc.frame AS at_fr, tc.team AS by_team, max(CASE WHEN tc.team = kq.team THEN tc.frame END) OVER (PARTITION BY kq.match_id, kq.frame, kq.team ORDER BY tc.t, tc.frame) AS broke FROM kq JOIN tc ON tc.match_id = kq.match_id AND tc.t >= first_t AND tc.t <= kq.t),
+kg AS (SELECT kq.match_id, kq.frame, EXISTS (SELECT 1 FROM (SELECT max(at_t) - min(at_t) AS held FROM kt WHERE kt.match_id = kq.match_id AND kt.frame = kq.frame AND kt.team = kq.team AND by_team <> kt.team GROUP BY coalesce(broke, -1)) WHERE round(held, 6) > 0.35) AS settled,
+  EXISTS (SELECT 1 FROM fr WHERE fr.match_id = kq.match_id AND fr.t >= first_t AND fr.t <= kq.t AND CASE WHEN kq.team = 0 THEN ball_y ELSE -ball_y END < -1280) AS far_back FROM kq)
 SELECT match_id, frame, 'aerial' AS tag FROM gc WHERE touch_z >= 600
 UNION ALL SELECT match_id, frame, 'long_distance' FROM gc WHERE touch_ny <= 1024
 UNION ALL SELECT match_id, frame, 'own_half' FROM gc WHERE touch_ny <= 0 AND t - touch_t <= 8
 UNION ALL SELECT match_id, frame, 'empty_net' FROM gc WHERE touch_ny <= 3600 AND margin >= 700 AND guard_distance >= 1000
 UNION ALL SELECT match_id, frame, build_up FROM gc WHERE build_up <> 'other'
 UNION ALL SELECT gc.match_id, gc.frame, 'high_aerial' FROM gc JOIN runs USING (touch_id) JOIN high ON high.match_id = runs.match_id AND high.poss = runs.poss
-UNION ALL {_tag_sql('one_timer', 'ot', 'receiver', 3.0)} UNION ALL {_tag_sql('passing', 'pa', 'receiver', 3.0)} UNION ALL {_tag_sql('double_tap', 'dbl', 'player_id', 3.0)}
-UNION ALL {_tag_sql('half_volley', 'hv', 'player_id', 3.0)} UNION ALL {_tag_sql('demo', 'de', 'attacker', 5.25)} UNION ALL {_tag_sql('flip_into_ball', 'dg', 'player_id', 3.0)}
-UNION ALL SELECT gc.match_id, gc.frame, 'kickoff' FROM gc ASOF JOIN ks ON gc.match_id = ks.match_id AND gc.frame > ks.frame WHERE gc.t - ks.t < 12""")
+UNION ALL {_tag_sql('one_timer', 'ot', 'receiver', 3.0)} UNION ALL {_tag_sql('double_tap', 'dbl', 'player_id', 3.0)} UNION ALL {_tag_sql('half_volley', 'hv', 'player_id', 3.0)}
+UNION ALL SELECT gc.match_id, gc.frame, 'passing' FROM gc JOIN pa ON pa.match_id = gc.match_id AND pa.frame = gc.touch_frame AND pa.receiver = gc.scorer WHERE gc.t - gc.touch_t <= 3
+UNION ALL SELECT gc.match_id, gc.frame, 'flip_into_ball' FROM gc JOIN pl ON pl.match_id = gc.match_id AND pl.frame = gc.touch_frame AND pl.player_id = gc.scorer WHERE pl.dodging AND gc.t - gc.touch_t <= 3
+UNION ALL SELECT DISTINCT kk.match_id, kk.frame, 'demo' FROM kk JOIN de ON de.match_id = kk.match_id AND de.attacker % 2 = kk.team AND kk.t - de.t BETWEEN 0 AND 5.25 WHERE kk.k_t IS NULL OR de.t >= kk.k_t - 0.05
+UNION ALL SELECT match_id, frame, 'kickoff' FROM kg WHERE NOT settled AND NOT far_back""")
 def rec_goal_tags(spark, folder):
     """The tags of a goal: by its context, its build-up, its possession, its scorer's mechanics and the last kickoff."""
     rec = recordings.Recording.of(spark, folder)
@@ -531,14 +541,20 @@ def rec_goal_tags(spark, folder):
     as_player = lambda df, c: df.select("match_id", F.col(c).alias("player_id"), "t")
     mechanics = {
         "one_timer": (as_player(D.one_timers(rec.touches, rec.frames), "receiver"), 3.0),
-        "passing": (as_player(D.passes(rec.touches), "receiver"), 3.0),
         "double_tap": (M.double_taps(bounces(rec), rec.touches, rec.frames), 3.0),
         "half_volley": (M.half_volleys(rec.touches, rec.frames, rec.stream("dodges", dodges)), 3.0),
-        "demo": (as_player(demolished(rec.frames), "attacker"), 5.25),
-        "flip_into_ball": (rec.stream("dodges", dodges), 3.0),
     }
-    parts = [M.context_tags(goal), M.high_aerial_goals(goal, rec.touches), M.mechanic_tags(goal, mechanics), M.kickoff_goals(goal, M.kickoff_starts(rec.frames))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    starts = rec.stream("kickoff_starts", lambda r: M.kickoff_starts(r.frames))
+    downs = demolished(rec.frames).select("match_id", "t", (F.col("attacker") % 2).cast("int").alias("team"))
+    parts = [
+        M.context_tags(goal),
+        M.high_aerial_goals(goal, rec.touches),
+        M.mechanic_tags(goal, mechanics),
+        M.scoring_touch_tags(goal, rec.players, D.passes(rec.touches)),
+        M.demolition_goals(goal, downs, starts),
+        M.kickoff_goals(goal, starts, rec.touches, rec.frames),
+    ]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 @query(f"""WITH RECURSIVE {SQL_FRAMES}, {SQL_GOALS}, p AS (SELECT *, CAST(round(t * 1000) AS BIGINT) AS ms, row_number() OVER ({TW}) AS rn FROM go),
