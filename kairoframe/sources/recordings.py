@@ -28,8 +28,9 @@ FRAME = {
     "t": "CAST(frame AS DOUBLE) / 10",
     "dt": "CAST(CASE WHEN frame = 1 THEN 0 ELSE 1 END AS DOUBLE) / 10",
     "live": "NOT (event_type = 'error' AND k % 3 = 0)",
-    "ball_x": wave("frame * 97 + match_id * 1013", 7000) + " - 3500",
-    "ball_y": wave("frame * 211 + match_id * 3001", 10200) + " - 5100",
+    "ball_x": "(" + wave("frame * 97 + match_id * 1013", 7000) + " - 3500) * CASE WHEN match_id % 3 = 1 THEN 0.25 ELSE 1 END",
+    # Slow in some matches, so that it stays in a half for long; some hits send it on towards the goal that the player attacks.
+    "ball_y": wave("frame * (CASE WHEN match_id % 5 = 0 THEN 31 ELSE 211 END) + match_id * 3001", 10200) + " - 5100 + CASE WHEN event_type IN ('click', 'view') AND (k % 3 = 0 OR match_id % 3 = 1) THEN CAST(300 * (1 - 2 * (user_id % 2)) AS DOUBLE) ELSE 0 END",
     "ball_z": wave("frame * 29 + match_id * 577", 900) + " + 93",
     "kickoff": "event_type = 'signup' AND k % 3 = 0",
     "goal": "event_type = 'purchase' AND k % 7 = 0",
