@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairoframe.operators import temporal
-from kairoframe.plans.recording import FR, SQL_DEMOS, demolished
+from kairoframe.plans.recording import DEMOLISHED, FR, SQL_DEMOS, VICTIM
 from kairoframe.plans.registry import query
 from kairoframe.sources import recordings, sweep
 from kairoframe.sources.shared import shared_path
@@ -19,19 +19,26 @@ PARTS, JITTER = 3, 1500
 
 
 def live_rows(frames: DataFrame) -> DataFrame:
-    """match_id, ms, kind, a, b: sightings of demolitions, counters of purchases at each player's actions, and each recording's end."""
+    """match_id, ms, kind, a, b: sightings of demolitions, counters of purchases at each player's actions, and each recording's end; all from one pass over the frames."""
     shots = F.sum((F.col("event_type") == "purchase").cast("long")).over(temporal.running(["match_id", "user_id"], ["frame"]))
-    demos = demolished(frames).select("match_id", (F.col("frame") * 100).alias("ms"), F.lit("demolition").alias("kind"), F.col("attacker").alias("a"), F.col("victim").alias("b"))
-    counters = frames.select("match_id", (F.col("frame") * 100).alias("ms"), F.lit("counter").alias("kind"), F.col("user_id").alias("a"), shots.alias("b"))
-    ends = frames.groupBy("match_id").agg((F.max("frame") * 100 + 100).alias("ms")).select("match_id", "ms", F.lit("end").alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    return demos.unionByName(counters).unionByName(ends)
+    last = F.lead("frame").over(temporal.ordered(["match_id"], ["frame"])).isNull()
+    ms = F.col("frame") * 100
+    seen = frames.select("match_id", ms.alias("ms"), "user_id", F.expr(DEMOLISHED).alias("demolished"), F.expr(VICTIM).alias("victim"), shots.alias("shots"), last.alias("last"))
+
+    def row(kind: str, ms: Column, a: Column, b: Column) -> Column:
+        return F.struct(ms.alias("ms"), F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+
+    none = F.lit(0).cast("long")
+    demolition, counter, end = row("demolition", F.col("ms"), F.col("user_id"), F.col("victim")), row("counter", F.col("ms"), F.col("user_id"), F.col("shots")), row("end", F.col("ms") + 100, none, none)
+    return seen.select("match_id", F.inline(F.array_compact(F.array(F.when(F.col("demolished"), demolition), counter, F.when(F.col("last"), end)))))
 
 
 def live_log(spark, folder) -> DataFrame:
     """The generator's log of rows that come up to 1.5 s late, in parts and out of order; one more part, without rows of any match, moves the clock past them all."""
     path = shared_path(spark, "lifecycle")
-    rows = live_rows(recordings.frames(spark, folder))
-    longest = rows.agg(F.max("ms")).first()[0] or 0
+    frames = recordings.frames(spark, folder)
+    rows = live_rows(frames)
+    longest = frames.agg(F.max("frame") * 100 + 100).first()[0] or 0  # the last end
     late = F.col("ms") + F.pmod(F.xxhash64("match_id", "ms", "kind", "a", "b"), F.lit(JITTER))
     part = F.least(F.lit(PARTS - 1), F.floor(late * PARTS / (longest + JITTER)))
     past = spark.range(1).select(F.lit(-1).cast("long").alias("match_id"), F.lit(longest + 60_000).cast("long").alias("ms"), F.lit("end").alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))

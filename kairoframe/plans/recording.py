@@ -44,11 +44,12 @@ def demos(spark, folder):
     return demolished(frames(spark, folder))
 
 
+DEMOLISHED, VICTIM = "event_type = 'error' AND k % 2 = 1", "match_id * 4 + (user_id + 1) % 4"
+
+
 def demolished(frames):
     """Demolitions: a user's error with an odd k brings down the next user of the match."""
-    return frames.where("event_type = 'error' AND k % 2 = 1").select(
-        "match_id", "frame", "t", F.col("user_id").alias("attacker"), F.expr("match_id * 4 + (user_id + 1) % 4").alias("victim")
-    )
+    return frames.where(DEMOLISHED).select("match_id", "frame", "t", F.col("user_id").alias("attacker"), F.expr(VICTIM).alias("victim"))
 
 
 SQL_DEMOS = "de AS (SELECT match_id, frame, t, user_id AS attacker, match_id * 4 + (user_id + 1) % 4 AS victim FROM fr WHERE event_type = 'error' AND k % 2 = 1)"

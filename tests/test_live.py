@@ -1,8 +1,13 @@
 """The live generator and the change source on small recordings."""
 
+from types import SimpleNamespace
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kairoframe.plans import lifecycle
+from kairoframe.sources import recordings
 from kairoframe.streaming import changes, generator, live
 from kairoframe.streaming.arrivals import Arrivals
 
@@ -82,3 +87,105 @@ def test_two_drains_from_a_cursor_give_the_log_once(spark, tmp_path):
     changes.drain(spark, *places)
     every = [r.name for r in spark.read.schema(schema).parquet(places[3]).collect()]
     assert sorted(every) == sorted([*(f"{n}-{i}" for n in range(5) for i in range(n)), "late"])
+
+
+class Counted:
+    """A handle whose states live here and count how often they are used, as each use is a round trip to the JVM."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def getValueState(self, *_):
+        return self._state(None)
+
+    def getListState(self, *_):
+        return self._state([])
+
+    def getMapState(self, *_):
+        return self._state({})
+
+    def _state(handle, held):  # noqa: N805
+        class State:
+            value = held
+
+            def __getattribute__(self, name):
+                handle.calls += name != "value"
+                return object.__getattribute__(self, name)
+
+            def exists(self):
+                return self.value is not None
+
+            def get(self):
+                return self.value
+
+            def update(self, value):
+                self.value = value
+
+            put = update
+
+            def clear(self):
+                self.value = type(held)() if held is not None else None
+
+            def appendList(self, rows):
+                self.value += rows
+
+            def appendValue(self, row):
+                self.value.append(row)
+
+            def iterator(self):
+                return iter(self.value.items())
+
+            def containsKey(self, key):
+                return key in self.value
+
+            def getValue(self, key):
+                return self.value[key]
+
+            def updateValue(self, key, value):
+                self.value[key] = value
+
+            def removeKey(self, key):
+                del self.value[key]
+
+        return State()
+
+
+def test_state_is_used_as_often_for_many_rows_as_for_few():
+    def run(seconds):
+        handle, processor = Counted(), generator.Generator()
+        processor.init(handle)
+        rows = [(m, ms, kind, 7, ms // 500 if kind == 0 else 8) for m in (3, 4) for ms in range(100, 1000 * seconds, 100) for kind in (0, 1)]
+        frame = pd.DataFrame(rows, columns=["match_id", "ms", "kind", "a", "b"])
+        out = [f for part in (frame[::2], frame[1::2]) for f in processor.handleInputRows((0,), iter([part]), None)]
+        out += processor.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 1000 * seconds - 500), None)
+        return handle, pd.concat(out)
+
+    (few, _), (many, log) = run(4), run(60)
+    assert many.calls == few.calls
+    # Both matches alike: each has an increment in every half second, and its demolition confirmed anew in every second.
+    assert all((log["match_id"] == m).sum() == 3 * 59 for m in (3, 4))
+    # What the watermark has not passed waits, with a timer.
+    assert 59_600 in many.timers
+
+
+def test_partitions_of_the_state_are_bounded_by_cores(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        for asked, held in ((600, 2 * spark.sparkContext.defaultParallelism), (3, 3)):
+            spark.conf.set(name, str(asked))
+            with generator.state_in_rocksdb(spark):
+                assert int(spark.conf.get(name)) == held
+            assert int(spark.conf.get(name)) == asked
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_live_rows_take_one_pass_over_the_events(spark):
+    rows = lifecycle.live_rows(recordings.frames(spark, "/root/testdata/sf0.001"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {r[0]: r[1] for r in rows.groupBy("kind").count().collect()}.keys() == {"counter", "demolition", "end"}
