@@ -16,6 +16,13 @@ from kairoframe.streaming import generator, live
 from kairoframe.streaming.arrivals import Arrivals
 
 PARTS, JITTER = 3, 1500
+#: Matches of so many milliseconds in all share a key of the generator's state.
+KEY_MS = 2_000_000
+
+
+def matches_a_key(longest: int) -> int:
+    """How many matches of up to ``longest`` milliseconds share a key."""
+    return max(1, min(generator.TOGETHER, KEY_MS // max(longest, 1)))
 
 
 def live_rows(frames: DataFrame) -> DataFrame:
@@ -45,7 +52,7 @@ def live_log(spark, folder) -> DataFrame:
     staged = rows.withColumn("part", part.cast("int")).unionByName(past.withColumn("part", F.lit(PARTS)))
     arrivals = Arrivals(staged.withColumn("ts", F.timestamp_millis("ms")), F.col("part"), PARTS + 1, path)
     with generator.state_in_rocksdb(spark):
-        log = generator.generated(arrivals.stream().drop("part"), "2 seconds")
+        log = generator.generated(arrivals.stream().drop("part"), "2 seconds", matches_a_key(longest))
         arrivals.run(lambda: live.drained(log, path))
     return spark.read.schema(generator.LOG).parquet(f"{path}/rows")
 

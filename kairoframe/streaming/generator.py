@@ -1,7 +1,7 @@
 """Events from live frames, with a lifecycle: confirmed while they may still change, finalized when they no longer can.
 
 A stateful processor on Spark's arbitrary state with timers (transformWithStateInPandas): a list of rows that the watermark has not passed, and the matches' states: open demolitions by pair, counters by
-player, events to publish and clocks. Each access to state is a round trip from Python to the JVM, so TOGETHER matches with consecutive numbers share a key: its rows are kept as packed columns, and its
+player, events to publish and clocks. Each access to state is a round trip from Python to the JVM, so several matches with consecutive numbers share a key: its rows are kept as packed columns, and its
 matches' states are read once and written once a timer. A timer fires when the watermark reaches the oldest waiting row, so rows are handled in the order of game time whatever the order
 they came in; rows later than the watermark's delay are dropped, by Spark. Once a second of game time, and at the recording's end, what changed is published as numbered transactions of the match's log.
 
@@ -140,11 +140,11 @@ class Generator(StatefulProcessor):
         pass
 
 
-def generated(rows: DataFrame, delay: str) -> DataFrame:
-    """rows: a streaming DataFrame with a timestamp ``ts`` of game time besides its columns; delay: by how much rows may come late. The log, in append mode. The session's state has to be
-    kept in RocksDB (``state_in_rocksdb``)."""
+def generated(rows: DataFrame, delay: str, together: int = TOGETHER) -> DataFrame:
+    """rows: a streaming DataFrame with a timestamp ``ts`` of game time besides its columns; delay: by how much rows may come late; together: how many matches share a key, whose waiting rows are in
+    memory at once when its timer fires (fewer for long matches). The log, in append mode. The session's state has to be kept in RocksDB (``state_in_rocksdb``)."""
     kind = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")) - 1
-    group = F.expr(f"(match_id - pmod(match_id, {TOGETHER})) div {TOGETHER}")
+    group = F.expr(f"(match_id - pmod(match_id, {together})) div {together}")
     timed = rows.withWatermark("ts", delay).select(group.alias("group"), "match_id", "ms", kind.alias("kind"), "a", "b", "ts")
     return timed.groupBy("group").transformWithStateInPandas(Generator(), LOG, "append", "eventTime")
 

@@ -1,5 +1,6 @@
 """The live generator and the change source on small recordings."""
 
+from functools import partial
 from types import SimpleNamespace
 
 import pandas as pd
@@ -189,3 +190,11 @@ def test_live_rows_take_one_pass_over_the_events(spark):
     rows = lifecycle.live_rows(recordings.frames(spark, "/root/testdata/sf0.001"))
     assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert {r[0]: r[1] for r in rows.groupBy("kind").count().collect()}.keys() == {"counter", "demolition", "end"}
+
+
+def test_long_matches_share_no_key_and_the_log_does_not_depend_on_it(spark, tmp_path, monkeypatch):
+    assert [lifecycle.matches_a_key(frames * 100) for frames in (0, 300, 5_000, 20_000, 100_000)] == [16, 16, 4, 1, 1]
+    shared = logged(spark, f"file://{tmp_path}/shared", 1, F.lit(0)).collect()
+    monkeypatch.setattr(generator, "generated", partial(generator.generated, together=1))
+    alone = logged(spark, f"file://{tmp_path}/alone", 1, F.lit(0)).collect()
+    assert sorted(map(tuple, alone)) == sorted(map(tuple, shared))
